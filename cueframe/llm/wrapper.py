@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import written
+from cueframe.llm.common import cut, written
 from cueframe.llm.language import host_of
 
 #: Fixed values of HTML: elements without an end tag, raw-text elements, elements that make blocks,
@@ -42,6 +42,10 @@ NAMES = frozenset(
 )
 
 
+#: Reference pages of all hosts together, in bytes, that are broadcast at most.
+REFERENCE_BYTES = 16 << 20
+
+
 class Node:
     __slots__ = ("children", "key", "own", "role", "tag")
 
@@ -295,9 +299,12 @@ def main_text(
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
     rows = rows.withColumn("_host", F.coalesce(host_of(F.col("_url")), F.lit(""))).withColumn("_h", F.xxhash64("_html", F.lit(10)))
-    # One reference page a host: the page whose hash is lowest.
-    chosen = rows.where("_html is not null and _host <> ''").groupBy("_host").agg(F.min("_h").alias("_h"))
-    chosen = rows.select("_host", "_h", "_html").join(chosen, ["_host", "_h"], "left_semi").groupBy("_host").agg(F.first("_html").alias("_ref"))
+    # One reference page a host, the page whose hash is lowest; found before any page moves.
+    chosen = rows.where("_html is not null and _host <> ''").groupBy("_host").agg(F.min_by("_html", "_h").alias("_ref"))
+    chosen = cut(chosen)
+    size = chosen.agg(F.sum(F.octet_length("_ref") + F.octet_length("_host"))).first()[0] or 0
+    # A checked size is broadcast, so that pages stay where they are read; beyond it both sides are shuffled by host.
+    chosen = F.broadcast(chosen) if size <= REFERENCE_BYTES else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
