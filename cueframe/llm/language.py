@@ -214,3 +214,16 @@ def identify(
         F.col("_mean").alias("text_mean"),
         (known & (1 / mass >= threshold)).alias("accepted"),
     )
+
+
+#: Rejected rows whose keys are broadcast at most.
+REJECTED_ROWS = 1 << 20
+
+
+def accepted(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that ``identify`` does not accept."""
+    keyed = docs.withColumn("_row", F.xxhash64(F.lit(6), F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col))
+    rejected = cut(identify(keyed, model, "_row", text_col, **options).where("not accepted").select("_row").distinct())
+    # Mostly few: then documents stay where they are read; else both sides are shuffled.
+    few = rejected.limit(REJECTED_ROWS + 1).count() <= REJECTED_ROWS
+    return keyed.join(F.broadcast(rejected) if few else rejected, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -156,3 +156,12 @@ def mix_sources(
     return rows.join(cells, ["_k", "size", "_b"]).select(
         F.col("id").alias(id_col), source.alias("source"), "size", "source_size", "target", (every + more).alias("copies")
     )
+
+
+def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` as mixed: each row as often as ``mix_sources`` takes it."""
+    row = F.xxhash64(F.lit(5), F.col(id_col).isNull(), id_col, F.col(source_col).isNull(), source_col, F.col(text_col).isNull(), text_col)
+    keyed = docs.withColumn("_row", row)
+    copies = mix_sources(keyed, "_row", source_col, text_col, **options).groupBy("_row").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    each = keyed.dropDuplicates(["_row"]).join(copies, "_row")
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

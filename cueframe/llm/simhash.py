@@ -137,6 +137,16 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     return two.unionByName(work.where("b is not null or size(a) > 2").mapInArrow(run, "a long, b long")).distinct()
 
 
+def components_of(rows: DataFrame, distance: int = 4) -> DataFrame:
+    """``rows(doc_id, fp, ...)`` with ``root``, the smallest fingerprint of its
+    component, and ``component_id``, the smallest doc_id there."""
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(links(fps.select("fp"), distance))
+    named = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row.
 
@@ -147,12 +157,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows; other columns are not read.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(fps.select("fp"), distance))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = cut(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return components_of(rows, distance).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: its smallest id (nulls last),
+    of equal ids the text that hashes lowest, of equal rows any one."""
+    keyed = docs.withColumns({"_k1": F.xxhash64(F.lit(1), F.col(id_col).isNull(), id_col), "_k2": F.xxhash64(F.lit(2), F.col(text_col).isNull(), text_col)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [fingerprint(t.as_py(), shingle) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _signed(fps)], ["doc_id", "_k1", "_k2", "fp"])
+
+    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), "_k1", "_k2", F.col(text_col).cast("string").alias("text"))
+    rows = cut(rows.mapInArrow(run, "doc_id long, _k1 long, _k2 long, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k2", "_k1"))
+    kept = components_of(rows, distance).groupBy("root").agg(first.alias("s")).select("s._k1", "s._k2")
+    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fp_hex(fp: str = "fp"):
