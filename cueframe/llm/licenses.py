@@ -143,31 +143,34 @@ def _variants(notice: str) -> list[str]:
     return [notice, *(" ".join(words[:i] + words[i + 1 :]) for i in range(len(words)) if len(words) > 3), f"{notice} See the file for details.", f"Copyright 2020 the authors. {notice}"]
 
 
-def train(spark, corpus: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", sample: int = 1000, reg: float = 0.002) -> LicenceModel:
+def train(spark, corpus: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", sample: int = 1000, reg: float = 0.001) -> LicenceModel:
     """Fit on the notices and their variants, and as negatives on ``OTHERS``
     and one paragraph each of at most ``sample`` documents that name no
     licence, those whose id hashes lowest."""
     rows = [(v, family) for family, notices in NOTICES.items() for n in notices for v in _variants(n)]
     rows += [(v, UNKNOWN) for o in OTHERS for v in _variants(o)]
-    data = spark.createDataFrame(rows, "line string, family string")
+    data = spark.createDataFrame(rows, "line string, family string").withColumn("own", F.lit(True))
     if corpus is not None:
         lines = corpus.orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(sample).select(F.element_at(F.split(text_col, "\n"), -1).alias("line"))
         plain = lines.where("line is not null and not lower(line) rlike 'licen[cs]e|copyright|gpl|domain'")
-        data = data.unionByName(plain.select("line", F.lit(UNKNOWN).alias("family")))
+        data = data.unionByName(plain.select("line", F.lit(UNKNOWN).alias("family"), F.lit(False).alias("own")))
     families = (UNKNOWN, *sorted(NOTICES))
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
-    data = data.select(grams(tokens(F.col("line"))).alias("grams"), label.alias("label"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
-    vocabulary = [r["g"] for r in data.where("label > 0").select(F.explode("grams").alias("g")).distinct().orderBy("g").collect()]
-    counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="x", minTF=1.0)
+    data = data.select(grams(tokens(F.col("line"))).alias("grams"), label.alias("label"), "own", (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
     # A few thousand short rows: one partition, so that each step of the optimiser is one small task.
-    data = counts.transform(data.coalesce(1)).persist()
-    plain = data.where("label = 0")
+    small = data.coalesce(1).persist()
+    data = small
+    plain = data.where("not own")
     least = 0.005 * plain.count()
     common = frozenset(r["g"] for r in plain.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= least).where("not g like '% %'").collect())
+    # N-grams of common words alone name no licence.
+    vocabulary = [r["g"] for r in data.where("label > 0").select(F.explode("grams").alias("g")).distinct().orderBy("g").collect() if set(r["g"].split()) - common]
+    counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="x", minTF=1.0)
+    data = counts.transform(data)
     learner = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=reg, elasticNetParam=1.0, maxIter=100, standardization=False)
     model = learner.fit(data.where("not held"))
     held = [(list(r["rawPrediction"]), int(r["label"])) for r in model.transform(data.where("held")).select("rawPrediction", "label").collect()]
-    data.unpersist()
+    small.unpersist()
 
     def loss(t: float) -> float:
         total = 0.0
