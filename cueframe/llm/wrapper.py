@@ -325,7 +325,10 @@ def main_text(
     same = held.groupBy("_host", "slot", "x").count()
     slots = same.groupBy("_host", "slot").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
     slots = slots.where((F.col("n") >= least_pages) & (F.col("most") >= constant * F.col("n"))).groupBy("_host").agg(F.collect_set("slot").alias("_fixed"))
-    known = aligned.join(slots, "_host", "left")
+    slots = cut(slots)
+    n = slots.agg(F.sum(F.size("_fixed") + 8)).first()[0] or 0
+    # As with the references: a checked size is broadcast, beyond it both sides are shuffled by host.
+    known = aligned.join(F.broadcast(slots) if 4 * n <= REFERENCE_BYTES else slots, "_host", "left")
     varying = F.when(F.col("_fixed").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~F.array_contains(F.col("_fixed"), b.slot)))
     text = F.array_join(F.transform(varying, lambda b: b.text), "\n\n")
     return known.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
