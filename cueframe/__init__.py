@@ -1,0 +1 @@
+"""Timed text (SubRip, WebVTT, ASS/SSA) as Spark DataFrames."""
