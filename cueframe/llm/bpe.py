@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueframe.llm.common import unused
+
 #: Symbols: what a code point is, with the look-ahead that decides it.
 LETTER, NUMBER, OTHER, SPACE, WHITE, SPACE_RUN, WHITE_RUN, QUOTE1, QUOTE2, N_SYMBOLS = range(10)
 #: States: the class of the code point just read, or letters that a contraction still takes.
@@ -305,7 +307,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     got = run(F.col(text_col).cast("string"))
     if offsets_col:
-        return docs.withColumn("_bpe", got).withColumn(ids_col, F.col("_bpe.ids")).withColumn(offsets_col, F.col("_bpe.offsets")).drop("_bpe")
+        (both,) = unused(docs, "_bpe")
+        return docs.withColumn(both, got).withColumn(ids_col, F.col(both)["ids"]).withColumn(offsets_col, F.col(both)["offsets"]).drop(both)
     return docs.withColumn(ids_col, got)
 
 

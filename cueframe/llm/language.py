@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import cut
+from cueframe.llm.common import cut, unused
 
 #: Hashed trigrams, and bytes scored at once.
 TABLE = 1 << 16
@@ -221,9 +221,11 @@ REJECTED_ROWS = 1 << 20
 
 
 def accepted(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that ``identify`` does not accept."""
-    keyed = docs.withColumn("_row", F.xxhash64(F.lit(6), F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col))
-    rejected = cut(identify(keyed, model, "_row", text_col, **options).where("not accepted").select("_row").distinct())
+    """``docs`` without the rows that ``identify`` does not accept, with all
+    their columns."""
+    (row,) = unused(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64(F.lit(6), F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col))
+    rejected = cut(identify(keyed, model, row, text_col, **options).where("not accepted").select(row).distinct())
     # Mostly few: then documents stay where they are read; else both sides are shuffled.
     few = rejected.limit(REJECTED_ROWS + 1).count() <= REJECTED_ROWS
-    return keyed.join(F.broadcast(rejected) if few else rejected, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(F.broadcast(rejected) if few else rejected, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

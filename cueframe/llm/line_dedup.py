@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueframe.llm.common import unused
+
 
 def _trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
@@ -55,17 +57,18 @@ def remove_spread_lines(
     removal to judge.  Null and empty texts come back as they are, blank lines
     stay, a null site is a site of its own, repeated rows are treated alike
     and an empty table gives no rows.  Columns beside the text keep names and
-    values.
+    values, but for one called ``n_lines_removed``, which is replaced.
     """
+    t1, t2, gone_, kept_ = unused(docs, "_t1", "_t2", "_gone", "_kept")
     spread = spread_lines(lines_of(docs, text_col, site_col), min_sites)
-    keyed = docs.withColumn("_t1", F.xxhash64(F.col(text_col), F.lit(1))).withColumn("_t2", F.xxhash64(F.col(id_col), F.lit(2)))
-    where = keyed.select("_t1", "_t2", F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line")).withColumn("_line", _trimmed(F.col("_line"))).where("_line <> ''")
+    keyed = docs.withColumn(t1, F.xxhash64(F.col(text_col), F.lit(1))).withColumn(t2, F.xxhash64(F.col(id_col), F.lit(2)))
+    where = keyed.select(F.col(t1).alias("_t1"), F.col(t2).alias("_t2"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line")).withColumn("_line", _trimmed(F.col("_line"))).where("_line <> ''")
     where = where.select("_t1", "_t2", "_pos", F.xxhash64("_line").alias("h1"), F.xxhash64(F.lit(7), "_line").alias("h2"))
-    gone = where.join(spread, ["h1", "h2"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_set("_pos").alias("_gone"))
+    gone = where.join(spread, ["h1", "h2"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_set("_pos").alias(gone_)).withColumnsRenamed({"_t1": t1, "_t2": t2})
     lines = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    joined = keyed.join(gone, ["_t1", "_t2"], "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    cut_ = F.length(F.col(text_col)) - F.length("_kept") <= F.length(F.col(text_col)) * F.lit(max_share)
-    clean = F.when(F.col("_gone").isNotNull() & cut_, F.col("_kept")).otherwise(F.col(text_col))
-    n = F.when(F.col("_gone").isNotNull() & cut_, F.size("_gone")).otherwise(0).cast("long")
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n.alias("n_lines_removed"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone_), i)), "\n")
+    joined = keyed.join(gone, [t1, t2], "left").withColumn(kept_, F.when(F.col(gone_).isNotNull(), kept))
+    cut_ = F.length(F.col(text_col)) - F.length(kept_) <= F.length(F.col(text_col)) * F.lit(max_share)
+    clean = F.when(F.col(gone_).isNotNull() & cut_, F.col(kept_)).otherwise(F.col(text_col))
+    n = F.when(F.col(gone_).isNotNull() & cut_, F.size(gone_)).otherwise(0).cast("long")
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_lines_removed"], n.alias("n_lines_removed"))

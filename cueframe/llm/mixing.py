@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import cut, n_words
+from cueframe.llm.common import cut, n_words, unused
 
 #: Documents of one source and size are ranked within this many hashed parts.
 PARTS = 64
@@ -159,9 +159,11 @@ def mix_sources(
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` as mixed: each row as often as ``mix_sources`` takes it."""
+    """``docs`` as mixed: each row as often as ``mix_sources`` takes it, with
+    all its columns."""
+    name, copy, times = unused(docs, "_row", "_copy", "_copies")
     row = F.xxhash64(F.lit(5), F.col(id_col).isNull(), id_col, F.col(source_col).isNull(), source_col, F.col(text_col).isNull(), text_col)
-    keyed = docs.withColumn("_row", row)
-    copies = mix_sources(keyed, "_row", source_col, text_col, **options).groupBy("_row").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    each = keyed.dropDuplicates(["_row"]).join(copies, "_row")
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn(name, row)
+    copies = mix_sources(keyed, name, source_col, text_col, **options).groupBy(name).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
+    each = keyed.dropDuplicates([name]).join(copies, name)
+    return each.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import cut
+from cueframe.llm.common import cut, unused
 from cueframe.llm.components import connected_components
 
 BITS = 64
@@ -162,19 +162,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` with one row of each component: its smallest id (nulls last),
-    of equal ids the text that hashes lowest, of equal rows any one."""
-    keyed = docs.withColumns({"_k1": F.xxhash64(F.lit(1), F.col(id_col).isNull(), id_col), "_k2": F.xxhash64(F.lit(2), F.col(text_col).isNull(), text_col)})
+    of equal ids the text that hashes lowest, of equal rows any one; with all
+    its columns."""
+    k1, k2 = unused(docs, "_k1", "_k2")
+    keyed = docs.withColumns({k1: F.xxhash64(F.lit(1), F.col(id_col).isNull(), id_col), k2: F.xxhash64(F.lit(2), F.col(text_col).isNull(), text_col)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], _signed(fps)], ["doc_id", "_k1", "_k2", "fp"])
 
-    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), "_k1", "_k2", F.col(text_col).cast("string").alias("text"))
+    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(k1).alias("_k1"), F.col(k2).alias("_k2"), F.col(text_col).cast("string").alias("text"))
     rows = cut(rows.mapInArrow(run, "doc_id long, _k1 long, _k2 long, fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k2", "_k1"))
-    kept = components_of(rows, distance).groupBy("root").agg(first.alias("s")).select("s._k1", "s._k2")
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = components_of(rows, distance).groupBy("root").agg(first.alias("s")).select(F.col("s._k1").alias(k1), F.col("s._k2").alias(k2))
+    return keyed.join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fp_hex(fp: str = "fp"):
