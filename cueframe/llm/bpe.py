@@ -73,7 +73,8 @@ STEP, STARTS = _transitions()
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or WHITE of each code point."""
+    """LETTER, NUMBER, OTHER or WHITE of each code point, by the Unicode data of
+    this Python; code points it does not know are OTHER."""
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(_TOP)), dtype=np.uint8, count=_TOP)
     table[_WHITE] = WHITE
@@ -261,8 +262,8 @@ class Vocabulary:
         if joined:
             points = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype="<u4")
             starts = piece_starts(points, np.unique(begins[begins < ends]))
-        spans = starts.tolist()
-        slices = [joined[a:b] for a, b in zip(spans, [*spans[1:], len(joined)], strict=True)]
+        spans = [*starts.tolist(), len(joined)]
+        slices = [joined[a:b] for a, b in zip(spans, spans[1:], strict=False)]
         if len(self.cache) > CACHE:
             self.cache.clear()
         new = list(set(slices) - self.cache.keys())
