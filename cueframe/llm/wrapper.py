@@ -320,7 +320,7 @@ def main_text(
     aligned = rows.join(chosen, "_host", "left").select("_id", "_url", "_host", "_h", "_html", "_ref")
     aligned = written(aligned.mapInArrow(run, schema), "pages")
     # What each slot of a page holds, all its blocks together, and how many pages agree.
-    held = aligned.where("_host <> ''").select("_host", "_h", F.posexplode("_blocks").alias("pos", "b")).select("_host", "_h", "b.slot", F.xxhash64("b.text", "pos").alias("x")).where("slot >= 0")
+    held = aligned.where("_host <> ''").select("_host", "_h", F.posexplode("_blocks").alias("pos", "b")).select("_host", "_h", "b.slot", F.xxhash64("b.text").alias("x")).where("slot >= 0")
     held = held.groupBy("_host", "_h", "slot").agg(F.sum(F.col("x").cast("decimal(38,0)")).cast("string").alias("x"))
     same = held.groupBy("_host", "slot", "x").count()
     slots = same.groupBy("_host", "slot").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
