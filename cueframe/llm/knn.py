@@ -93,6 +93,8 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec
     groups = queries.groupBy("g").agg(F.max("radius").alias("radius"), F.count("*").alias("n")).collect()  # a row per pivot
     radius, members = {r["g"]: r["radius"] for r in groups}, {r["g"]: r["n"] for r in groups}
     ids = sorted(radius)
+    if not ids:
+        return spark.createDataFrame([], schema)
     bounds = spark.sparkContext.broadcast((ids, np.array([radius[g] for g in ids])))
 
     def reach(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

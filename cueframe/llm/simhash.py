@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueframe.llm.common import cut, unused
@@ -72,12 +72,17 @@ def segments(distance: int) -> list[tuple[int, int]]:
 
 def variants(fps: DataFrame, distance: int) -> DataFrame:
     """``(key, fp)``: for each bit, its segment with that bit wildcarded."""
+    def bits(mask: int) -> Column:
+        return F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("long")
+
     keys = []
     for first, width in segments(distance):
         mask = (1 << width) - 1
-        value = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit(mask).cast("long"))
-        keys += [value.bitwiseAND(F.lit(mask ^ (1 << j)).cast("long")).bitwiseOR(F.lit((first + j) << 32 if width <= 32 else 0).cast("long")) for j in range(width)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+        value = F.shiftrightunsigned("fp", first).bitwiseAND(bits(mask))
+        keys += [value.bitwiseAND(bits(mask ^ (1 << j))).bitwiseOR(F.lit((first + j) << 32 if width <= 32 else 0).cast("long")) for j in range(width)]
+    # Wide segments leave no room for the wildcard's place: a zero bit's variant is the segment itself.
+    every = F.array(*keys) if all(width <= 32 for _, width in segments(distance)) else F.array_distinct(F.array(*keys))
+    return fps.select("fp", F.explode(every).alias("key"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
