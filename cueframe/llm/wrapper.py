@@ -3,8 +3,8 @@
 Pages of a host share a template.  A few pages of each host serve as
 references; every page's DOM, with runs of like siblings folded into one
 repeated slot, is aligned with a reference tree by simple tree matching.
-Aggregation per host and slot then tells constant slots, which are template,
-from varying ones, which are content.  Roles that a page names itself (menus,
+Aggregation per host and slot then tells texts that stay constant in a slot,
+which are template, from the others, which are content.  Roles that a page names itself (menus,
 footers, adverts and so on) are never content.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -285,13 +286,29 @@ def align(html: str | None, reference: str | None) -> list[tuple[int, str]]:
     return blocks(root, partner)
 
 
+def _code(*parts: object) -> int:
+    """A 64-bit hash of the parts, the same in every process."""
+    return int.from_bytes(blake2b("\0".join(map(str, parts)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _coded(found: list[tuple[int, str]]) -> list[dict]:
+    """Blocks with a hash of their slot and all that it holds on the page."""
+    held: dict[int, list[str]] = {}
+    for slot, text in found:
+        held.setdefault(slot, []).append(text)
+    codes = {slot: _code(slot, *texts) for slot, texts in held.items()}
+    return [{"slot": s, "x": codes[s], "text": t} for s, t in found]
+
+
 def main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 20, constant: float = 0.95
 ) -> DataFrame:
     """``(id, url, text, n_chars)`` for every row.
 
-    A slot is template if at least ``least_pages`` different pages of the host
-    have it and ``constant`` of them hold the same text in it.  Null and empty
+    A text in a slot is template if at least ``least_pages`` pages of the host
+    with different texts have the slot and ``constant`` of them hold that text
+    in it; another text in the same slot stays.  A page that would lose all
+    its blocks keeps them: what is constant there is its content.  Null and empty
     pages, and pages without main text, give an empty text; a page whose host
     is unknown or new keeps every block that no role rules out; repeated rows
     come back repeated; an empty table gives no rows; other columns are not
@@ -312,24 +329,25 @@ def main_text(
             html, ref = b.column(names.index("_html")), b.column(names.index("_ref"))
             found = [align(h.as_py(), r.as_py()) for h, r in zip(html, ref, strict=True)]
             keep = [n for n in names if n not in ("_html", "_ref")]
-            lists = pa.array([[{"slot": s, "text": t} for s, t in f] for f in found], pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())])))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), lists], [*keep, "_blocks"])
+            lists = pa.array([_coded(f) for f in found], pa.list_(pa.struct([("slot", pa.int32()), ("x", pa.int64()), ("text", pa.string())])))
+            whole = pa.array([_code(*(t for _, t in f)) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), whole, lists], [*keep, "_page", "_blocks"])
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    schema = f"_id {id_type}, _url string, _host string, _h long, _blocks array<struct<slot:int,text:string>>"
-    aligned = rows.join(chosen, "_host", "left").select("_id", "_url", "_host", "_h", "_html", "_ref")
+    schema = f"_id {id_type}, _url string, _host string, _page long, _blocks array<struct<slot:int,x:long,text:string>>"
+    aligned = rows.join(chosen, "_host", "left").select("_id", "_url", "_host", "_html", "_ref")
     aligned = written(aligned.mapInArrow(run, schema), "pages")
-    # What each slot of a page holds, all its blocks together, and how many pages agree.
-    held = aligned.where("_host <> ''").select("_host", "_h", F.posexplode("_blocks").alias("pos", "b")).select("_host", "_h", "b.slot", F.xxhash64("b.text").alias("x")).where("slot >= 0")
-    held = held.groupBy("_host", "_h", "slot").agg(F.sum(F.col("x").cast("decimal(38,0)")).cast("string").alias("x"))
+    # What each slot of a page holds, all its blocks together, and how many pages of different text agree.
+    held = aligned.where("_host <> ''").select("_host", "_page", F.explode("_blocks").alias("b")).select("_host", "_page", "b.slot", "b.x").where("slot >= 0").distinct()
     same = held.groupBy("_host", "slot", "x").count()
-    slots = same.groupBy("_host", "slot").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
-    slots = slots.where((F.col("n") >= least_pages) & (F.col("most") >= constant * F.col("n"))).groupBy("_host").agg(F.collect_set("slot").alias("_fixed"))
+    slots = same.groupBy("_host", "slot").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("x", "count").alias("x"))
+    slots = slots.where((F.col("n") >= least_pages) & (F.col("most") >= constant * F.col("n"))).groupBy("_host").agg(F.collect_set("x").alias("_fixed"))
     slots = cut(slots)
-    n = slots.agg(F.sum(F.size("_fixed") + 8)).first()[0] or 0
+    n = slots.agg(F.sum(2 * F.size("_fixed") + 8)).first()[0] or 0
     # As with the references: a checked size is broadcast, beyond it both sides are shuffled by host.
     known = aligned.join(F.broadcast(slots) if 4 * n <= REFERENCE_BYTES else slots, "_host", "left")
-    varying = F.when(F.col("_fixed").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~F.array_contains(F.col("_fixed"), b.slot)))
+    varying = F.when(F.col("_fixed").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~F.array_contains(F.col("_fixed"), b.x)))
+    varying = F.when(F.size(varying) > 0, varying).otherwise(F.col("_blocks"))
     text = F.array_join(F.transform(varying, lambda b: b.text), "\n\n")
     return known.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -63,3 +63,22 @@ def test_long_and_deep(spark):
     rows = [(1, "http://a.example/1", deep), (2, "http://a.example/2", long)]
     got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "deep", 2: "\n\n".join(["word"] * 20000)}
+
+
+def test_other_text_in_constant_slot(spark):
+    """Of a slot that is constant on nearly all pages, only the constant text goes."""
+    rows = [(i, f"https://paper.example/{i}", page(f"Title {i}", [f"own words {i}"], "Notice of the day" if i == 7 else "Read about us")) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n\nown words {i}" + ("\n\nNotice of the day" if i == 7 else "") for i in range(60)}
+
+
+def test_copies_of_one_article(spark):
+    """Copies that differ in a comment alone make no template, and no page loses all it has."""
+    def body(i, text):
+        return f"<!-- ad {i} --><article><h1>Title {text}</h1><p>the words of {text}</article>"
+
+    rows = [(i, "https://copies.example/", body(i, "one")) for i in range(60)] + [(60 + i, "https://copies.example/", body(i, f"other {i}")) for i in range(2)]
+    rows += [(100 + i, "https://same.example/", f"<article><h1>Same</h1></article><div hidden>{i}</div>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "Title one\n\nthe words of one" for i in range(60)} | {60 + i: f"Title other {i}\n\nthe words of other {i}" for i in range(2)}
+    assert got == want | {100 + i: "Same" for i in range(30)}
