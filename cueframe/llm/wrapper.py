@@ -1,8 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host share a template.  A few pages of each host serve as
-references; every page's DOM, with runs of like siblings folded into one
-repeated slot, is aligned with a reference tree by simple tree matching.
+Pages of a host share a template.  One page of each host serves as reference;
+every page's DOM, with runs of like siblings folded into one repeated slot, is
+aligned with the reference tree by simple tree matching.  Nodes that the
+reference lacks are aligned with each other by their path of keys, so that
+other layouts, and a host whose reference is a stub, are aligned as well.
 Aggregation per host and slot then tells texts that stay constant in a slot,
 which are template, from the others, which are content.  Roles that a page names itself (menus,
 footers, adverts and so on) are never content.
@@ -279,10 +281,29 @@ def _find(node: Node, tag: str) -> bool:
     return False
 
 
+def _paths(tree: tuple) -> list[int]:
+    """For each node in document order a slot below -1: the hash of its path of
+    keys and of how many nodes before it have the same path."""
+    out: list[int] = []
+    seen: dict[int, int] = {}
+    stack = [(tree, 0)]
+    while stack:
+        (key, children), up = stack.pop()
+        path = _code(up, key)
+        seen[path] = seen.get(path, 0) + 1
+        out.append(-2 - (_code(path, seen[path]) & (1 << 62) - 1))
+        stack += [(c, path) for c in reversed(children)]
+    return out
+
+
 def align(html: str | None, reference: str | None) -> list[tuple[int, str]]:
+    """(slot, text) of a page's blocks: the slot is the reference's node, or
+    stands for the path where the reference has none."""
     root = parse(html)
     tree = folded(root)
     partner = tree_match(tree, _reference(reference))[1] if reference else [-1] * _count(tree)
+    if reference and -1 in partner:
+        partner = [p if p >= 0 else own for p, own in zip(partner, _paths(tree), strict=True)]
     return blocks(root, partner)
 
 
@@ -301,7 +322,7 @@ def _coded(found: list[tuple[int, str]]) -> list[dict]:
 
 
 def main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 20, constant: float = 0.95
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, constant: float = 0.95
 ) -> DataFrame:
     """``(id, url, text, n_chars)`` for every row.
 
@@ -329,16 +350,16 @@ def main_text(
             html, ref = b.column(names.index("_html")), b.column(names.index("_ref"))
             found = [align(h.as_py(), r.as_py()) for h, r in zip(html, ref, strict=True)]
             keep = [n for n in names if n not in ("_html", "_ref")]
-            lists = pa.array([_coded(f) for f in found], pa.list_(pa.struct([("slot", pa.int32()), ("x", pa.int64()), ("text", pa.string())])))
+            lists = pa.array([_coded(f) for f in found], pa.list_(pa.struct([("slot", pa.int64()), ("x", pa.int64()), ("text", pa.string())])))
             whole = pa.array([_code(*(t for _, t in f)) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), whole, lists], [*keep, "_page", "_blocks"])
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    schema = f"_id {id_type}, _url string, _host string, _page long, _blocks array<struct<slot:int,x:long,text:string>>"
+    schema = f"_id {id_type}, _url string, _host string, _page long, _blocks array<struct<slot:long,x:long,text:string>>"
     aligned = rows.join(chosen, "_host", "left").select("_id", "_url", "_host", "_html", "_ref")
     aligned = written(aligned.mapInArrow(run, schema), "pages")
     # What each slot of a page holds, all its blocks together, and how many pages of different text agree.
-    held = aligned.where("_host <> ''").select("_host", "_page", F.explode("_blocks").alias("b")).select("_host", "_page", "b.slot", "b.x").where("slot >= 0").distinct()
+    held = aligned.where("_host <> ''").select("_host", "_page", F.explode("_blocks").alias("b")).select("_host", "_page", "b.slot", "b.x").where("slot <> -1").distinct()
     same = held.groupBy("_host", "slot", "x").count()
     slots = same.groupBy("_host", "slot").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("x", "count").alias("x"))
     slots = slots.where((F.col("n") >= least_pages) & (F.col("most") >= constant * F.col("n"))).groupBy("_host").agg(F.collect_set("x").alias("_fixed"))

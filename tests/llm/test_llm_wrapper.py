@@ -82,3 +82,21 @@ def test_copies_of_one_article(spark):
     got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {i: "Title one\n\nthe words of one" for i in range(60)} | {60 + i: f"Title other {i}\n\nthe words of other {i}" for i in range(2)}
     assert got == want | {100 + i: "Same" for i in range(30)}
+
+
+def test_layouts_stubs_and_small_hosts(spark):
+    """Template goes from both layouts of a host, from a host with stubs, and from a host of three pages."""
+    rows, want = [], {}
+    for i in range(50):
+        other = f"<body><section class=top>All the news</section><article-box></article-box><div class=story><h2>Head {i}</h2><p>second layout {i}</div><section class=end>Print edition</section>"
+        rows.append((i, "https://two.example/", page(f"Title {i}", [f"words {i}"]) if i % 2 else other))
+        want[i] = f"Title {i}\n\nwords {i}" if i % 2 else f"Head {i}\n\nsecond layout {i}"
+    for i in range(60):
+        stub = i >= 30
+        rows.append((100 + i, "https://stub.example/", f"<p>error {i}" if stub else page(f"Title {i}", [f"words {i}"])))
+        want[100 + i] = f"error {i}" if stub else f"Title {i}\n\nwords {i}"
+    for i in range(3):
+        rows.append((200 + i, "https://small.example/", page(f"Title {i}", [f"words {i}"])))
+        want[200 + i] = f"Title {i}\n\nwords {i}"
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
