@@ -12,7 +12,8 @@ footers, adverts and so on) are never content.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from html.parser import HTMLParser
@@ -66,11 +67,16 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", False)
         self.open = [self.root]
+        #: How often each tag is open: what is not open need not be looked for.
+        self.counts: Counter[str] = Counter()
 
     def _close(self, at: int) -> None:
+        self.counts.subtract(n.tag for n in self.open[at:])
         del self.open[at:]
 
     def _close_last(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(self.counts[t] for t in tags):
+            return None
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
                 return self._close(i)
@@ -84,7 +90,7 @@ class _Builder(HTMLParser):
         if tag in CLOSES:
             self._close_last(*CLOSES[tag])
         named = [v for k, v in attrs if k in ("class", "id", "role") and v]
-        role = tag in DROPPED or (tag == "header" and not any(n.tag in ("article", "main") for n in self.open))
+        role = tag in DROPPED or (tag == "header" and not (self.counts["article"] or self.counts["main"]))
         if named:
             names = {part for v in named for word in v.lower().split() for part in (word, *word.replace("_", "-").split("-"))}
             role = role or bool(names & NAMES) or any(k == "role" and v and v.lower() in ROLES for k, v in attrs)
@@ -94,16 +100,19 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "path", "math"):
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.handle_starttag("br", [])
             return
+        if not self.counts[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 self._close(i)
@@ -122,57 +131,76 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-def folded(root: Node, deepest: int = 64) -> tuple:
+def _unrolled(walk: Generator) -> object:
+    """What a generator returns that yields another one for each call of its
+    own: recursion as deep as a page, on a list."""
+    stack, value = [walk], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def folded(root: Node) -> tuple:
     """The tree of element keys as nested tuples, inline elements and texts left
     out and runs of siblings with one key folded into the first."""
 
-    def walk(node: Node, depth: int) -> tuple:
-        if node.tag in DROPPED or depth > deepest:
-            return (node.key, ())
+    def walk(node: Node) -> Generator:
         children: list[tuple] = []
-        for child in node.children:
+        for child in node.children if node.tag not in DROPPED else ():
             if isinstance(child, Node) and child.tag in BLOCKS:
-                sub = walk(child, depth + 1)
-                if not children or children[-1][0] != sub[0]:
-                    children.append(sub)
+                if not children or children[-1][0] != child.key:
+                    children.append((yield walk(child)))
         return (node.key, tuple(children))
 
-    return walk(root, 0)
+    return _unrolled(walk(root))
+
+
+def _numbered(tree: tuple) -> tuple[list[str], list[list[int]]]:
+    """Keys of the nodes in document order, and the numbers of their children."""
+    keys: list[str] = []
+    kids: list[list[int]] = []
+    stack = [(tree, -1)]
+    while stack:
+        (key, children), up = stack.pop()
+        if up >= 0:
+            kids[up].append(len(keys))
+        stack += [(c, len(keys)) for c in reversed(children)]
+        keys.append(key)
+        kids.append([])
+    return keys, kids
 
 
 def tree_match(a: tuple, b: tuple) -> tuple[int, list[int]]:
     """Simple tree matching: the most nodes that two ordered trees share with
     equal roots, and for each node of ``a`` in document order its partner's
     number in ``b`` (or -1)."""
-    def number(t: tuple, count: list[int]) -> list:
-        me = count[0]
-        count[0] += 1
-        return [t[0], me, [number(c, count) for c in t[1]]]
-
-    x, y = number(a, [0]), number(b, [0])
-    size = _count(a)
-    partner = [-1] * size
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def score(p: list, q: list) -> int:
-        if p[0] != q[0]:
-            return 0
-        got = memo.get((p[1], q[1]))
-        if got is not None:
-            return got[0]
-        m, n = len(p[2]), len(q[2])
-        table = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(m):
+    (x, below), (y, beneath) = _numbered(a), _numbered(b)
+    partner = [-1] * len(x)
+    if x[0] != y[0]:
+        return 0, partner
+    # Pairs of nodes whose ancestors have equal keys, parents before children.
+    pairs = [(0, 0)]
+    for p, q in pairs:
+        pairs += [(i, j) for i in below[p] for j in beneath[q] if x[i] == y[j]]
+    scores: dict[tuple[int, int], int] = {}
+    tables: dict[tuple[int, int], list[list[int]]] = {}
+    for p, q in reversed(pairs):
+        left, right = below[p], beneath[q]
+        table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, c in enumerate(left):
             row, up = table[i + 1], table[i]
-            for j in range(n):
-                row[j + 1] = max(row[j], up[j + 1], up[j] + score(p[2][i], q[2][j]))
-        memo[(p[1], q[1])] = (table[m][n] + 1, table)
-        return table[m][n] + 1
-
-    def trace(p: list, q: list) -> None:
-        partner[p[1]] = q[1]
-        table = memo[(p[1], q[1])][1]
-        i, j = len(p[2]), len(q[2])
+            for j, d in enumerate(right):
+                row[j + 1] = max(row[j], up[j + 1], up[j] + scores.get((c, d), 0))
+        scores[p, q], tables[p, q] = table[-1][-1] + 1, table
+    met = [(0, 0)]
+    for p, q in met:
+        partner[p] = q
+        table, i, j = tables[p, q], len(below[p]), len(beneath[q])
         while i and j:
             if table[i][j] == table[i - 1][j]:
                 i -= 1
@@ -180,16 +208,12 @@ def tree_match(a: tuple, b: tuple) -> tuple[int, list[int]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                trace(p[2][i], q[2][j])
-
-    total = score(x, y)
-    if total:
-        trace(x, y)
-    return total, partner
+                met.append((below[p][i], beneath[q][j]))
+    return scores[0, 0], partner
 
 
 def _count(t: tuple) -> int:
-    return 1 + sum(map(_count, t[1]))
+    return len(_numbered(t)[0])
 
 
 @lru_cache(maxsize=256)
@@ -210,17 +234,17 @@ def blocks(root: Node, slots: list[int]) -> list[tuple[int, str]]:
             out.append((slot, text))
         parts.clear()
 
-    def skip(node: Node) -> None:
+    def skip(node: Node) -> Generator:
         """Numbers what a walk over the folded tree would have numbered."""
         last = None
         for child in node.children:
             if isinstance(child, Node) and child.tag in BLOCKS and node.tag not in DROPPED:
                 if child.key != last:
                     count[0] += 1
-                    skip(child)
+                    yield skip(child)
                 last = child.key
 
-    def walk(node: Node, slot: int, parts: list[str], inside: bool, fresh: bool) -> None:
+    def walk(node: Node, slot: int, parts: list[str], inside: bool, fresh: bool) -> Generator:
         last, last_slot = None, slot
         for child in node.children:
             if isinstance(child, str):
@@ -236,19 +260,19 @@ def blocks(root: Node, slots: list[int]) -> list[tuple[int, str]]:
                     flush(slot, parts)
                 if child.role:
                     if new and fresh:
-                        skip(child)
+                        yield skip(child)
                     continue
                 inner: list[str] = []
                 now = inside or child.tag in ("article", "main")
-                walk(child, last_slot, inner, now, new and fresh)
+                yield walk(child, last_slot, inner, now, new and fresh)
                 if now:
                     flush(last_slot, inner)
             elif child.tag == "br":
                 parts.append(" ")
             elif not child.role:
-                walk_inline(child, slot, parts, inside)
+                yield walk_inline(child, slot, parts, inside)
 
-    def walk_inline(node: Node, slot: int, parts: list[str], inside: bool) -> None:
+    def walk_inline(node: Node, slot: int, parts: list[str], inside: bool) -> Generator:
         for child in node.children:
             if isinstance(child, str):
                 if inside:
@@ -258,15 +282,15 @@ def blocks(root: Node, slots: list[int]) -> list[tuple[int, str]]:
             elif child.tag in BLOCKS:
                 flush(slot, parts)
                 inner: list[str] = []
-                walk(child, slot, inner, inside or child.tag in ("article", "main"), False)
+                yield walk(child, slot, inner, inside or child.tag in ("article", "main"), False)
                 flush(slot, inner)
             elif child.tag == "br":
                 parts.append(" ")
             else:
-                walk_inline(child, slot, parts, inside)
+                yield walk_inline(child, slot, parts, inside)
 
     parts: list[str] = []
-    walk(root, 0, parts, not has_article, True)
+    _unrolled(walk(root, 0, parts, not has_article, True))
     flush(0, parts)
     return [(slots[s] if s < len(slots) else -1, t) for s, t in out]
 

@@ -100,3 +100,15 @@ def test_layouts_stubs_and_small_hosts(spark):
         want[200 + i] = f"Title {i}\n\nwords {i}"
     got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_deep_before_footer(spark):
+    """Below any depth, text keeps the slot it stands in."""
+    rows = []
+    for i in range(25):
+        deep = "<div><section>" * 60 + f"<p>deep {i}" + "</section></div>" * 60
+        rows.append((i, "https://deep.example/", f"<body>{deep}<h2>Head {i}</h2><table><tr><td>All rights of the house</table><ul><li>own item {i}</ul><h4>Printed daily</h4>"))
+    far = "<div>" * 20000 + "<i>" * 20000 + "bottom" + "</i>" * 20000 + "</div>" * 20000
+    rows.append((99, "https://far.example/", far))
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"deep {i}\n\nHead {i}\n\nown item {i}" for i in range(25)} | {99: "bottom"}
