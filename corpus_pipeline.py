@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share go, and ``n_chars`` follows."""
-    clean = line_dedup.remove_spread_lines(docs)
+    """Lines that many sites share go, whatever share of a text they make, and ``n_chars`` follows."""
+    clean = line_dedup.remove_spread_lines(docs, max_share=1.0)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

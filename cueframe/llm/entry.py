@@ -89,7 +89,7 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that many sites share."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    clean = line_dedup.remove_spread_lines(docs)
+    clean = line_dedup.remove_spread_lines(docs, max_share=1.0)
     return clean.select("doc_id", "text", "n_lines_removed", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -54,7 +54,8 @@ def remove_spread_lines(
     distinct sites and distinct texts: copies of one text spread nothing.  A
     document whose boilerplate exceeds ``max_share`` of its characters has no
     frame around content of its own; it is left whole, for near-duplicate
-    removal to judge.  Null and empty texts come back as they are, blank lines
+    removal to judge.  With a share of 1 the lines go wherever they stand, and
+    the rest may be empty.  Null and empty texts come back as they are, blank lines
     stay, a null site is a site of its own, repeated rows are treated alike
     and an empty table gives no rows.  Columns beside the text keep names and
     values, but for one called ``n_lines_removed``, which is replaced.

@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import corpus_pipeline
 from cueframe.llm import line_dedup
 from cueframe.llm.entry import op9_line_dedup
 
@@ -59,3 +60,15 @@ def test_edges(spark):
     assert found == sorted((r[3], *w) for r, w in zip(rows, want, strict=True) if w[0] is not None)
     assert got.where("text is null").count() == 1
     assert line_dedup.remove_spread_lines(docs.limit(0)).count() == 0
+
+
+def test_mostly_boilerplate(spark, tmp_path):
+    """The query and the pipeline remove spread lines from documents that hold little else, or nothing."""
+    line = "this menu stands on every site and is longer than the rest"
+    rows = [(i, f"s{i}", f"text {i}\n{line}", 5) for i in range(12)] + [(20, "s1", line, 5)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: f"text {i}" for i in range(12)} | {20: ""}
+    got = op9_line_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and all(r["n_lines_removed"] == 1 for r in got)
+    got = corpus_pipeline.remove_shared_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got} == {k: (v, len(v)) for k, v in want.items()}
