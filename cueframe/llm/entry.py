@@ -75,6 +75,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", F.round("probability", 6).alias("probability"), F.round("text_mean", 6).alias("text_mean"), "accepted")
 
 
+def op6_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and verdict of every page, by its text, the language it
+    declares, and the host, domain and suffix of its address."""
+    pages = table(spark, sf_dir, "pages")
+    html = F.col("html").cast("string")
+    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ")
+    rows = pages.select("page_id", text.alias("text"), F.nullif(language.host_of(F.col("url")), F.lit("")).alias("host"), language.declared_in(html).alias("declared"))
+    found = language.identify(rows, language_model(table(spark, sf_dir, "documents")), "page_id", host=F.col("host"), declared=F.col("declared"))
+    return found.select("page_id", "lang", F.round("probability", 6).alias("probability"), F.round("text_mean", 6).alias("text_mean"), "accepted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the weakly supervised verdict for every document."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
@@ -105,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
+    "op6_page_language": op6_page_language,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_line_dedup": op9_line_dedup,

@@ -185,3 +185,17 @@ def test_licences_edges(spark, edges, licences):
     assert licenses.scan(edges.limit(0), licences).count() == 0
     twice = spark.createDataFrame([(None, "Released under the MIT License.", 1)] * 2, "doc_id long, text string, family int")
     assert [(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scan(twice, licences).collect()] == [(None, 0, "mit")] * 2
+
+
+def test_page_language(spark, tmp_path):
+    """Pages are judged by their declaration and the suffix of their address besides their text."""
+    from cueframe.llm.entry import op6_page_language
+
+    english, german = "the house and the garden of the king", "das haus und der garten des koenigs"
+    docs = [(i, english if i % 2 else german, "en" if i % 2 else "de") for i in range(40)]
+    rows = [(i, f"https://a{i}.example.{'uk' if i % 2 else 'de'}/", f"<html lang='{'en' if i % 2 else 'de'}-XX'><style>p {{}}</style><p>{english if i % 2 else german}") for i in range(40)]
+    rows += [(100, None, "<html lang=en><p>xq"), (101, None, "<html lang=de><p>xq"), (102, "https://new.example.de/", "<p>xq"), (103, "https://new.example.uk/", "<p>xq"), (104, "u", None), (105, None, "")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["lang"] for r in op6_page_language(spark, str(tmp_path)).collect()}
+    assert got == {i: "en" if i % 2 else "de" for i in range(40)} | {100: "en", 101: "de", 102: "de", 103: "en", 104: None, 105: None}
