@@ -1,13 +1,15 @@
 """Document quality by weak supervision.
 
-Rules vote good, bad or abstain.  Expectation-maximisation over the counts of
-vote patterns (all documents, grouped; at most ``3 ** rules`` rows) estimates
-how each rule votes on good and on bad documents, and the posterior of "good"
-replaces the filter that every rule must pass.
+Rules vote good, bad or abstain; each kind of fault is seen by several of
+them.  Expectation-maximisation over the counts of vote patterns (all
+documents, grouped; at most ``3 ** rules`` rows) estimates how each rule votes
+on good and on bad documents, and the posterior of "good" replaces the filter
+that every rule must pass: one rule that alone finds fault is outvoted.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,12 @@ WINDOW = 8
 #: The characters counted as symbols, and white space.
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
+#: ASCII without letters and digits, and what no sentence ends a word with.
+_BARE = bytes(c for c in range(128) if not chr(c).isalnum())
+_ODD = b"#*$%&|<>=~^_\\/+@{}[]`"
 _MULTIPLIERS = np.random.default_rng(8).integers(1, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_echoes", "n_ends")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_echoes", "n_ends", "n_bare", "n_odd", "n_top")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -63,6 +68,7 @@ def measure(text: str | None) -> tuple[int, ...]:
             lines += 1
             repeats += line in seen
             seen.add(line)
+    counts = Counter(words)
     return (
         len(words),
         len(text) - (len(raw) - len(raw.translate(None, _SPACES))),
@@ -71,9 +77,12 @@ def measure(text: str | None) -> tuple[int, ...]:
         repeated_words(words),
         lines,
         sum(len(w) > 1 and w.isupper() for w in words),
-        len(set(words)),
+        len(counts),
         sum(map(bytes.__eq__, words, words[1:])),
         sum(w[-1] in b".!?" for w in words),
+        sum(c for w, c in counts.items() if not w.translate(None, _BARE)),
+        sum(w[-1] in _ODD for w in words),
+        max(counts.values(), default=0),
     )
 
 
@@ -94,37 +103,45 @@ def _rule(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote: 0 bad, 1 abstains, 2 good.  What measures the same
-    fault is one rule, as the model takes rules to err independently."""
+    """Each rule's vote: 0 bad, 1 abstains, 2 good.  Noise of symbols shows in
+    the symbols, the ends of words and their length; tables in bare words, the
+    most frequent word and missing sentences; repetition in echoes, distinct
+    words, windows and lines."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     share = lambda c: F.col(c) / n
     enough = F.col("n_words") >= 40
+    # Of long texts fewer words are distinct, whatever they say.
+    fresh = share("n_distinct") * F.greatest(F.lit(1.0), F.sqrt(n / 400))
     return {
-        "word_length": _rule((share("word_chars") < 2.5) | (share("word_chars") > 12), share("word_chars").between(3.2, 9)),
         "symbols": _rule(share("n_symbols") > 0.1, share("n_symbols") < 0.01),
-        "repetition": _rule(
-            (share("n_repeat_words") > 0.3) | (share("n_echoes") > 0.2) | (enough & (share("n_distinct") < 0.15)) | ((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.4 * F.col("n_lines"))),
-            (share("n_repeat_words") < 0.05) & (share("n_echoes") < 0.05) & (F.col("n_dup_lines") < 0.1 * F.col("n_lines")),
-        ),
+        "odd_ends": _rule(share("n_odd") > 0.1, share("n_odd") < 0.02),
+        "bare_words": _rule(share("n_bare") > 0.1, share("n_bare") < 0.02),
+        "word_length": _rule((share("word_chars") < 2.5) | (share("word_chars") > 6.8), share("word_chars").between(3.2, 6.3)),
+        "sentences": _rule(enough & ((share("n_ends") < 0.03) | (share("n_ends") > 0.5)), share("n_ends").between(0.045, 0.35)),
+        "top_word": _rule(enough & (share("n_top") > 0.2), share("n_top") < 0.12),
+        "distinct": _rule(enough & (fresh < 0.5), fresh > 0.6),
+        "echoes": _rule(share("n_echoes") > 0.2, share("n_echoes") < 0.05),
+        "windows": _rule(share("n_repeat_words") > 0.25, share("n_repeat_words") < 0.05),
+        "lines": _rule((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.4 * F.col("n_lines")), F.col("n_dup_lines") < 0.1 * F.col("n_lines")),
         "capitals": _rule(share("n_upper") > 0.3, share("n_upper") < 0.05),
-        "sentences": _rule(enough & ((share("n_ends") < 0.005) | (share("n_ends") > 0.5)), share("n_ends").between(0.01, 0.4)),
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 1.0, false_alarm: float = 0.002) -> np.ndarray:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, smooth: float = 1.0, doubts: int = 2, false_alarm: float | None = None) -> np.ndarray:
     """EM for two classes whose rules vote independently: the posterior of
     "good" for each vote pattern.  An abstention tells nothing.  It starts
-    from "no rule says bad".  Each rule is known to fire seldom on good
-    documents, at most at the rate ``false_alarm``: without that bound a kind
-    of fault that only one rule sees counts as that rule's error."""
-    good = np.where((patterns == 0).any(axis=1), 0.1, 0.9)
+    from "``doubts`` rules or more say bad"; ``smooth`` counts for so many
+    votes of either kind beside those seen.  ``false_alarm``, if given, bounds
+    how often a rule may fire on good documents; the verdicts do not need it."""
+    bad_votes = (patterns == 0).sum(axis=1)
+    good = np.where(bad_votes >= doubts, 0.1, np.where(bad_votes == 0, 0.95, 0.8))
     votes = np.stack([patterns == v for v in (0, 2)], axis=2).astype(float)
     for _ in range(rounds):
         logs = []
         for weight in (counts * (1 - good), counts * good):
             tally = np.einsum("p,prv->rv", weight, votes) + smooth
             bad = tally[:, 0] / tally.sum(axis=1)
-            if len(logs):
+            if len(logs) and false_alarm is not None:
                 bad = np.minimum(bad, false_alarm)
             logs.append(np.log(np.stack([bad, 1 - bad], axis=1)))
         prior = (counts * good).sum() + 1.0, (counts * (1 - good)).sum() + 1.0

@@ -94,9 +94,8 @@ def test_quality_labels(spark):
     """The labels, which no rule has seen, agree."""
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").select("doc_id", "quality").distinct().withColumnRenamed("quality", "label")
     judged = op7_quality_rules(spark, SF).where("not base_failed").join(labels, "doc_id")
-    keeps = dict(judged.groupBy("label").agg({"kept": "count"}).collect())
-    good = judged.where("label = 1").selectExpr("avg(cast(kept as double))").first()[0]
-    assert keeps and good > 0.95
+    right, n = judged.selectExpr("avg(cast(kept = (label = 1) as double))", "count(*)").first()
+    assert n > 300 and right > 0.98
 
 
 def test_votes_recovered():
@@ -110,6 +109,33 @@ def test_votes_recovered():
     assert (said == good).mean() > 0.98
 
 
+def votes_of(judged):
+    return np.array(judged.select(*[v.alias(k) for k, v in quality.rules().items()]).collect())
+
+
+def test_quality_verdict_needs_no_bound(docs):
+    """Whatever bound is put on false alarms, the verdicts are the same; and
+    they are not those of a filter that every rule must pass."""
+    votes = votes_of(quality.features(docs))
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    said = [quality.fit_votes(patterns, counts.astype(float), false_alarm=b)[which.ravel()] >= 0.5 for b in (None, 0.3, 0.1, 0.02, 0.002)]
+    assert all((s == said[0]).all() for s in said)
+    doubted = (votes == 0).any(axis=1)
+    assert (said[0] & doubted).any() and (~said[0] & doubted).any() and said[0][~doubted].all()
+
+
+def test_quality_conflicts(spark, docs):
+    """One rule's bad vote is outvoted; three are not."""
+    base = docs.where("length(text) > 900 and doc_id % 3 = 0").select("doc_id", "text")
+    prose = [" ".join(f"word{(i * 7 + j * j) % 89}" for j in range(80)) + " end." for i in range(20)]
+    shouted = [(10**6 + i, t.upper()) for i, t in enumerate(prose)]
+    noise = [(2 * 10**6 + i, " ".join(w + "***" for w in t.split(" "))) for i, t in enumerate(prose)]
+    judged = quality.judge(base.unionByName(spark.createDataFrame(shouted + noise, "doc_id long, text string")))
+    got = {r["doc_id"]: r["kept"] for r in judged.where("doc_id >= 1000000").collect()}
+    assert all(got[i] for i, _ in shouted) and not any(got[i] for i, _ in noise)
+    assert ((votes_of(judged.where("doc_id between 1000000 and 1999999")) == 0).sum(axis=1) == 1).all()
+
+
 def test_quality_edges(edges):
     got = quality.judge(edges).collect()
     assert len(got) == len(EDGES)
