@@ -127,7 +127,7 @@ def test_quality_verdict_needs_no_bound(docs):
 def test_quality_conflicts(spark, docs):
     """One rule's bad vote is outvoted; three are not."""
     base = docs.where("length(text) > 900 and doc_id % 3 = 0").select("doc_id", "text")
-    prose = [" ".join(f"word{(i * 7 + j * j) % 89}" for j in range(80)) + " end." for i in range(20)]
+    prose = [" ".join(f"word{(i * 7 + j * 5) % 89}" + "." * (j % 12 == 11) for j in range(80)) for i in range(20)]
     shouted = [(10**6 + i, t.upper()) for i, t in enumerate(prose)]
     noise = [(2 * 10**6 + i, " ".join(w + "***" for w in t.split(" "))) for i, t in enumerate(prose)]
     judged = quality.judge(base.unionByName(spark.createDataFrame(shouted + noise, "doc_id long, text string")))
