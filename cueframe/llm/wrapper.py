@@ -6,20 +6,23 @@ aligned with the reference tree by simple tree matching.  Nodes that the
 reference lacks are aligned with each other by their path of keys, so that
 other layouts, and a host whose reference is a stub, are aligned as well.
 Aggregation per host and slot then tells texts that stay constant in a slot,
-which are template, from the others, which are content.  Roles that a page names itself (menus,
-footers, adverts and so on) are never content.
+or that a slot shows by turns on pages of different content, which are
+template, from the others, which are content.  Roles that a page names itself
+(menus, footers, adverts and so on) are never content.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Generator, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueframe.llm.common import cut, written
@@ -38,7 +41,8 @@ CLOSES = {
 }
 P_CLOSERS = BLOCKS - {"body", "caption", "dd", "dt", "html", "legend", "li", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: Elements and names whose contents are never main text.
-DROPPED = frozenset("head script style noscript template svg math iframe object canvas audio video nav footer aside form button select textarea input dialog menu title".split())
+DROPPED = frozenset("head script style noscript template svg math iframe object canvas audio video form button select textarea input dialog title".split())
+PARTS = frozenset("nav footer aside menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead cookie cookies consent notice popup modal "
@@ -46,10 +50,27 @@ NAMES = frozenset(
 )
 
 
+class Hints(NamedTuple):
+    """What a page may say of its own parts: class, id and role names and
+    elements that are never content, and elements that alone hold it."""
+
+    names: frozenset[str] = NAMES
+    roles: frozenset[str] = ROLES
+    parts: frozenset[str] = PARTS
+    mains: frozenset[str] = frozenset({"article", "main"})
+
+
+NO_HINTS = Hints(frozenset(), frozenset(), frozenset(), frozenset())
+
 #: Reference pages of all hosts together, in bytes, that are broadcast at most.
 REFERENCE_BYTES = 16 << 20
 
 
+#: What ends comments and declarations, and comments that end as they begin.
+_COMMENT_END, _TAG_END, _SECTION_END, _SUBSET_END = (re.compile(x) for x in ("--!?>", ">", r"\]\]>", r"\]\s*>"))
+_NO_COMMENT, _SUBSET, _OPEN_TAG = re.compile("<!---?>"), re.compile(r"(?i)<!doctype[^>\[]*\["), re.compile("</?[a-zA-Z]")
+
+
 class Node:
     __slots__ = ("children", "key", "own", "role", "tag")
 
@@ -61,15 +82,37 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    """A lenient DOM: implied end tags, and stray end tags left out."""
+    """A lenient DOM: implied end tags, stray end tags left out, and unclosed
+    comments, declarations and tags that swallow the rest of the page."""
 
-    def __init__(self):
+    def __init__(self, hints: Hints):
         super().__init__(convert_charrefs=True)
+        self.hints = hints
         self.root = Node("#root", False)
         self.open = [self.root]
         #: How often each tag is open: what is not open need not be looked for.
         self.counts: Counter[str] = Counter()
 
+    def _past(self, pattern: re.Pattern, at: int) -> int:
+        found = pattern.search(self.rawdata, at)
+        return found.end() if found else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        at = _NO_COMMENT.match(self.rawdata, i)
+        return at.end() if at else self._past(_COMMENT_END, i + 4)
+
+    def parse_pi(self, i: int) -> int:
+        return self._past(_TAG_END, i)
+
+    def parse_html_declaration(self, i: int) -> int:
+        raw = self.rawdata
+        if raw.startswith("<!--", i):
+            return self.parse_comment(i)
+        if raw.startswith("<![CDATA[", i):
+            return self._past(_SECTION_END, i)
+        subset = _SUBSET.match(raw, i)
+        return self._past(_SUBSET_END, subset.end()) if subset else self._past(_TAG_END, i)
+
     def _close(self, at: int) -> None:
         self.counts.subtract(n.tag for n in self.open[at:])
         del self.open[at:]
@@ -90,10 +133,11 @@ class _Builder(HTMLParser):
         if tag in CLOSES:
             self._close_last(*CLOSES[tag])
         named = [v for k, v in attrs if k in ("class", "id", "role") and v]
-        role = tag in DROPPED or (tag == "header" and not (self.counts["article"] or self.counts["main"]))
+        hints = self.hints
+        role = tag in DROPPED or tag in hints.parts or (tag == "header" and bool(hints.mains) and not any(self.counts[t] for t in hints.mains))
         if named:
             names = {part for v in named for word in v.lower().split() for part in (word, *word.replace("_", "-").split("-"))}
-            role = role or bool(names & NAMES) or any(k == "role" and v and v.lower() in ROLES for k, v in attrs)
+            role = role or bool(names & hints.names) or any(k == "role" and v and v.lower() in hints.roles for k, v in attrs)
         node = Node(tag, role)
         if named:
             node.key = tag + "." + ".".join(sorted(named))
@@ -124,9 +168,12 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def parse(html: str | None) -> Node:
-    builder = _Builder()
+def parse(html: str | None, hints: Hints = Hints()) -> Node:  # noqa: B008
+    builder = _Builder(hints)
     builder.feed(html or "")
+    # What is left is text, or a tag that the page breaks off in.
+    if _OPEN_TAG.match(builder.rawdata):
+        builder.rawdata = ""
     builder.close()
     return builder.root
 
@@ -217,16 +264,16 @@ def _count(t: tuple) -> int:
 
 
 @lru_cache(maxsize=256)
-def _reference(html: str) -> tuple:
-    return folded(parse(html))
+def _reference(html: str, hints: Hints) -> tuple:
+    return folded(parse(html, hints))
 
 
-def blocks(root: Node, slots: list[int]) -> list[tuple[int, str]]:
+def blocks(root: Node, slots: list[int], mains: frozenset[str] = Hints().mains) -> list[tuple[int, str]]:
     """(slot, text) of the blocks outside dropped roles, in page order.  The
     slot is that of the innermost folded element; ``slots`` numbers them."""
     out: list[tuple[int, str]] = []
     count = [0]
-    has_article = _find(root, "article") or _find(root, "main")
+    has_main = _find(root, mains)
 
     def flush(slot: int, parts: list[str]) -> None:
         text = " ".join("".join(parts).split())
@@ -263,7 +310,7 @@ def blocks(root: Node, slots: list[int]) -> list[tuple[int, str]]:
                         yield skip(child)
                     continue
                 inner: list[str] = []
-                now = inside or child.tag in ("article", "main")
+                now = inside or child.tag in mains
                 yield walk(child, last_slot, inner, now, new and fresh)
                 if now:
                     flush(last_slot, inner)
@@ -282,7 +329,7 @@ def blocks(root: Node, slots: list[int]) -> list[tuple[int, str]]:
             elif child.tag in BLOCKS:
                 flush(slot, parts)
                 inner: list[str] = []
-                yield walk(child, slot, inner, inside or child.tag in ("article", "main"), False)
+                yield walk(child, slot, inner, inside or child.tag in mains, False)
                 flush(slot, inner)
             elif child.tag == "br":
                 parts.append(" ")
@@ -290,16 +337,16 @@ def blocks(root: Node, slots: list[int]) -> list[tuple[int, str]]:
                 yield walk_inline(child, slot, parts, inside)
 
     parts: list[str] = []
-    _unrolled(walk(root, 0, parts, not has_article, True))
+    _unrolled(walk(root, 0, parts, not has_main, True))
     flush(0, parts)
     return [(slots[s] if s < len(slots) else -1, t) for s, t in out]
 
 
-def _find(node: Node, tag: str) -> bool:
+def _find(node: Node, tags: frozenset[str]) -> bool:
     stack = [node]
     while stack:
         n = stack.pop()
-        if n.tag == tag and not n.role:
+        if n.tag in tags and not n.role:
             return True
         stack += [c for c in n.children if isinstance(c, Node)]
     return False
@@ -320,15 +367,15 @@ def _paths(tree: tuple) -> list[int]:
     return out
 
 
-def align(html: str | None, reference: str | None) -> list[tuple[int, str]]:
+def align(html: str | None, reference: str | None, hints: Hints = Hints()) -> list[tuple[int, str]]:  # noqa: B008
     """(slot, text) of a page's blocks: the slot is the reference's node, or
     stands for the path where the reference has none."""
-    root = parse(html)
+    root = parse(html, hints)
     tree = folded(root)
-    partner = tree_match(tree, _reference(reference))[1] if reference else [-1] * _count(tree)
+    partner = tree_match(tree, _reference(reference, hints))[1] if reference else [-1] * _count(tree)
     if reference and -1 in partner:
         partner = [p if p >= 0 else own for p, own in zip(partner, _paths(tree), strict=True)]
-    return blocks(root, partner)
+    return blocks(root, partner, hints.mains)
 
 
 def _code(*parts: object) -> int:
@@ -346,16 +393,30 @@ def _coded(found: list[tuple[int, str]]) -> list[dict]:
 
 
 def main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, constant: float = 0.95
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    least_pages: int = 3,
+    constant: float = 0.95,
+    least_turns: int = 20,
+    single: float = 0.05,
+    rare: float = 0.002,
+    hints: Hints = Hints(),  # noqa: B008
 ) -> DataFrame:
     """``(id, url, text, n_chars)`` for every row.
 
     A text in a slot is template if at least ``least_pages`` pages of the host
     with different texts have the slot and ``constant`` of them hold that text
-    in it; another text in the same slot stays.  A page that would lose all
-    its blocks keeps them: what is constant there is its content.  Null and empty
+    in it; or if ``least_turns`` pages whose longest other blocks differ have
+    the slot, at most ``single`` of them hold a text there that no other does,
+    and two or more, ``rare`` of them, hold this one.  Another text in the same
+    slot stays.  A page that would lose all its blocks keeps them: what is
+    constant there is its content.  ``hints`` are what pages say of
+    themselves.  Null and empty
     pages, and pages without main text, give an empty text; a page whose host
-    is unknown or new keeps every block that no role rules out; repeated rows
+    is unknown or new keeps every block that no role rules out; a comment,
+    declaration or tag that never ends takes the rest of its page; repeated rows
     come back repeated; an empty table gives no rows; other columns are not
     read.  Bytes of one page bound a task's memory.
     """
@@ -370,10 +431,10 @@ def main_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.schema.names
-            html, ref = b.column(names.index("_html")), b.column(names.index("_ref"))
-            found = [align(h.as_py(), r.as_py()) for h, r in zip(html, ref, strict=True)]
-            keep = [n for n in names if n not in ("_html", "_ref")]
+            fields = b.schema.names
+            html, ref = b.column(fields.index("_html")), b.column(fields.index("_ref"))
+            found = [align(h.as_py(), r.as_py(), hints) for h, r in zip(html, ref, strict=True)]
+            keep = [n for n in fields if n not in ("_html", "_ref")]
             lists = pa.array([_coded(f) for f in found], pa.list_(pa.struct([("slot", pa.int64()), ("x", pa.int64()), ("text", pa.string())])))
             whole = pa.array([_code(*(t for _, t in f)) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), whole, lists], [*keep, "_page", "_blocks"])
@@ -382,19 +443,33 @@ def main_text(
     schema = f"_id {id_type}, _url string, _host string, _page long, _blocks array<struct<slot:long,x:long,text:string>>"
     aligned = rows.join(chosen, "_host", "left").select("_id", "_url", "_host", "_html", "_ref")
     aligned = written(aligned.mapInArrow(run, schema), "pages")
-    # What each slot of a page holds, all its blocks together, and how many pages of different text agree.
-    held = aligned.where("_host <> ''").select("_host", "_page", F.explode("_blocks").alias("b")).select("_host", "_page", "b.slot", "b.x").where("slot <> -1").distinct()
-    same = held.groupBy("_host", "slot", "x").count()
-    slots = same.groupBy("_host", "slot").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("x", "count").alias("x"))
-    slots = slots.where((F.col("n") >= least_pages) & (F.col("most") >= constant * F.col("n"))).groupBy("_host").agg(F.collect_set("x").alias("_fixed"))
-    slots = cut(slots)
-    n = slots.agg(F.sum(2 * F.size("_fixed") + 8)).first()[0] or 0
-    # As with the references: a checked size is broadcast, beyond it both sides are shuffled by host.
-    known = aligned.join(F.broadcast(slots) if 4 * n <= REFERENCE_BYTES else slots, "_host", "left")
-    varying = F.when(F.col("_fixed").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~F.array_contains(F.col("_fixed"), b.x)))
-    varying = F.when(F.size(varying) > 0, varying).otherwise(F.col("_blocks"))
+    def texts_of(rows: DataFrame, page: str, blocks: str) -> DataFrame:
+        """What each slot of a page holds, all its blocks together, and how many different pages agree."""
+        held = rows.where("_host <> ''").select("_host", page, F.explode(blocks).alias("b")).select("_host", page, "b.slot", "b.x").where("slot <> -1").distinct()
+        return held.groupBy("_host", "slot", "x").count()
+
+    def without(rows: DataFrame, texts: DataFrame, blocks: str) -> DataFrame:
+        """``rows`` with ``_left``: their blocks but for the host's ``texts``.  As with the
+        references, a checked size is broadcast; beyond it both sides are shuffled by host."""
+        sets = cut(texts.groupBy("_host").agg(F.collect_set("x").alias("_gone")))
+        n = sets.agg(F.sum(2 * F.size("_gone") + 8)).first()[0] or 0
+        joined = rows.join(F.broadcast(sets) if 4 * n <= REFERENCE_BYTES else sets, "_host", "left")
+        left = F.when(F.col("_gone").isNull(), F.col(blocks)).otherwise(F.filter(blocks, lambda b: ~F.array_contains(F.col("_gone"), b.x)))
+        return joined.withColumn("_left", left).drop("_gone")
+
+    total = lambda c: F.sum(c).over(Window.partitionBy("_host", "slot"))
+    # A slot's constant text holds nearly all of its pages, so it is one.
+    same = texts_of(aligned, "_page", "_blocks").withColumn("n", total("count"))
+    known = without(aligned, same.where((F.col("n") >= least_pages) & (F.col("count") >= constant * F.col("n"))), "_blocks").withColumnRenamed("_left", "_vary")
+    # Of what varies, texts that come by turns: pages differ if their longest block does, so that near copies count once.
+    longest = F.array_max(F.transform("_vary", lambda b: F.struct(F.length(b.text).alias("n"), F.xxhash64(b.text).alias("h"))))["h"]
+    turns = texts_of(known.withColumn("_lead", longest), "_lead", "_vary")
+    turns = turns.withColumn("n", total("count")).withColumn("lone", total((F.col("count") == 1).cast("long")))
+    often = (F.col("n") >= least_turns) & (F.col("lone") <= single * F.col("n")) & (F.col("count") >= F.greatest(F.lit(2), rare * F.col("n")))
+    known = without(known, turns.where(often), "_vary")
+    varying = F.when(F.size("_left") > 0, F.col("_left")).when(F.size("_vary") > 0, F.col("_vary")).otherwise(F.col("_blocks"))
     text = F.array_join(F.transform(varying, lambda b: b.text), "\n\n")
     return known.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-__all__ = ["align", "blocks", "folded", "main_text", "parse", "tree_match"]
+__all__ = ["NO_HINTS", "Hints", "align", "blocks", "folded", "main_text", "parse", "tree_match"]

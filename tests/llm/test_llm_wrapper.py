@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cueframe.llm import wrapper
 from cueframe.llm.entry import op10_html_extraction
 
@@ -112,3 +114,70 @@ def test_deep_before_footer(spark):
     rows.append((99, "https://far.example/", far))
     got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"deep {i}\n\nHead {i}\n\nown item {i}" for i in range(25)} | {99: "bottom"}
+
+
+def test_broken_markup(spark):
+    """Comments, declarations and tags without an end, and sections unknown to HTML."""
+    cases = {
+        "<p>a<!-- unclosed b": "a",
+        "<!DOCTYPE html [<!ENTITY x 'y>'> ]><p>x": "x",
+        "<![foo[x]]><p>y<![CDATA[q>]]>z<p class='": "yz",
+        "<!-->a<!--->b<!-- x --!>c<?php x ?>d": "abcd",
+        "<p>1 < 2 &amp; 3 <": "1 < 2 & 3 <",
+        "<p>text &am": "text &am",
+        "<!": "", "<": "<", "</": "</", "<p": "", "<!DOCTYPE": "",
+        "<p>" + "<div>" * 100000 + "deep" + "</div>" * 100000: "deep",
+        "<b>" * 100000 + "bold": "bold",
+    }
+    df = spark.createDataFrame([(i, f"http://h{i % 3}.example/", h) for i, h in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def listless(rows, spark, **options):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = wrapper.main_text(df, hints=wrapper.NO_HINTS, **options)
+    return {r["page_id"]: r["text"] for r in found.collect()}
+
+
+def named_page(i, turn):
+    menu = "".join(f"<li>{x}" for x in ("Home", "Sports", "Weather"))
+    return (
+        f"<body><div class=navbar><ul>{menu}</ul></div><div role=banner>The paper</div><div class=promo>Offer {turn}</div><div class=story><h1>Title {i}</h1><p>words of {i} and more words"
+        f"</div><div class=comments><h3>Comments</h3></div><div id=footer>All rights reserved</div>"
+    )
+
+
+def test_template_alone(spark):
+    """Without any list of names, roles or elements, alignment and aggregation find the
+    template of hosts whose pages share one; without them, no page comes right."""
+    rows = [(i, f"https://h{i % 2}.example/{i}", named_page(i, i % 7)) for i in range(120)]
+    want = {i: f"Title {i}\n\nwords of {i} and more words" for i in range(120)}
+    assert listless(rows, spark) == want
+    off = listless(rows, spark, least_pages=10**9, least_turns=10**9)
+    assert sum(off[i] != want[i] for i in want) == 120
+    fixed = listless(rows, spark, least_turns=10**9)
+    assert all(fixed[i] == f"Offer {i % 7}\n\n{want[i]}" for i in want)
+
+
+def test_near_copies_take_no_turns(spark):
+    """What near copies share is no notice that a slot shows by turns: pages
+    with one longest paragraph count once."""
+    bodies = [" ".join(f"word{j}x{k}" for j in range(60)) for k in range(4)]
+    rows = [(i, "https://copies.example/", f"<h1>Title {i % 4}</h1><p>{bodies[i % 4]}<p>Changed {i}") for i in range(80)]
+    assert listless(rows, spark) == {i: f"Title {i % 4}\n\n{bodies[i % 4]}\n\nChanged {i}" for i in range(80)}
+
+
+def test_template_of_whole_table(spark):
+    """Of pages as they come, with no hint taken: on the host with pages enough
+    for its changing menus, notices and footers to come again, the method alone
+    gives the main text; without it no page comes right."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want, got, off = (
+        {r["page_id"]: r["text"] for r in wrapper.main_text(pages, **o).select("page_id", "text").collect()}
+        for o in ({}, {"hints": wrapper.NO_HINTS}, {"hints": wrapper.NO_HINTS, "least_pages": 10**9, "least_turns": 10**9})
+    )
+    host = pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("h")).count().agg(F.max("count")).first()[0]
+    right = {i for i in want if got[i] == want[i]}
+    assert len(right) > 0.95 * host and not any(off[i] == want[i] for i in want)
+    assert all(got[i] in (off[i], want[i]) for i in want)
