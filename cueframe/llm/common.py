@@ -34,6 +34,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def lowest(rows: DataFrame, h: str, n: int) -> DataFrame:
+    """``n`` rows whose 64-bit hash in column ``h`` is lowest, ties by the row.
+    A bound on the hash leaves a few times as many, so that no task takes in
+    more than that, however many partitions there are."""
+    total = rows.count()
+    if total > 8 * n:
+        rows = rows.where(F.col(h) <= F.lit(int(4.0 * n / total * 2.0**64 - 2.0**63)).cast("long"))
+    return rows.orderBy(h, *[c for c in rows.columns if c != h]).limit(n)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is set only where the
     session names none (single-machine tests)."""

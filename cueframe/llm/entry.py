@@ -24,7 +24,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph that names a licence, with its family."""
     docs = table(spark, sf_dir, "documents")
     found = licenses.scan(docs, licenses.train(spark, docs))
-    return found.select("doc_id", "paragraph", "family", F.round("probability", 4).alias("probability"), F.round("template_match", 4).alias("template_match"), "confirmed")
+    return found.select("doc_id", "paragraph", "n_lines", "family", F.round("probability", 4).alias("probability"), F.round("template_match", 4).alias("template_match"), "confirmed")
 
 
 #: Labelled texts of each class that the toxicity model is fitted on at most.

@@ -1,9 +1,11 @@
 """Licence scans of paragraphs: a trained classifier confirmed by templates.
 
 A sparse logistic regression over word n-grams names the licence family of a
-paragraph or says "unknown"; its probabilities are calibrated on held-out
-paragraphs; a comparison with the family's notices confirms the prediction.
-The path from documents to result is DataFrame functions only.
+paragraph or says "unknown", as it does of licences outside its families; its
+probabilities are calibrated on phrasings and licences that it was not fitted
+on; a comparison with templates of all families confirms the prediction.  A
+paragraph is a line, or neighbouring lines that speak of licences: notices are
+often wrapped.  The path from documents to result is DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import cut
+from cueframe.llm.common import cut, lowest
 
 UNKNOWN = "unknown"
 #: Usual one-line notices of each family.
@@ -67,6 +69,8 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "Licensed under the MIT license.",
+        "Licensed under MIT.",
+        "Released under MIT terms.",
         "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
@@ -80,7 +84,34 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "This work is dedicated to the public domain.",
     ),
 }
-#: Paragraphs that speak of licences, or with their words, and grant none.
+#: What each family is called.
+NAMES: dict[str, tuple[str, ...]] = {
+    "agpl": ("GNU Affero General Public License", "GNU AGPL v3", "AGPLv3", "AGPL-3.0", "Affero GPL"),
+    "apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache Software License"),
+    "bsd": ("BSD License", "BSD 3-Clause License", "BSD-3-Clause", "New BSD License", "2-clause BSD license", "BSD-style license"),
+    "cc-by": ("CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License"),
+    "cc-by-nc": ("CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License"),
+    "cc-by-sa": ("CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License"),
+    "gpl": ("GNU General Public License, version 3", "GNU General Public License", "GNU GPL v3", "GNU GPL", "GPLv3", "GPL-3.0", "GPL version 2", "GPLv2"),
+    "lgpl": ("GNU Lesser General Public License", "GNU LGPL v3", "LGPLv3", "LGPL-2.1", "LGPL version 2.1"),
+    "mit": ("MIT License", "MIT licence", "Expat License", "MIT-style license"),
+    "mpl": ("Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0"),
+    "public-domain": ("CC0 1.0", "CC0 1.0 Universal", "Unlicense", "CC0 public domain dedication"),
+}
+#: Licences outside the families; those of the second row calibrate.
+FOREIGN = (
+    "Eclipse Public License 2.0", "ISC License", "Boost Software License 1.0", "European Union Public Licence, version 1.2", "zlib License", "Common Development and Distribution License", "Open Software License 3.0",
+    "commercial license", "proprietary license", "end user license agreement", "Business Source License 1.1", "Python Software Foundation License", "SIL Open Font License, version 1.1", "EPL-2.0", "BSL-1.0", "EUPL-1.2",
+)
+FOREIGN_HELD = ("Artistic License 2.0", "Microsoft Public License", "PHP License, version 3.01", "Academic Free License 3.0", "Server Side Public License", "Elastic License 2.0", "PostgreSQL License", "Open Database License 1.0", "MS-PL", "OSL-3.0")
+#: How texts grant a licence; the second row calibrates.
+PHRASES = (
+    "Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "This program is licensed under the {}.", "This work is licensed under a {}.", "This project is available under the {}.",
+    "Distributed under the terms of the {}.", "The code is covered by the {}.", "You may use this software under the {}.", "License: {}", "Published under {}.", "{}", "It is free software under the {}, see the file for details.",
+    "SPDX-License-Identifier: {}",
+)
+PHRASES_HELD = ("Provided under the {}.", "This file is subject to the {}.", "All sources are made available under {}.", "Copyright 2020 the authors, {}.", "The library is governed by the terms of the {}.")
+#: Paragraphs that speak of licences, or with their words, and grant none; the second row calibrates.
 OTHERS = (
     "You need a driving license to rent a car in this state.",
     "The license fee is due every year and covers public television.",
@@ -94,6 +125,19 @@ OTHERS = (
     "This work was supported by a grant from the national science foundation.",
     "A copy of this form must be signed and returned with the documentation.",
     "They granted him permission to use the file under some conditions.",
+    "The MIT team met the Mozilla team, and GNU tools were shown to the public.",
+    "An Apache chief spoke at the Creative Commons meeting in Boston.",
+    "Version 2.0 of the map covers the common land of the parish.",
+    "The domain of the function is public knowledge.",
+    "BSD systems were common at the time, and so were Apache servers.",
+)
+OTHERS_HELD = (
+    "His pilot's license was issued under the old rules.",
+    "The MIT campus is open to the public under certain terms.",
+    "The Apache web server and BSD systems run most of the sites.",
+    "Version 3 of the program was released in May under a new name.",
+    "The work of the foundation is free and open to everyone.",
+    "The general public may copy the map for their own use.",
 )
 WORDS = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -143,38 +187,49 @@ def _variants(notice: str) -> list[str]:
     return [notice, *(" ".join(words[:i] + words[i + 1 :]) for i in range(len(words)) if len(words) > 3), f"{notice} See the file for details.", f"Copyright 2020 the authors. {notice}"]
 
 
-def train(spark, corpus: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", sample: int = 1000, reg: float = 0.001) -> LicenceModel:
-    """Fit on the notices and their variants, and as negatives on ``OTHERS``
-    and one paragraph each of at most ``sample`` documents that name no
-    licence, those whose id hashes lowest."""
-    rows = [(v, family) for family, notices in NOTICES.items() for n in notices for v in _variants(n)]
-    rows += [(v, UNKNOWN) for o in OTHERS for v in _variants(o)]
-    data = spark.createDataFrame(rows, "line string, family string").withColumn("own", F.lit(True))
+def lessons() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(paragraph, family) pairs to fit on, and others to calibrate on: these
+    have phrasings, foreign licences and plain paragraphs of their own."""
+    fit = [(p.format(n), f) for f, names in NAMES.items() for n in names for p in PHRASES]
+    fit += [(v, f) for f, notices in NOTICES.items() for n in notices for v in _variants(n) if not v.startswith("Copyright")]
+    fit += [(p.format(n), UNKNOWN) for n in FOREIGN for p in PHRASES] + [(v, UNKNOWN) for o in OTHERS for v in _variants(o)]
+    held = [(p.format(n), f) for f, names in NAMES.items() for n in names for p in PHRASES_HELD]
+    held += [(f"Copyright 2020 the authors. {n}", f) for f, notices in NOTICES.items() for n in notices]
+    held += [(p.format(n), UNKNOWN) for n in FOREIGN_HELD for p in (*PHRASES, *PHRASES_HELD)] + [(v, UNKNOWN) for o in OTHERS_HELD for v in _variants(o)]
+    return fit, held
+
+
+def train(spark, corpus: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", sample: int = 1000, reg: float = 0.0001) -> LicenceModel:
+    """Fit on ``lessons`` and, as negatives, one line each of at most
+    ``sample`` documents, those whose id hashes lowest, if it names no licence;
+    every fourth of these calibrates."""
+    fit, held = lessons()
+    data = spark.createDataFrame([(*x, True, False) for x in fit] + [(*x, True, True) for x in held], "line string, family string, own boolean, held boolean")
     if corpus is not None:
-        lines = corpus.orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(sample).select(F.element_at(F.split(text_col, "\n"), -1).alias("line"))
-        plain = lines.where("line is not null and not lower(line) rlike 'licen[cs]e|copyright|gpl|domain'")
-        data = data.unionByName(plain.select("line", F.lit(UNKNOWN).alias("family"), F.lit(False).alias("own")))
+        lines = F.split(F.col(text_col).cast("string"), "\n")
+        h = F.xxhash64(F.col(id_col), F.lit(1))
+        picked = corpus.select(h.alias("h"), F.get(lines, F.pmod(h, F.greatest(F.size(lines), F.lit(1))).cast("int")).alias("line")).where("line is not null")
+        plain = lowest(picked, "h", sample).where("not lower(line) rlike 'licen[cs]e|copyright|gpl|domain'")
+        data = data.unionByName(plain.select("line", F.lit(UNKNOWN).alias("family"), F.lit(False).alias("own"), (F.pmod("h", F.lit(4)) == 0).alias("held")))
     families = (UNKNOWN, *sorted(NOTICES))
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
-    data = data.select(grams(tokens(F.col("line"))).alias("grams"), label.alias("label"), "own", (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
     # A few thousand short rows: one partition, so that each step of the optimiser is one small task.
-    small = data.coalesce(1).persist()
-    data = small
+    data = data.select(grams(tokens(F.col("line"))).alias("grams"), label.alias("label"), "own", "held").coalesce(1).persist()
     plain = data.where("not own")
     least = 0.005 * plain.count()
     common = frozenset(r["g"] for r in plain.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= least).where("not g like '% %'").collect())
     # N-grams of common words alone name no licence.
-    vocabulary = [r["g"] for r in data.where("label > 0").select(F.explode("grams").alias("g")).distinct().orderBy("g").collect() if set(r["g"].split()) - common]
+    vocabulary = [r["g"] for r in data.where("label > 0 and not held").select(F.explode("grams").alias("g")).distinct().orderBy("g").collect() if set(r["g"].split()) - common]
     counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="x", minTF=1.0)
-    data = counts.transform(data)
+    known = counts.transform(data)
     learner = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=reg, elasticNetParam=1.0, maxIter=100, standardization=False)
-    model = learner.fit(data.where("not held"))
-    held = [(list(r["rawPrediction"]), int(r["label"])) for r in model.transform(data.where("held")).select("rawPrediction", "label").collect()]
-    small.unpersist()
+    model = learner.fit(known.where("not held"))
+    rest = [(list(r["rawPrediction"]), int(r["label"])) for r in model.transform(known.where("held")).select("rawPrediction", "label").collect()]
+    data.unpersist()
 
     def loss(t: float) -> float:
         total = 0.0
-        for raw, k in held:
+        for raw, k in rest:
             top = max(raw)
             total += math.log(sum(math.exp((x - top) / t) for x in raw)) - (raw[k] - top) / t
         return total
@@ -189,29 +244,47 @@ def train(spark, corpus: DataFrame | None = None, text_col: str = "text", id_col
     return LicenceModel(families[1:], weights, tuple(b - bias[0] for b in bias[1:]), temperature, common)
 
 
+def templates() -> list[tuple[int, str, str]]:
+    """(number, family, text): the notices and names of the families, and the
+    names of foreign licences under "unknown"."""
+    texts = [(f, n) for f, ns in NOTICES.items() for n in ns] + [(f, n) for f, ns in NAMES.items() for n in ns] + [(UNKNOWN, n) for n in (*FOREIGN, *FOREIGN_HELD)]
+    return [(i, f, n) for i, (f, n) in enumerate(texts)]
+
+
 def scan(
     docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, least_match: float = 0.7
 ) -> DataFrame:
-    """``(id, paragraph, family, probability, template_match, confirmed)``: a
-    row per paragraph (line) whose family is at least ``threshold`` likely.
+    """``(id, paragraph, n_lines, family, probability, template_match, confirmed)``:
+    a row per paragraph whose family is at least ``threshold`` likely.
 
+    ``paragraph`` is the number of its first line.  A line is a paragraph, and
+    so are neighbouring lines that all hold an anchor word of the model, joined
+    by spaces: together they are reported, in place of each, where none of them
+    is found, or none confirmed but the whole is.
     ``template_match`` is the share of the n-grams of the family's closest
-    notice that the paragraph holds, and ``confirmed`` says that it reaches
-    ``least_match``.  Null, empty and blank texts have no paragraphs; a tie
-    goes to the first family in code order; repeated rows come back repeated;
-    an empty table gives no rows; other columns are not read.  Each distinct
-    paragraph is scored once, so a notice on a third of all documents is
-    scored once too.
+    template that the paragraph holds; ``confirmed`` says that it reaches
+    ``least_match`` and that no other family, nor any licence outside the
+    families, has a closer template.  Null, empty and blank texts have no
+    paragraphs; a tie goes to the first family in code order; repeated rows
+    come back repeated; an empty table gives no rows; other columns are not
+    read.  Each distinct paragraph is scored once, so a notice on a third of
+    all documents is scored once too.
     """
     spark = docs.sparkSession
     anchors = model.anchors(threshold)
-    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(text_col, "\n")).alias("_at", "_line"))
-    if anchors:
-        lines = lines.where(F.arrays_overlap(tokens(F.col("_line")), F.array(*[F.lit(a) for a in anchors])))
-    else:
-        lines = lines.where(F.lit(False))
-    lines = cut(lines)
-    each = lines.select("_line").distinct().select("_line", F.explode(grams(tokens(F.col("_line")))).alias("gram"))
+    held = F.array(*[F.lit(a) for a in anchors]) if anchors else F.array().cast("array<string>")
+    # Rows are numbered before their lines are laid out, and before the checkpoint that all later steps read.
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    lines = rows.select("_id", "_row", F.posexplode(F.split("_text", "\n")).alias("_at", "_line"))
+    lines = cut(lines.where(F.arrays_overlap(tokens(F.col("_line")), held)))
+    island = F.col("_at") - F.row_number().over(Window.partitionBy("_row").orderBy("_at"))
+    placed = lines.withColumn("_run", island)
+    ordered = F.sort_array(F.collect_list(F.struct("_at", "_line")))
+    runs = placed.groupBy("_row", "_run").agg(F.first("_id").alias("_id"), ordered.alias("ls")).where("size(ls) > 1")
+    runs = runs.select("_id", "_row", "_run", F.col("ls")[0]["_at"].alias("_at"), F.size("ls").alias("_n"), F.array_join(F.transform("ls", lambda x: x["_line"]), " ").alias("_line"))
+    # What stands alone; then lines of a run, and the run itself.
+    parts = cut(placed.select("_id", "_row", "_run", "_at", F.lit(1).alias("_n"), "_line").unionByName(runs))
+    each = parts.select("_line").distinct().select("_line", F.explode(grams(tokens(F.col("_line")))).alias("gram"))
     # Vocabulary and templates are fixed in number, whatever the corpus: broadcast.
     names = [f"s{k}" for k in range(len(model.families))]
     weights = spark.createDataFrame([(g, *w) for g, w in model.weights.items()], "gram string, " + ", ".join(f"{n} double" for n in names))
@@ -221,14 +294,23 @@ def scan(
     mass = sum((F.exp(F.col("_z")[k] - F.col("_top")) for k in range(len(names))), F.exp(-F.col("_top")))
     family = F.element_at(F.array(*[F.lit(f) for f in model.families]), F.array_position("_z", F.col("_top")).cast("int"))
     scored = scored.select("_line", family.alias("family"), (1 / mass).alias("probability")).where(F.col("probability") >= threshold)
-    notices = [(i, f, n) for i, (f, n) in enumerate((f, n) for f, ns in NOTICES.items() for n in ns)]
-    shapes = spark.createDataFrame(notices, "notice int, family string, text string").select("notice", "family", grams(tokens(F.col("text"))).alias("g"))
-    shapes = shapes.select("notice", "family", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    shapes = spark.createDataFrame(templates(), "notice int, of string, text string").select("notice", "of", grams(tokens(F.col("text"))).alias("g"))
+    shapes = shapes.select("notice", "of", F.size("g").alias("n"), F.explode("g").alias("gram"))
     scored = cut(scored)
-    named = scored.select("_line", F.explode(grams(tokens(F.col("_line")))).alias("gram"))
-    hits = named.join(F.broadcast(shapes), "gram").groupBy("_line", "family", "notice").agg((F.count("*") / F.max("n")).alias("match"))
-    best = hits.groupBy("_line", "family").agg(F.max("match").alias("template_match"))
+    named = scored.select("_line", "family", F.explode(grams(tokens(F.col("_line")))).alias("gram"))
+    hits = named.join(F.broadcast(shapes), "gram").groupBy("_line", "family", "of", "notice").agg((F.count("*") / F.max("n")).alias("match"), F.count("*").alias("held"))
+    # Of equal shares the template that holds more is closer.
+    close = lambda which: F.max(F.when(which, F.struct("match", "held")))
+    best = hits.groupBy("_line", "family").agg(close(F.col("of") == F.col("family")).alias("own"), close(F.col("of") != F.col("family")).alias("other"))
     found = scored.join(best, ["_line", "family"], "left")
-    out = lines.join(found, "_line")
-    match = F.coalesce("template_match", F.lit(0.0))
-    return out.select(F.col("_id").alias(id_col), F.col("_at").alias("paragraph"), "family", "probability", match.alias("template_match"), (match >= least_match).alias("confirmed"))
+    match = F.coalesce("own.match", F.lit(0.0))
+    closest = F.col("other").isNull() | (F.col("own") >= F.col("other"))
+    found = found.select("_line", "family", "probability", match.alias("template_match"), F.coalesce((match >= least_match) & closest, F.lit(False)).alias("confirmed"))
+    out = parts.join(found, "_line")
+    run = Window.partitionBy("_row", "_run")
+    single = F.col("_n") == 1
+    # 0 if no line of the run is found, 1 if one is, 2 if one is confirmed; the run has to do better.
+    rank = F.col("confirmed").cast("int") + 1
+    out = out.withColumn("_lines", F.coalesce(F.max(F.when(single, rank)).over(run), F.lit(0))).withColumn("_whole", F.coalesce(F.max(F.when(~single, rank)).over(run), F.lit(0)))
+    out = out.where(single == (F.col("_whole") <= F.col("_lines")))
+    return out.select(F.col("_id").alias(id_col), F.col("_at").alias("paragraph"), F.col("_n").alias("n_lines"), "family", "probability", "template_match", "confirmed")
