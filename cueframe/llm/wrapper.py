@@ -22,7 +22,7 @@ from html.parser import HTMLParser
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueframe.llm.common import cut, written
@@ -457,14 +457,18 @@ def main_text(
         left = F.when(F.col("_gone").isNull(), F.col(blocks)).otherwise(F.filter(blocks, lambda b: ~F.array_contains(F.col("_gone"), b.x)))
         return joined.withColumn("_left", left).drop("_gone")
 
-    total = lambda c: F.sum(c).over(Window.partitionBy("_host", "slot"))
+    def measured(texts: DataFrame) -> DataFrame:
+        """``texts`` with ``n`` and ``lone`` of their slots: few rows, broadcast below a checked size."""
+        slots = cut(texts.groupBy("_host", "slot").agg(F.sum("count").alias("n"), F.count_if(F.col("count") == 1).alias("lone")))
+        few = slots.count() * 64 <= REFERENCE_BYTES
+        return texts.join(F.broadcast(slots) if few else slots, ["_host", "slot"])
+
     # A slot's constant text holds nearly all of its pages, so it is one.
-    same = texts_of(aligned, "_page", "_blocks").withColumn("n", total("count"))
+    same = measured(texts_of(aligned, "_page", "_blocks"))
     known = without(aligned, same.where((F.col("n") >= least_pages) & (F.col("count") >= constant * F.col("n"))), "_blocks").withColumnRenamed("_left", "_vary")
     # Of what varies, texts that come by turns: pages differ if their longest block does, so that near copies count once.
     longest = F.array_max(F.transform("_vary", lambda b: F.struct(F.length(b.text).alias("n"), F.xxhash64(b.text).alias("h"))))["h"]
-    turns = texts_of(known.withColumn("_lead", longest), "_lead", "_vary")
-    turns = turns.withColumn("n", total("count")).withColumn("lone", total((F.col("count") == 1).cast("long")))
+    turns = measured(texts_of(known.withColumn("_lead", longest), "_lead", "_vary"))
     often = (F.col("n") >= least_turns) & (F.col("lone") <= single * F.col("n")) & (F.col("count") >= F.greatest(F.lit(2), rare * F.col("n")))
     known = without(known, turns.where(often), "_vary")
     varying = F.when(F.size("_left") > 0, F.col("_left")).when(F.size("_vary") > 0, F.col("_vary")).otherwise(F.col("_blocks"))
