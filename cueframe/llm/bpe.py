@@ -4,19 +4,20 @@ Texts are arrays of code points.  A class array and one symbol of look-ahead
 per code point drive a small automaton; its transition functions are composed
 associatively, within blocks and then over blocks, so the state before every
 code point, and with it every piece boundary, comes from array operations and
-no regex.  The slices between boundaries feed a cached pair merger.
+no regex.  The slices between boundaries feed a cached pair merger.  Where each
+piece starts, in code points and in tokens, is kept beside the ids: decoding
+checks the ids by it, and decodes any span of the text without the rest.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,10 +74,16 @@ STEP, STARTS = _transitions()
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or WHITE of each code point, by the Unicode data of
-    this Python; code points it does not know are OTHER."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(_TOP)), dtype=np.uint8, count=_TOP)
+    """LETTER, NUMBER, OTHER or WHITE of each code point.  Which are letters
+    and numbers depends on the version of Unicode; the library whose ids these
+    are to equal is asked once what it takes for either."""
+    import tiktoken
+
+    table = np.full(_TOP, OTHER, dtype=np.uint8)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, _TOP))))
+    for kind, name in ((LETTER, "L"), (NUMBER, "N")):
+        bytewise = tiktoken.Encoding(f"class {name}", pat_str=rf"\p{{{name}}}+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        table[np.frombuffer(bytes(bytewise.encode_ordinary(every)).decode().encode("utf-32-le"), dtype="<u4")] = kind
     table[_WHITE] = WHITE
     return table
 
@@ -146,6 +153,9 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.sizes = np.fromiter(map(len, self.tokens), dtype=np.int64, count=len(self.tokens))
+        # Bytes that begin a code point, by token.
+        self.points = np.fromiter((sum(b & 0xC0 != 0x80 for b in t) for t in self.tokens), dtype=np.int64, count=len(self.tokens))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         splits = [
             (left << 32 | right, rank)
@@ -242,7 +252,8 @@ class Vocabulary:
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, np.ndarray]]:
-        """Packed ids and piece offsets (code points) of each text."""
+        """Packed ids of each text, and for each of its pieces the code point
+        and the token it starts at."""
         group: list[str] = []
         size = 0
         for text in texts:
@@ -273,11 +284,37 @@ class Vocabulary:
             if len(piece) > 64:
                 del self.cache[piece]
         first, last = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
+        token = np.zeros(len(packed) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4, out=token[1:])
         for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-            yield b"".join(packed[a:b]), starts[a:b] - begins[k]
-
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+            yield b"".join(packed[a:b]), np.stack([starts[a:b] - begins[k], token[a:b] - token[a]], axis=1)
+
+    def decode(self, packed: bytes, offsets: np.ndarray | None = None) -> bytes | None:
+        """The bytes of packed ids; None if ``offsets`` do not fit them."""
+        ids = np.frombuffer(packed, dtype="<u4")
+        if offsets is not None and not self._fit(ids, offsets):
+            return None
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+    def _fit(self, ids: np.ndarray, offsets: np.ndarray) -> bool:
+        """Does each piece start where the tokens before it end?"""
+        if not len(ids) or not len(offsets):
+            return len(ids) == len(offsets)
+        if ids.max() >= len(self.tokens) or offsets[0].any() or offsets[-1, 1] >= len(ids) or (np.diff(offsets, axis=0) < 1).any():
+            return False
+        before = np.cumsum(self.points[ids]) - self.points[ids]
+        return bool((before[offsets[:, 1]] == offsets[:, 0]).all())
+
+    def decode_span(self, packed: bytes, offsets: np.ndarray, start: int, stop: int) -> str:
+        """Code points ``start`` to ``stop`` (left out) of the text, from the tokens of the pieces they lie in."""
+        ids = np.frombuffer(packed, dtype="<u4")
+        if not len(ids) or stop <= start:
+            return ""
+        i = max(int(np.searchsorted(offsets[:, 0], start, "right")) - 1, 0)
+        j = int(np.searchsorted(offsets[:, 0], stop, "left"))
+        upto = int(offsets[j, 1]) if j < len(offsets) else len(ids)
+        text = b"".join(map(self.tokens.__getitem__, ids[int(offsets[i, 1]) : upto].tolist())).decode("utf-8", "replace")
+        return text[max(start - int(offsets[i, 0]), 0) : stop - int(offsets[i, 0])]
 
 
 @lru_cache(maxsize=4)
@@ -285,45 +322,58 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _offsets(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype="<i4").reshape(-1, 2)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col``: each whole text's ids as packed little-endian
     unsigned 32-bit integers, four bytes a token, and on request
-    ``offsets_col``: where its pieces start, in code points.
+    ``offsets_col``: for each piece the code point and the token it starts at,
+    packed as little-endian 32-bit integers, eight bytes a piece.
 
     ``path`` is a file of base64 tokens and ranks that executors can open.
     Null and empty texts have no ids; equal texts have equal ids; an empty
-    table gives no rows; other columns pass through, and a column already
-    called ``ids_col`` is replaced.  Memory follows the longest text.
+    table gives no rows; other columns pass through, and columns already
+    called ``ids_col`` or ``offsets_col`` are replaced.  Memory follows the
+    longest text.
     """
 
-    @F.pandas_udf("ids binary, offsets array<int>" if offsets_col else "binary")
-    def run(texts):
-        import pandas as pd
-
-        found = vocabulary(path).encode([t if isinstance(t, str) else None for t in texts])
-        if offsets_col:
-            rows = [(ids, at.astype(np.int32)) for ids, at in found]
-            return pd.DataFrame({"ids": [r[0] for r in rows], "offsets": [r[1] for r in rows]})
-        return pd.Series([ids for ids, _ in found], dtype=object)
+    @F.pandas_udf("ids binary, offsets binary")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [(ids, at.astype("<i4").tobytes()) for ids, at in vocabulary(path).encode([t if isinstance(t, str) else None for t in texts])]
+        return pd.DataFrame({"ids": [r[0] for r in found], "offsets": [r[1] for r in found]}, dtype=object)
 
-    got = run(F.col(text_col).cast("string"))
-    if offsets_col:
-        (both,) = unused(docs, "_bpe")
-        return docs.withColumn(both, got).withColumn(ids_col, F.col(both)["ids"]).withColumn(offsets_col, F.col(both)["offsets"]).drop(both)
-    return docs.withColumn(ids_col, got)
+    (both,) = unused(docs, "_bpe")
+    # Not to be written out in what reads its result, and run again there.
+    out = docs.withColumn(both, run.asNondeterministic()(F.col(text_col).cast("string"))).withColumn(ids_col, F.col(both)["ids"])
+    return (out.withColumn(offsets_col, F.col(both)["offsets"]) if offsets_col else out).drop(both)
 
 
-def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``docs`` with ``out_col``: the bytes that packed ids stand for (null: null)."""
+def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", offsets_col: str | None = None) -> DataFrame:
+    """``docs`` with ``out_col``: the bytes that packed ids stand for (null:
+    null); with ``offsets_col`` null also where the offsets do not fit the ids."""
 
     @F.pandas_udf("binary")
-    def run(ids):
-        import pandas as pd
+    def run(ids: pd.Series, offsets: pd.Series) -> pd.Series:
+        words = vocabulary(path)
+        return pd.Series([None if x is None else words.decode(x, None if at is None else _offsets(at)) for x, at in zip(ids, offsets, strict=True)], dtype=object)
+
+    return docs.withColumn(out_col, run(F.col(ids_col), F.col(offsets_col) if offsets_col else F.lit(None).cast("binary")))
+
+
+def decode_span(docs: DataFrame, path: str, start: Column, stop: Column, ids_col: str = "ids", offsets_col: str = "offsets", out_col: str = "span") -> DataFrame:
+    """``docs`` with ``out_col``: code points ``start`` to ``stop`` (left out)
+    of each text, by the tokens of the pieces they lie in alone; what lies
+    beyond the text is left out (null: null)."""
 
+    @F.pandas_udf("string")
+    def run(ids: pd.Series, offsets: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         words = vocabulary(path)
-        return pd.Series([None if x is None else words.decode(x) for x in ids], dtype=object)
+        rows = zip(ids, offsets, a, b, strict=True)
+        return pd.Series([None if x is None or at is None or pd.isna(i) or pd.isna(j) else words.decode_span(x, _offsets(at), max(int(i), 0), int(j)) for x, at, i, j in rows], dtype=object)
 
-    return docs.withColumn(out_col, run(F.col(ids_col)))
+    return docs.withColumn(out_col, run(F.col(ids_col), F.col(offsets_col), start.cast("long"), stop.cast("long")))
 
 
 def n_tokens(ids_col: str = "ids") -> Column:

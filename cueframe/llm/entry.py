@@ -40,12 +40,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode every document, decode the ids, and digest both."""
+    """Encode every document, decode the ids by their offsets, and digest both."""
     path = ranks_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, path).select("doc_id", "ids")
-    both = bpe.decode(ids, path)
-    return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = bpe.encode(docs, path, offsets_col="offsets").select("doc_id", "ids", "offsets")
+    both = bpe.decode(ids, path, offsets_col="offsets")
+    return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.octet_length("offsets") / 8).cast("long").alias("n_pieces"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
