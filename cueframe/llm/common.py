@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +49,14 @@ def lowest(rows: DataFrame, h: str, n: int) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the
-    session names none (single-machine tests)."""
+    """The folder that driver and executors share, as the session names it;
+    one is set only where it names none and all runs on one machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = "/tmp/checkpoints/cueframe"
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="cueframe-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
@@ -64,14 +70,50 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as compressed Parquet into the shared folder and read
-    back: for wide rows, where a checkpoint would take too much disk."""
-    import uuid
-
+    back: for wide rows, where a checkpoint would take too much disk.  What a
+    session has written goes when its program ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/cueframe-{spark.sparkContext.applicationId}"
+    if top not in _WRITTEN:
+        _WRITTEN.add(top)
+        atexit.register(_remove, spark, top)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+_WRITTEN: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Keys that hold more than this share of all rows are fewer than its inverse: small enough to broadcast, whatever the data.
+HOT_SHARE = 2.0**-16
+#: Rows of a side that are broadcast whole at most.
+BROADCAST_ROWS = 1 << 19
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined by ``keys`` to ``right``, which has a row per key and in
+    column ``n`` how many of the ``total`` rows of ``left`` hold it; ``how`` is
+    inner, left_semi or left.  ``right`` is broadcast below a checked number of
+    rows.  Beyond it only its hot keys are, by ``HOT_SHARE``, and the others
+    are shuffled: no key moves more of ``left`` than that share.  ``left`` is
+    read twice then, so it should be a checkpoint or a table."""
+    rest = right.drop(n)
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(rest), keys, how)
+    hot = right.where(F.col(n) > total * HOT_SHARE).drop(n)
+    lacking = F.lit(False)
+    for key in keys:
+        lacking = lacking | F.col(key).isNull()
+    without, left = left.where(lacking), left.where(~lacking)
+    one = left.join(F.broadcast(hot), keys, "inner" if how == "left" else how)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    both = one.unionByName(cold)
+    return both.unionByName(without, allowMissingColumns=True) if how == "left" else both

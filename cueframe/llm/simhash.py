@@ -15,15 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import cut, unused
+from cueframe.llm.common import BROADCAST_ROWS, cut, hot_join, unused
 from cueframe.llm.components import connected_components
 
 BITS = 64
 #: Fingerprints verified against each other at once.
-BLOCK = 256
+BLOCK = 1024
 _CHUNK = 1 << 15
 _XXH_SEED = 42
 
@@ -114,14 +114,18 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     if distance < 1:
         raise ValueError("equal fingerprints are linked by grouping")
     keyed = variants(fps, distance)
-    n = F.count("*").over(Window.partitionBy("key"))
-    keyed = keyed.withColumn("n", n).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # Buckets beyond a block: counted by partial aggregates, and split before the exchange that gathers them.
+    large = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keyed = keyed.join(F.broadcast(large) if few else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     blocks = keyed.groupBy("key", "block").agg(F.collect_list("fp").alias("fps"), F.first("blocks").alias("blocks"))
-    blocks = cut(blocks)
+    blocks = cut(blocks.where("blocks > 1 or size(fps) > 1"))
     many = blocks.where("blocks > 1")
-    pairs = many.select("key", "block", F.col("fps").alias("a")).join(many.select("key", F.col("block").alias("other"), F.col("fps").alias("b")), "key").where("block < other")
-    work = blocks.where("blocks > 1 or size(fps) > 1").select(F.col("fps").alias("a"), F.lit(None).cast("array<long>").alias("b")).unionByName(pairs.select("a", "b"))
+    # Each block goes to those of higher number, and meets them one by one.
+    pairs = many.where("block + 1 < blocks").select("key", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), F.col("fps").alias("a"))
+    pairs = pairs.join(many.select("key", "block", F.col("fps").alias("b")), ["key", "block"])
+    work = blocks.where("size(fps) > 1").select(F.col("fps").alias("a"), F.lit(None).cast("array<long>").alias("b")).unionByName(pairs.select("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,11 +149,15 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
 def components_of(rows: DataFrame, distance: int = 4) -> DataFrame:
     """``rows(doc_id, fp, ...)`` with ``root``, the smallest fingerprint of its
     component, and ``component_id``, the smallest doc_id there."""
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(fps.select("fp"), distance))
-    named = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = connected_components(links(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
+    # Only fingerprints with links need a component's name; a component's rows meet it by partial aggregates.
+    linked = cut(roots.join(fps, "fp"))
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    linked = hot_join(linked.select("fp", "root", "n"), least, ["root"], "members", linked.count()).select("fp", "root", "component_id", "n")
+    alone = fps.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"), "n")
+    named = cut(linked.unionByName(alone))
+    return hot_join(rows, named, ["fp"], "n", rows.count())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:

@@ -97,3 +97,26 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["_k1"], r["fp"]) for r in kept.collect()) == [(0, "z", 1), (2, "x", 1), (4, "y", 1)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_hot_bucket_in_blocks(spark):
+    """A bucket of many blocks, each pair of which is verified once."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ (1 << rng.randrange(40, 64)) ^ (1 << rng.randrange(40, 64)) ^ (1 << rng.randrange(40, 64)) for _ in range(300)})
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    found = {frozenset((r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1)) for r in simhash.links(df, block=16).collect()}
+    parent = {x: x for x in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in map(tuple, found):
+        assert bin(a ^ b).count("1") <= 4
+        parent[root(a)] = root(b)
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if bin(a ^ b).count("1") <= 4:
+                assert root(a) == root(b)
