@@ -13,36 +13,39 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import unused
+from cueframe.llm.common import cut, hot_join, unused, written
 
 
 def _trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def lines_of(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """One row per line that is not blank: two 64-bit line hashes, the hashes
-    of its text and site, and its position."""
-    text = F.xxhash64(F.col(text_col), F.lit(1))
-    rows = docs.select(F.xxhash64(site_col, F.lit(0)).alias("site"), text.alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    of its site, its text and the document's id, and its position."""
+    hashes = [F.xxhash64(site_col, F.lit(0)).alias("site"), F.xxhash64(F.col(text_col), F.lit(1)).alias("t1"), F.xxhash64(F.col(id_col), F.lit(2)).alias("t2")]
+    rows = docs.select(*hashes, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
-    return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "site", "text_hash", "pos")
+    return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "site", "t1", "t2", "pos")
 
 
 def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 10) -> DataFrame:
-    """``(h1, h2)`` of the lines in at least ``min_sites`` sites and as many texts."""
+    """``(h1, h2, n)`` of the lines in at least ``min_sites`` sites and as many
+    texts, ``n`` being how often each stands there."""
     keys = ["h1", "h2"]
     # A line of one site or one text cannot be spread: longs only, so this first pass stays a hash aggregate.
-    some = lines.groupBy(*keys).agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("text_hash").alias("c"), F.max("text_hash").alias("d"), F.count("*").alias("n"))
-    some = some.where((F.col("a") < F.col("b")) & (F.col("c") < F.col("d")) & (F.col("n") >= min_sites)).select(*keys)
-    sketches = lines.join(some, keys, "left_semi").groupBy(*keys).agg(F.hll_sketch_agg("site", lg_k).alias("s"), F.hll_sketch_agg("text_hash", lg_k).alias("t"))
-    counts = sketches.select(*keys, F.least(F.hll_sketch_estimate("s"), F.hll_sketch_estimate("t")).alias("spread"))
+    some = lines.groupBy(*keys).agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("t1").alias("c"), F.max("t1").alias("d"), F.count("*").alias("n"))
+    some = cut(some.where((F.col("a") < F.col("b")) & (F.col("c") < F.col("d")) & (F.col("n") >= min_sites)).select(*keys, "n"))
+    total = lines.count()
+    # No hot line is moved before its sketches have merged.
+    sketches = hot_join(lines, some, keys, "n", total, "left_semi").groupBy(*keys).agg(F.hll_sketch_agg("site", lg_k).alias("s"), F.hll_sketch_agg("t1", lg_k).alias("t"), F.count("*").alias("n"))
+    counts = sketches.select(*keys, "n", F.least(F.hll_sketch_estimate("s"), F.hll_sketch_estimate("t")).alias("spread"))
     band = max(1.0, 4 * 1.04 / math.sqrt(2**lg_k) * min_sites)
-    counts = counts.where(F.col("spread") >= min_sites - band)
-    near = counts.where(F.col("spread") <= min_sites + band).select(*keys)
-    exact = lines.join(near, keys, "left_semi").groupBy(*keys).agg(F.countDistinct("site").alias("s"), F.countDistinct("text_hash").alias("t"))
-    exact = exact.where((F.col("s") >= min_sites) & (F.col("t") >= min_sites)).select(*keys)
-    return counts.where(F.col("spread") > min_sites + band).select(*keys).unionByName(exact)
+    counts = cut(counts.where(F.col("spread") >= min_sites - band))
+    near = counts.where(F.col("spread") <= min_sites + band).select(*keys, "n")
+    exact = hot_join(lines, near, keys, "n", total, "left_semi").groupBy(*keys).agg(F.countDistinct("site").alias("s"), F.countDistinct("t1").alias("t"), F.count("*").alias("n"))
+    exact = exact.where((F.col("s") >= min_sites) & (F.col("t") >= min_sites)).select(*keys, "n")
+    return cut(counts.where(F.col("spread") > min_sites + band).select(*keys, "n").unionByName(exact))
 
 
 def remove_spread_lines(
@@ -61,11 +64,12 @@ def remove_spread_lines(
     values, but for one called ``n_lines_removed``, which is replaced.
     """
     t1, t2, gone_, kept_ = unused(docs, "_t1", "_t2", "_gone", "_kept")
-    spread = spread_lines(lines_of(docs, text_col, site_col), min_sites)
+    # Texts are split and hashed once; what follows reads the hashes.
+    lines = written(lines_of(docs, id_col, text_col, site_col), "lines")
+    spread = spread_lines(lines, min_sites)
     keyed = docs.withColumn(t1, F.xxhash64(F.col(text_col), F.lit(1))).withColumn(t2, F.xxhash64(F.col(id_col), F.lit(2)))
-    where = keyed.select(F.col(t1).alias("_t1"), F.col(t2).alias("_t2"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line")).withColumn("_line", _trimmed(F.col("_line"))).where("_line <> ''")
-    where = where.select("_t1", "_t2", "_pos", F.xxhash64("_line").alias("h1"), F.xxhash64(F.lit(7), "_line").alias("h2"))
-    gone = where.join(spread, ["h1", "h2"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_set("_pos").alias(gone_)).withColumnsRenamed({"_t1": t1, "_t2": t2})
+    found = hot_join(lines, spread, ["h1", "h2"], "n", lines.count(), "left_semi")
+    gone = found.groupBy("t1", "t2").agg(F.collect_set("pos").alias(gone_)).withColumnsRenamed({"t1": t1, "t2": t2})
     lines = F.split(text_col, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone_), i)), "\n")
     joined = keyed.join(gone, [t1, t2], "left").withColumn(kept_, F.when(F.col(gone_).isNotNull(), kept))
