@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import cut, unused
+from cueframe.llm.common import BROADCAST_ROWS, cut, hot_join, unused
 
 #: Hashed trigrams, and bytes scored at once.
 TABLE = 1 << 16
@@ -146,6 +146,7 @@ def identify(
     strength: float = 20.0,
     sharpness: float = 1.0,
     threshold: float = 0.5,
+    id_type: str = "long",
 ) -> DataFrame:
     """``(id, lang, probability, text_mean, accepted)`` for every row.
 
@@ -163,9 +164,9 @@ def identify(
     k = len(langs)
     if not k:
         nothing = [F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), F.lit(None).cast("double").alias("text_mean"), F.lit(False).alias("accepted")]
-        return docs.select(F.col(id_col).cast("long").alias(id_col), *nothing)
+        return docs.select(F.col(id_col).cast(id_type).alias(id_col), *nothing)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("_id"), F.col(text_col),
+        F.col(id_col).cast(id_type).alias("_id"), F.col(text_col),
         (host if host is not None else F.lit(None)).cast("string").alias("_host"),
         (declared if declared is not None else F.lit(None)).cast("string").alias("_said"),
     )
@@ -183,14 +184,14 @@ def identify(
         return F.array(*[(c + F.lit(strength) * up[i]) / (total + F.lit(strength)) for i, c in enumerate(counts)])
 
     base = F.array(*[F.lit(p) for p in whole])
-    hosts = scored.where("_host is not null").groupBy("_host", "_domain", "_suffix").agg(*_votes(k))
+    hosts = scored.where("_host is not null").groupBy("_host", "_domain", "_suffix").agg(*_votes(k), F.count("*").alias("_n"))
     hosts = cut(hosts)
     sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]
     suffixes = hosts.where("_suffix is not null").groupBy("_suffix").agg(*sums).select("_suffix", smoothed(base).alias("_ps"))
     domains = hosts.where("_domain is not null").groupBy("_domain", "_suffix").agg(*sums).join(suffixes, "_suffix", "left")
     domains = domains.select("_domain", smoothed(F.coalesce("_ps", base)).alias("_pd"))
     hosts = hosts.join(domains, "_domain", "left").join(suffixes, "_suffix", "left")
-    hosts = hosts.select("_host", smoothed(F.coalesce("_pd", "_ps", base)).alias("_prior"))
+    hosts = cut(hosts.select("_host", "_n", smoothed(F.coalesce("_pd", "_ps", base)).alias("_prior")))
     # How often each declaration stands on texts of each language; few declarations by their nature.
     said = scored.where("_said is not null").withColumn("_said", F.when(F.col("_said").isin(*langs), F.col("_said")).otherwise("other")).groupBy("_said").agg(*_votes(k)).collect()
     table = {r["_said"]: [r[f"c{i}"] for i in range(k)] for r in said}
@@ -200,7 +201,8 @@ def identify(
         logs = [float(np.log((table.get(name, [0.0] * k)[i] + 1.0) / (per[i] + k + 1.0))) for i in range(k)]
         match = (F.col("_said") == name) if name != "other" else F.col("_said").isNotNull() & ~F.col("_said").isin(*langs)
         likelihood = F.when(match, F.array(*[F.lit(x) for x in logs])).otherwise(likelihood)
-    fused = scored.join(hosts, "_host", "left").withColumn("_said_logs", F.coalesce(likelihood, _zeros(k))).withColumn("_prior", F.coalesce("_prior", base))
+    # A third of all rows may have one host, so its prior goes to them.
+    fused = hot_join(scored, hosts.withColumnRenamed("_n", "_rows"), ["_host"], "_rows", scored.count(), "left").withColumn("_said_logs", F.coalesce(likelihood, _zeros(k))).withColumn("_prior", F.coalesce("_prior", base))
     logs = F.array(*[F.col("_logs")[i] + F.log(F.col("_prior")[i]) + F.col("_said_logs")[i] for i in range(k)])
     fused = fused.withColumn("_post", logs).withColumn("_top", F.array_max("_post"))
     best = (F.array_position("_post", F.col("_top")) - 1).cast("int")
@@ -216,16 +218,15 @@ def identify(
     )
 
 
-#: Rejected rows whose keys are broadcast at most.
-REJECTED_ROWS = 1 << 20
-
-
 def accepted(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that ``identify`` does not accept, with all
-    their columns."""
+    their columns.  Rows are known by 128 bits of hashes of id and text."""
     (row,) = unused(docs, "_row")
-    keyed = docs.withColumn(row, F.xxhash64(F.lit(6), F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col))
-    rejected = cut(identify(keyed, model, row, text_col, **options).where("not accepted").select(row).distinct())
+    parts = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
+    keyed = docs.withColumn(row, F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (6, 66)]))
+    judged = identify(keyed, model, row, text_col, id_type="string", **options)
+    rejected = cut(judged.where("not accepted").groupBy(row).agg(F.count("*").alias("_rows")))
     # Mostly few: then documents stay where they are read; else both sides are shuffled.
-    few = rejected.limit(REJECTED_ROWS + 1).count() <= REJECTED_ROWS
-    return keyed.join(F.broadcast(rejected) if few else rejected, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    few = rejected.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    gone = rejected.select(row)
+    return keyed.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
