@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from cueframe.llm.common import cut, n_words, unused
 
-#: Documents of one source and size are ranked within this many hashed parts.
+#: Documents of one source and size are ranked within this many hashed parts, or more, so that a part holds about so many rows at most.
 PARTS = 64
+PART_ROWS = 1 << 20
 
 
 def ranked(keys: DataFrame, key: str) -> DataFrame:
@@ -127,12 +128,14 @@ def mix_sources(
     input, whatever their names, play no part.
 
     A source is never gathered: ranks within a (source, size) are taken in
-    ``PARTS`` hashed parts.  One task rounds the histogram of one source,
+    hashed parts, ``PARTS`` or more.  One task rounds the histogram of one source,
     whose rows are distinct sizes, at most ``sqrt(2 * words)`` of them.
     """
     key = F.when(F.col("source").isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col("source")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    rows = rows.select("id", "size", key.alias("_k"), F.xxhash64("id").alias("_h")).withColumn("_b", F.pmod("_h", F.lit(PARTS)).cast("int"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_t"))
+    # Rows without an id are dealt out by where they are read: among these, none is told from another of its text.
+    dealt = F.when(F.col("id").isNull(), F.col("_t") + F.spark_partition_id()).otherwise(F.col("_h"))
+    rows = rows.withColumns({"_h": F.xxhash64("id"), "_k": key}).withColumn("_b", F.pmod(dealt, F.lit(max(PARTS, rows.count() // PART_ROWS))).cast("int")).select("id", "size", "_k", "_h", "_b")
     order = Window.partitionBy("_k", "size", "_b").orderBy("_h", "id")
     rows = cut(rows.withColumn("_r", F.row_number().over(order)).drop("_h"))
     parts = rows.groupBy("_k", "size", "_b").agg(F.count("*").alias("_n"))
@@ -160,10 +163,11 @@ def mix_sources(
 
 def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """``docs`` as mixed: each row as often as ``mix_sources`` takes it, with
-    all its columns."""
+    all its columns.  Rows are known by 128 bits of hashes of id, source and
+    text; of rows equal in these, one stands for all."""
     name, copy, times = unused(docs, "_row", "_copy", "_copies")
-    row = F.xxhash64(F.lit(5), F.col(id_col).isNull(), id_col, F.col(source_col).isNull(), source_col, F.col(text_col).isNull(), text_col)
-    keyed = docs.withColumn(name, row)
+    parts = [x for c in (id_col, source_col, text_col) for x in (F.col(c).isNull(), F.col(c))]
+    keyed = docs.withColumn(name, F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (5, 55)]))
     copies = mix_sources(keyed, name, source_col, text_col, **options).groupBy(name).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
     each = keyed.dropDuplicates([name]).join(copies, name)
     return each.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
