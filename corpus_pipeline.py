@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueframe.llm import bpe, language, line_dedup, mixing, simhash
-from cueframe.llm.common import table
+from cueframe.llm.common import table, written
 from cueframe.llm.entry import language_model, ranks_path
 
 #: Stages learn, sketch, solve and hash; SQL does not express them.
@@ -35,12 +35,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed little-endian unsigned 32-bit) of every document, and
-    the digest of what they decode to."""
+    """Token ids (packed little-endian unsigned 32-bit) of every document, the
+    offsets of its pieces, and the digest of what they decode to."""
     path = ranks_path()
-    ids = bpe.encode(docs, path).select("doc_id", "source", "ids")
-    both = bpe.decode(ids, path)
-    return both.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = bpe.encode(docs, path, offsets_col="offsets").select("doc_id", "source", "ids", "offsets")
+    both = bpe.decode(ids, path, offsets_col="offsets")
+    return both.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), "ids", "offsets", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -53,7 +53,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each but the last is written once, and read by the next as
+    often as that needs it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
