@@ -24,6 +24,8 @@ from cueframe.llm.components import connected_components
 BITS = 64
 #: Fingerprints verified against each other at once.
 BLOCK = 1024
+#: Fingerprints whose variants one task makes.
+TASK = 1 << 14
 _CHUNK = 1 << 15
 _XXH_SEED = 42
 
@@ -113,7 +115,8 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     """``(a, b)`` whose closure joins all distinct fingerprints within ``distance``."""
     if distance < 1:
         raise ValueError("equal fingerprints are linked by grouping")
-    keyed = variants(fps, distance)
+    # Small tasks: each counts the many variants of few fingerprints.
+    keyed = variants(fps.repartition(max(1, fps.count() // TASK), "fp"), distance)
     # Buckets beyond a block: counted by partial aggregates, and split before the exchange that gathers them.
     large = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
