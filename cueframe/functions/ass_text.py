@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cueframe.functions.arrays import let, running
+
 #: Override tags that renderers know (fixed values).
 KNOWN_TAGS = (
     "alpha iclip xbord xshad ybord yshad blur bord clip fade fscx fscy move shad fad fax fay frx fry frz fsc fsp org pbo pos "
@@ -14,7 +16,6 @@ _NAME = "|".join(sorted(KNOWN_TAGS, key=lambda t: (-len(t), t)))
 #: While a closing brace is ahead, blocks are possible and a text ends before one; past the last brace only escapes end it.
 TOKEN = r"(\{[^}]*\}|\\[Nnh{}]|\\|(?=[^}]*\})[^{\\]+|[^\\]+)"
 _ARGS = r"(?:[^\\(]+|\([^)]*(?:\)|\z))*+"
-STATE = "struct<drawing:boolean,out:array<struct<kind:string,text:string>>>"
 
 
 def override_tags(block: Column) -> Column:
@@ -42,22 +43,21 @@ def drawing_scale(block: Column) -> Column:
 def tokens(text: Column) -> Column:
     """``array<struct<kind, text>>`` with kind Text, EscapedBrace, HardBreak,
     SoftBreak, HardSpace, Override or Drawing; a block's text is its inside."""
-    begin = F.struct(F.lit(False).alias("drawing"), F.array().cast("array<struct<kind:string,text:string>>").alias("out")).cast(STATE)
+    block = lambda t: t.rlike(r"^\{[^}]*\}\z")
+    inside = lambda t: F.regexp_replace(t, r"^\{|\}\z", "")
+
+    def step(drawing: Column, t: Column) -> Column:
+        # Only blocks with a \p can turn drawing on or off.
+        return F.when(t.rlike(r"^\{[^}]*\\[ \t]*p[^}]*\}\z"), F.coalesce(drawing_scale(inside(t)) > 0, drawing)).otherwise(drawing)
 
-    def step(s: Column, t: Column) -> Column:
-        block = t.rlike(r"^\{[^}]*\}\z")
-        inside = F.regexp_replace(t, r"^\{|\}\z", "")
+    def token(t: Column, drawing: Column) -> Column:
         kind = (
-            F.when(block, "Override").when(s["drawing"], "Drawing").when(t == "\\N", "HardBreak").when(t == "\\n", "SoftBreak").when(t == "\\h", "HardSpace")
+            F.when(block(t), "Override").when(drawing, "Drawing").when(t == "\\N", "HardBreak").when(t == "\\n", "SoftBreak").when(t == "\\h", "HardSpace")
             .when(t.isin("\\{", "\\}"), "EscapedBrace").otherwise("Text")
         )
-        shown = F.when(block, inside).when(kind == "EscapedBrace", F.substring(t, 2, 1)).otherwise(t)
-        scale = F.when(block, drawing_scale(inside))
-        return F.struct(
-            F.when(scale.isNotNull(), scale > 0).otherwise(s["drawing"]).alias("drawing"), F.concat(s["out"], F.array(F.struct(kind.alias("kind"), shown.alias("text")))).alias("out")
-        ).cast(STATE)
+        return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == "Override", inside(t)).when(k == "EscapedBrace", F.substring(t, 2, 1)).otherwise(t).alias("text")))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), begin, step, lambda s: s["out"])
+    return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda ts: F.zip_with(ts, running(ts, F.lit(False), step, "boolean"), token))
 
 
 def segments(text: Column) -> Column:
@@ -76,3 +76,8 @@ def plain_text(text: Column) -> Column:
 
 def show_tag(name: Column, args: Column) -> Column:
     return F.concat(F.lit("\\"), name, args)
+
+
+def show_block(inside: Column) -> Column:
+    """An override block as it stands in a text."""
+    return F.concat(F.lit("{"), inside, F.lit("}"))

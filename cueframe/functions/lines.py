@@ -40,12 +40,14 @@ def trim_end_white(c: Column) -> Column:
     return F.regexp_replace(c, rf"[{WHITE}]+\z", "")
 
 
-def document_lines(docs: DataFrame, lone_cr: bool) -> DataFrame:
-    """``(doc_id, pos, raw, line)`` of ``docs(doc_id, content)``."""
-    rows = docs.select("doc_id", F.posexplode(raw_lines(F.col("content"), lone_cr)).alias("pos", "raw"))
-    return rows.withColumn("line", unterminated(F.col("raw"), lone_cr))
-
-
 def body_of(lines: Column, lone_cr: bool) -> Column:
     """The text that raw lines (an array) span, without the last terminator."""
     return unterminated(F.array_join(lines, ""), lone_cr)
+
+
+def with_all(written: DataFrame, docs: DataFrame | None, empty: str) -> DataFrame:
+    """``written(doc_id, content)`` with a row for every id of ``docs``:
+    ``empty`` where nothing was written."""
+    if docs is None:
+        return written
+    return docs.select("doc_id").distinct().join(written, "doc_id", "left").select("doc_id", F.coalesce("content", F.lit(empty)).alias("content"))

@@ -12,53 +12,59 @@ from pyspark.sql import functions as F
 
 #: The most that 64 bits hold, as text: literals of the session are signed.
 U64 = "18446744073709551615"
-SRT = r"([0-9]{2,3}):([0-5][0-9]):([0-5][0-9]),([0-9]{3})"
-VTT = r"(?:([0-9]+):)?([0-5][0-9]):([0-5][0-9])\.([0-9]{3})"
-ASS = r"([0-9]+):([0-5][0-9]):([0-5][0-9])\.([0-9]{2})"
+SRT = r"([0-9]{2,3}:[0-5][0-9]:[0-5][0-9],[0-9]{3})"
+VTT = r"((?:[0-9]+:)?[0-5][0-9]:[0-5][0-9]\.[0-9]{3})"
+ASS = r"([0-9]+:[0-5][0-9]:[0-5][0-9]\.[0-9]{2})"
 
 
 def _u64(digits: Column) -> Column:
     """Digits as a number, null beyond 64 bits; any number of leading zeros."""
     short = F.regexp_replace(digits, "^0+(?=[0-9])", "")
     value = F.when(F.length(short) <= 20, short.try_cast("decimal(38,0)"))
-    return F.when(value <= F.lit(U64).cast("decimal(38,0)"), value).cast("decimal(20,0)")
+    large = F.when(value <= F.lit(U64).cast("decimal(38,0)"), value).cast("decimal(20,0)")
+    return F.when(F.length(digits) <= 18, digits.try_cast("long").cast("decimal(20,0)")).otherwise(large)
 
 
-def parts(text: Column, pattern: str, group: int = 0) -> Column:
-    """The struct of the timestamp whose groups start after ``group``."""
-    get = lambda k: F.regexp_extract(text, pattern, group + k)
-    hours = F.when(get(1) == "", F.lit(0).cast("decimal(20,0)")).otherwise(_u64(get(1)))
-    found = F.struct(hours.alias("h"), get(2).try_cast("int").alias("m"), get(3).try_cast("int").alias("s"), get(4).try_cast("int").alias("f"))
-    return F.when(text.rlike(pattern) & hours.isNotNull(), found)
+def _parts(text: Column, pattern: str, places: int) -> Column:
+    """The struct of a stamp of this pattern, whose last field has ``places``
+    digits; fields of fixed width are read from the right."""
+    at = lambda k: F.substring(text, -(places + 3 * k), 2).try_cast("int")
+    rest = places + 7
+    hours = F.when(F.length(text) <= rest, F.lit(0).cast("decimal(20,0)")).otherwise(_u64(F.left(text, F.length(text) - rest)))
+    found = F.struct(hours.alias("h"), at(2).alias("m"), at(1).alias("s"), F.right(text, F.lit(places)).try_cast("int").alias("f"))
+    return F.when(text.rlike(f"^{pattern}\\z") & hours.isNotNull(), found)
 
 
 def srt(text: Column) -> Column:
-    return parts(text, f"^{SRT}\\z")
+    return _parts(text, SRT, 3)
 
 
 def vtt(text: Column) -> Column:
-    return parts(text, f"^{VTT}\\z")
+    return _parts(text, VTT, 3)
 
 
 def ass(text: Column) -> Column:
-    return parts(text, f"^{ASS}\\z")
+    return _parts(text, ASS, 2)
 
 
 def total(ts: Column, unit: int = 1000) -> Column:
     """All of a timestamp in milliseconds (``unit`` 1000) or centiseconds (100)."""
     seconds = ts["h"].cast("decimal(26,0)") * 3600 + (ts["m"] * 60 + ts["s"]).cast("decimal(26,0)")
-    return (seconds * unit + ts["f"].cast("decimal(26,0)")).cast("decimal(30,0)")
+    large = (seconds * unit + ts["f"].cast("decimal(26,0)")).cast("decimal(30,0)")
+    small = (ts["h"].cast("long") * 3600 + ts["m"] * 60 + ts["s"]) * unit + ts["f"]
+    return F.when(ts["h"] < 10**9, small.cast("decimal(30,0)")).otherwise(large)
 
 
 def from_total(n: Column, unit: int = 1000, most_hours: int | None = None) -> Column:
     """The inverse of ``total``; null for negative values or beyond ``most_hours``."""
-    n = n.cast("decimal(30,0)")
-    hours = F.floor(n / (3600 * unit)).cast("decimal(30,0)")
-    rest = (n - hours * (3600 * unit)).cast("long")
-    found = F.struct(
-        hours.cast("decimal(20,0)").alias("h"), F.floor(rest / (60 * unit)).cast("int").alias("m"), (F.floor(rest / unit) % 60).cast("int").alias("s"), (rest % unit).cast("int").alias("f")
-    )
-    return F.when((n >= 0) & (F.lit(True) if most_hours is None else hours <= most_hours), found)
+    wide = n.cast("decimal(30,0)")
+    hours = F.floor(wide / (3600 * unit)).cast("decimal(30,0)")
+    small = (wide >= 0) & (wide < 10**15)
+    low = n.try_cast("long")
+    rest = F.when(small, low % (3600 * unit)).otherwise((wide - hours * (3600 * unit)).cast("long"))
+    hours = F.when(small, F.floor(low / (3600 * unit)).cast("decimal(20,0)")).otherwise(hours.cast("decimal(20,0)"))
+    found = F.struct(hours.alias("h"), F.floor(rest / (60 * unit)).cast("int").alias("m"), (F.floor(rest / unit) % 60).cast("int").alias("s"), (rest % unit).cast("int").alias("f"))
+    return F.when((wide >= 0) & (F.lit(True) if most_hours is None else hours <= most_hours), found)
 
 
 def interval(ts: Column, unit: int = 1000) -> Column:

@@ -1,7 +1,8 @@
 """WebVTT cue text: tokens, character references, annotations, and trees.
 
 Trees are flat: an array of nodes in document order, each with its parent's
-number, built by one fold over the tokens.
+number.  A running fold over the tokens carries what is open; each token and
+the state before it then make a node.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cueframe.functions import times
+from cueframe.functions.arrays import let, running
 
 TAGS = r"(?:ruby|rt|lang|[biucv])"
 END = rf"</{TAGS}>"
@@ -26,7 +28,7 @@ NODE = (
     "struct<node_id:int,parent_id:int,depth:int,kind:string,tag:string,classes:string,annotation:string,text:string,"
     "ts:struct<h:decimal(20,0),m:int,s:int,f:int>,lang:string>"
 )
-STATE = f"struct<nodes:array<{NODE}>,stack:array<int>,tags:array<string>,over:array<string>,exceeded:boolean>"
+STATE = "struct<n:int,ids:array<int>,tags:array<string>,langs:array<string>,over:array<string>>"
 #: What the numbers 0x80 to 0x9F mean in windows-1252, where it has a character (fixed values).
 C1 = {
     0x80: 0x20AC, 0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020, 0x87: 0x2021, 0x88: 0x02C6, 0x89: 0x2030, 0x8A: 0x0160, 0x8B: 0x2039, 0x8C: 0x0152, 0x8E: 0x017D,
@@ -60,10 +62,13 @@ def tokens(body: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _entities() -> tuple[str, str]:
-    """The named references as JSON, and a regex of those that need no
-    semicolon, the longest first."""
+    """The named references by first letter as JSON, and a regex of those that
+    need no semicolon, the longest first."""
     bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-    return json.dumps(html5), "|".join(bare)
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, text in html5.items():
+        by_letter.setdefault(name[0], {})[name] = text
+    return json.dumps(by_letter), "|".join(bare)
 
 
 def _character(point: Column) -> Column:
@@ -76,16 +81,20 @@ def _character(point: Column) -> Column:
 def decode_references(text: Column) -> Column:
     """Character references decoded, and NUL as U+FFFD."""
     table, bare = _entities()
-    named = F.from_json(F.lit(table), "map<string,string>")
+    named = F.from_json(F.lit(table), "map<string,map<string,string>>")
+
+    def known(name: Column) -> Column:
+        # Maps are searched one by one, so the letter goes first.
+        return F.try_element_at(F.try_element_at(named, F.left(name, F.lit(1))), name)
 
     def piece(p: Column) -> Column:
         digits = F.regexp_replace(F.regexp_extract(p, r"^&#([0-9]+)", 1), "^0+(?=.)", "")
         hexes = F.regexp_replace(F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]+)", 1), "^0+(?=.)", "")
         number = F.when(hexes != "", F.when(F.length(hexes) <= 8, F.conv(hexes, 16, 10).try_cast("long"))).otherwise(F.when(F.length(digits) <= 10, digits.try_cast("long")))
         name = F.substring(p, 2, 1 << 30)
-        whole = F.when(name.rlike(r"^[^;]{1,31};\z"), F.try_element_at(named, name))
+        whole = F.when(name.rlike(r"^[^;]{1,31};\z"), known(name))
         prefix = F.regexp_extract(name, f"^(?:{bare})", 0)
-        short = F.when(prefix != "", F.concat(F.try_element_at(named, prefix), F.substring(name, F.length(prefix) + 1, 1 << 30)))
+        short = F.when(prefix != "", F.concat(known(prefix), F.substring(name, F.length(prefix) + 1, 1 << 30)))
         return (
             F.when(~p.startswith("&") | (p == "&"), p)
             .when(p.rlike(r"^&#[xX]?\z"), F.lower(p))
@@ -126,38 +135,51 @@ def tree(body: Column, max_depth: int = 16) -> Column:
     the nearest enclosing ``lang`` tag, the node itself included; null without
     one, and empty where it names none.
     """
-    empty = F.struct(
-        F.array().cast(f"array<{NODE}>").alias("nodes"), F.array().cast("array<int>").alias("stack"), F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("over"),
-        F.lit(False).alias("exceeded"),
-    ).cast(STATE)
+    texts = lambda: F.array().cast("array<string>")
+    empty = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"), texts().alias("tags"), texts().alias("langs"), texts().alias("over"))
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    less = lambda a, n: F.slice(a, F.lit(1), F.size(a) - n)
+
+    def opening(s: Column, t: Column) -> Column:
+        return (t["kind"] == "StartTag") & ((t["tag"] != "rt") | (F.coalesce(last(s["over"]), last(s["tags"]), F.lit("")) == "ruby"))
+
+    def fits(s: Column) -> Column:
+        return (F.size(s["over"]) == 0) & (F.size(s["ids"]) < max_depth)
+
+    def language(s: Column, t: Column) -> Column:
+        own = (t["kind"] == "StartTag") & (t["tag"] == "lang")
+        return F.when(own, F.coalesce(normalize_annotation(t["annotation"]), F.lit(""))).otherwise(last(s["langs"]))
+
+    def start(s: Column, t: Column) -> Column:
+        entered = F.struct(s["n"] + 1, F.concat(s["ids"], F.array(s["n"])), F.concat(s["tags"], F.array(t["tag"])), F.concat(s["langs"], F.array(language(s, t))), s["over"]).cast(STATE)
+        passed = F.struct(s["n"], s["ids"], s["tags"], s["langs"], F.concat(s["over"], F.array(t["tag"]))).cast(STATE)
+        return F.when(~opening(s, t), s).when(fits(s), entered).otherwise(passed)
+
+    def end(s: Column, t: Column) -> Column:
+        def left(closing: Column) -> Column:
+            shed = F.least(closing, F.size(s["over"]))
+            cut = closing - shed
+            return F.struct(s["n"], less(s["ids"], cut), less(s["tags"], cut), less(s["langs"], cut), less(s["over"], shed)).cast(STATE)
+
+        now = F.coalesce(last(s["over"]), last(s["tags"]), F.lit(""))
+        closing = F.when(now == t["tag"], 1).when((now == "rt") & (t["tag"] == "ruby"), 2).otherwise(0)
+        return F.when(closing > 0, left(closing)).otherwise(s)
 
     def step(s: Column, t: Column) -> Column:
-        now = F.coalesce(F.try_element_at(s["over"], F.lit(-1)), F.try_element_at(s["tags"], F.lit(-1)), F.lit(""))
-        start, end = t["kind"] == "StartTag", t["kind"] == "EndTag"
-        opening = start & ((t["tag"] != "rt") | (now == "ruby"))
-        fits = (F.size(s["over"]) == 0) & (F.size(s["stack"]) < max_depth)
-        leaf = t["kind"].isin("Text", "Timestamp")
-        closing = F.when(end & (now == t["tag"]), 1).when(end & (now == "rt") & (t["tag"] == "ruby"), 2).otherwise(0)
-        shed = F.least(closing, F.size(s["over"]))
-        parent = F.try_element_at(s["stack"], F.lit(-1))
-        above = F.when(parent.isNotNull(), F.get(s["nodes"], parent)["lang"])
-        lang = F.when(start & (t["tag"] == "lang"), F.coalesce(normalize_annotation(t["annotation"]), F.lit(""))).otherwise(above)
-        node = F.struct(
-            F.size(s["nodes"]).alias("node_id"), parent.alias("parent_id"), F.size(s["stack"]).alias("depth"), F.when(start, "Tag").otherwise(t["kind"]).alias("kind"), t["tag"].alias("tag"),
-            t["classes"].alias("classes"), t["annotation"].alias("annotation"), t["text"].alias("text"), t["ts"].alias("ts"), lang.alias("lang"),
+        leaf = F.struct(s["n"] + 1, s["ids"], s["tags"], s["langs"], s["over"]).cast(STATE)
+        return F.when(t["kind"] == "StartTag", start(s, t)).when(t["kind"] == "EndTag", end(s, t)).otherwise(leaf)
+
+    def node(t: Column, s: Column) -> Column:
+        opens = t["kind"] == "StartTag"
+        made = F.struct(
+            s["n"].alias("node_id"), last(s["ids"]).alias("parent_id"), F.size(s["ids"]).alias("depth"), F.when(opens, "Tag").otherwise(t["kind"]).alias("kind"), t["tag"].alias("tag"),
+            t["classes"].alias("classes"), t["annotation"].alias("annotation"), t["text"].alias("text"), t["ts"].alias("ts"), language(s, t).alias("lang"),
         ).cast(NODE)
-        adds = leaf | (opening & fits)
-        enters = opening & fits
-        trim = lambda a, n: F.slice(a, F.lit(1), F.size(a) - n)
-        return F.struct(
-            F.when(adds, F.concat(s["nodes"], F.array(node))).otherwise(s["nodes"]).alias("nodes"),
-            F.when(enters, F.concat(s["stack"], F.array(F.size(s["nodes"])))).when(closing > shed, trim(s["stack"], closing - shed)).otherwise(s["stack"]).alias("stack"),
-            F.when(enters, F.concat(s["tags"], F.array(t["tag"]))).when(closing > shed, trim(s["tags"], closing - shed)).otherwise(s["tags"]).alias("tags"),
-            F.when(opening & ~fits, F.concat(s["over"], F.array(t["tag"]))).when(shed > 0, trim(s["over"], shed)).otherwise(s["over"]).alias("over"),
-            (s["exceeded"] | (opening & ~fits)).alias("exceeded"),
-        ).cast(STATE)
+        adds = F.when(opens, opening(s, t) & fits(s)).otherwise(t["kind"] != "EndTag")
+        return F.struct(F.when(adds, made).alias("node"), (opens & opening(s, t) & ~fits(s)).alias("exceeded"))
 
-    return F.aggregate(tokens(body), empty, step, lambda s: F.struct(s["nodes"].alias("nodes"), s["exceeded"].alias("exceeded")))
+    made = let(tokens(body), lambda ts: F.zip_with(ts, running(ts, empty, step, STATE), node))
+    return let(made, lambda ms: F.struct(F.transform(F.filter(ms, lambda m: m["node"].isNotNull()), lambda m: m["node"]).alias("nodes"), F.exists(ms, lambda m: m["exceeded"]).alias("exceeded")))
 
 
 def try_tree(body: Column, max_depth: int = 16) -> Column:
@@ -175,18 +197,23 @@ def _open_tag(n: Column) -> Column:
 def serialize(nodes: Column) -> Column:
     """Cue text of a node array: texts decoded, annotations raw.  A tag is
     closed before the first later node that is not deeper, innermost first."""
-    begin = F.struct(F.lit("").alias("out"), F.array().cast("array<string>").alias("open"))
-
     def close(open_: Column, to: Column) -> Column:
         shut = F.reverse(F.slice(open_, to + 1, F.greatest(F.size(open_) - to, F.lit(0))))
         return F.array_join(F.transform(shut, lambda t: F.concat(F.lit("</"), t, F.lit(">"))), "")
 
-    def step(s: Column, n: Column) -> Column:
+    def step(open_: Column, n: Column) -> Column:
+        left = F.slice(open_, F.lit(1), n["depth"])
+        return F.when(n["kind"] == "Tag", F.concat(left, F.array(n["tag"]))).otherwise(left)
+
+    def piece(n: Column, open_: Column) -> Column:
         shown = F.when(n["kind"] == "Tag", _open_tag(n)).when(n["kind"] == "Timestamp", F.concat(F.lit("<"), times.encode_vtt(n["ts"]), F.lit(">"))).otherwise(decode_references(n["text"]))
-        left = F.slice(s["open"], F.lit(1), n["depth"])
-        return F.struct(F.concat(s["out"], close(s["open"], n["depth"]), shown).alias("out"), F.when(n["kind"] == "Tag", F.concat(left, F.array(n["tag"]))).otherwise(left).alias("open"))
+        return F.concat(close(open_, n["depth"]), shown)
+
+    def whole(states: Column) -> Column:
+        end = F.when(F.size(nodes) > 0, close(step(F.get(states, F.size(nodes) - 1), F.get(nodes, F.size(nodes) - 1)), F.lit(0))).otherwise("")
+        return F.concat(F.array_join(F.zip_with(nodes, states, piece), ""), end)
 
-    return F.aggregate(nodes, begin, step, lambda s: F.concat(s["out"], close(s["open"], F.lit(0))))
+    return let(running(nodes, F.array().cast("array<string>"), step, "array<string>"), whole)
 
 
 def dump(nodes: Column) -> Column:

@@ -1,7 +1,9 @@
 """ASS/SSA scripts as rows, and back.
 
 Every meaningful line is one block.  A line needs only the section it stands in
-and the columns last declared there, both filled forward by windows.
+and the columns last declared there, both carried along by a running fold
+within the document's row: nothing is shuffled, and rows of one id are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueframe.functions import times
-from cueframe.functions.lines import document_lines, trim_end_white, trim_start_white, trim_white, without_bom
+from cueframe.functions.arrays import first_place, let, running
+from cueframe.functions.lines import raw_lines, trim_end_white, trim_start_white, trim_white, unterminated, with_all, without_bom
 from cueframe.plans.options import EVENT_FIELDS, AssOptions, EventFormat, event_format
 
 #: Canonical names (fixed values).
@@ -55,41 +58,69 @@ def _time_problem(t: Column) -> Column:
     )
 
 
-def parse_event(kind: Column, row: Column, columns: Column, options: AssOptions = AssOptions()) -> tuple[Column, Column]:  # noqa: B008
-    """``(event struct, error)`` of a row under an array of column names.
+def split_row(row: Column, columns: Column) -> Column:
+    """The cells of a row under an array of column names; the last column takes
+    the rest of the row."""
+    return F.split(row, ",", F.greatest(F.size(columns), F.lit(1)))
+
+
+def _value(cell: Column) -> Column:
+    return F.nullif(trim_white(cell), F.lit(""))
 
-    The last declared column takes the rest of the row.  ``Text`` is verbatim,
-    other fields are trimmed, and empty ones null.
-    """
-    n = F.size(columns)
-    cells = F.split(row, ",", F.greatest(n, F.lit(1)))
-    trimmed = F.transform(cells, lambda c: F.nullif(trim_white(c), F.lit("")))
-    at = {f: (F.array_position(columns, f) - 1).cast("int") for f in EVENT_FIELDS}
-    value = {f: F.get(trimmed, at[f]) for f in EVENT_FIELDS}
-    number = {f: _number(value[f], f) for f in NUMBERS}
-    stamp = {f: times.ass(value[f]) for f in TIMES}
 
-    def problem(v: Column, i: Column) -> Column:
-        field = F.get(columns, i)
-        wrong = ((field == "Layer") & _number(v, "Layer").isNull()) | (field.isin(*(f for f in NUMBERS if f != "Layer")) & _number(v, "ReadOrder").isNull())
-        return F.when(v.isNotNull(), F.when(wrong, F.concat(F.lit("InvalidField("), field, F.lit(")"))).when(field.isin(*TIMES), _time_problem(v)))
+def event_error(cells: Column, columns: Column, options: AssOptions = AssOptions()) -> Column:  # noqa: B008
+    """Why the cells of a row are no event, or null."""
+    unsigned = [f for f in NUMBERS if f != "Layer"]
 
+    def problem(field: Column, cell: Column) -> Column:
+        def told(v: Column) -> Column:
+            wrong = F.when(field == "Layer", _number(v, "Layer").isNull()).when(field.isin(*unsigned), _number(v, "ReadOrder").isNull())
+            return F.when(v.isNotNull(), F.when(wrong, F.concat(F.lit("InvalidField("), field, F.lit(")"))).when(field.isin(*TIMES), _time_problem(v)))
+
+        return F.when(field.isin(*NUMBERS, *TIMES), let(_value(cell), told))
+
+    n = F.size(columns)
     error = F.when(n == 0, "MissingFormat")
     if not options.allow_malformed_fields:
-        first = F.get(F.filter(F.transform(trimmed, problem), lambda e: e.isNotNull()), F.lit(0))
-        error = error.when(first.isNotNull(), first)
+        first = F.get(F.filter(F.zip_with(columns, cells, problem), lambda e: e.isNotNull()), F.lit(0))
+        error = F.coalesce(error, first)
     if not options.allow_short_event:
-        error = error.when(F.size(cells) < n, F.concat(F.lit("TooFewFields("), n.cast("string"), F.lit(","), F.size(cells).cast("string"), F.lit(")")))
-    event = F.struct(
+        error = F.coalesce(error, F.when(F.size(cells) < n, F.concat(F.lit("TooFewFields("), n.cast("string"), F.lit(","), F.size(cells).cast("string"), F.lit(")"))))
+    return error
+
+
+def event_of(kind: Column, row: Column, cells: Column, columns: Column) -> Column:
+    """The event struct of a row's cells: ``Text`` is verbatim, other fields
+    are trimmed, and empty ones null."""
+    at = {f: (F.array_position(columns, f) - 1).cast("int") for f in EVENT_FIELDS}
+    value = {f: _value(F.get(cells, at[f])) for f in EVENT_FIELDS}
+    return F.struct(
         kind.alias("kind"),
-        *[number[f].alias(c) for f, c in NUMBERS.items()],
-        *[stamp[f].alias(c) for f, c in TIMES.items()],
+        *[_number(value[f], f).alias(c) for f, c in NUMBERS.items()],
+        *[times.ass(value[f]).alias(c) for f, c in TIMES.items()],
         *[value[f].alias(c) for f, c in WORDS.items()],
         F.coalesce(F.get(cells, at["Text"]), F.lit("")).alias("text"),
         row.alias("row"),
-        n.alias("columns"),
+        F.size(columns).alias("columns"),
     )
-    return event, error
+
+
+def parse_event(kind: Column, row: Column, columns: Column, options: AssOptions = AssOptions()) -> tuple[Column, Column]:  # noqa: B008
+    """``(event struct, error)`` of a row under an array of column names."""
+    cells = split_row(row, columns)
+    return event_of(kind, row, cells, columns), event_error(cells, columns, options)
+
+
+def parse_event_line(line: Column, columns: Column, options: AssOptions = AssOptions()) -> tuple[Column, Column]:  # noqa: B008
+    """The same of a line with its keyword, as ``Dialogue: 0,...``; a line
+    without a known one is ``UnexpectedLine``."""
+    text = trim_start_white(line)
+    kind = canonical(trim_end_white(F.substring_index(text, ":", 1)), EVENT_KINDS)
+    kind = F.when(F.instr(text, ":") > 0, kind)
+    row = F.regexp_replace(F.substring(text, F.instr(text, ":") + 1, F.length(text)), r"^[ \t]+", "")
+    event, error = parse_event(kind, row, columns, options)
+    error = F.when(kind.isNull(), "UnexpectedLine").otherwise(error)
+    return F.when(error.isNull(), event), error
 
 
 def event_field(event: Column, index: Column) -> Column:
@@ -97,57 +128,80 @@ def event_field(event: Column, index: Column) -> Column:
     return F.get(F.split(event["row"], ",", F.greatest(event["columns"], F.lit(1))), index)
 
 
+STATE = "struct<section:string,format:array<string>>"
+
+
+def _line(text: Column, line: Column) -> Column:
+    """What a line tells without its section."""
+    bare = trim_end_white(text)
+    closed = F.regexp_extract(bare, r"(?s)^\[(.*)\]\z", 1)
+    opened = F.when(text.startswith("[") & bare.rlike(r"(?s)^\[.*\]\z"), F.coalesce(canonical(closed, SECTIONS), closed))
+    colon = F.instr(text, ":")
+    key = F.when(colon > 0, trim_end_white(F.substring(text, F.lit(1), colon - 1)))
+    value = F.when(colon > 0, F.regexp_replace(F.substring(text, colon + 1, F.length(text)), r"^[ \t]+", ""))
+    return F.struct(line.alias("line"), text.alias("text"), opened.alias("opened"), key.alias("key"), value.alias("value"))
+
+
 def parse_ass(docs: DataFrame, options: AssOptions = AssOptions()) -> DataFrame:  # noqa: B008
     """``docs(doc_id, content)`` -> one row per block, and one per document in error.
 
     ``(doc_id, ordinal, block_type, section, text, key, value, format, event, error)``:
     block_type section, comment, format, style, event, data or property;
     ``text`` is the comment, payload, style row or declared format.
-    ``doc_id`` is unique; null and empty contents have no rows.
+    Rows of one ``doc_id`` are read apart; null and empty contents have no rows.
     """
-    rows = document_lines(docs, lone_cr=True).withColumn("line", F.when(F.col("pos") == 0, without_bom(F.col("line"))).otherwise(F.col("line")))
-    rows = rows.withColumn("text", trim_start_white(F.col("line"))).where(trim_end_white(F.col("text")) != "")
-    closed = F.regexp_extract(trim_end_white(F.col("text")), r"(?s)^\[(.*)\]\z", 1)
-    headed = F.col("text").startswith("[") & trim_end_white(F.col("text")).rlike(r"(?s)^\[.*\]\z")
-    rows = rows.withColumn("opened", F.when(headed, F.coalesce(canonical(closed, SECTIONS), closed)))
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumns({"section": F.last("opened", ignorenulls=True).over(by_doc), "segment": F.count("opened").over(by_doc)})
-    mark = F.when(F.col("section") == "Fonts", "fontname:").when(F.col("section") == "Graphics", "filename:")
-    colon = F.instr("text", ":")
-    key = trim_end_white(F.expr("substr(text, 1, instr(text, ':') - 1)"))
-    value = F.regexp_replace(F.expr("substr(text, instr(text, ':') + 1)"), r"^[ \t]+", "")
-    rows = rows.withColumns({"key": F.when(colon > 0, key), "value": F.when(colon > 0, value)})
-    styled = F.col("section").isin("V4 Styles", "V4+ Styles") | (~F.col("section").isin(*SECTIONS) & trim_end_white(F.col("section")).rlike(r"(?i)styles\z"))
-    kind = F.when(F.col("opened").isNotNull(), "section").when(F.col("text").startswith("["), "unclosed").when(mark.isNotNull() & ~F.col("text").startswith(mark), "data")
-    kind = kind.when(F.col("text").startswith(";"), "comment").when(F.coalesce(F.col("key"), F.lit("")) == "", "unexpected").when(F.lower("key") == "format", "format")
-    kind = kind.when((F.lower("key") == "style") & styled, "style").when((F.col("section") == "Events") & canonical(F.col("key"), EVENT_KINDS).isNotNull(), "event").otherwise("property")
-    rows = rows.withColumn("kind", kind)
+    whole = F.transform(raw_lines(F.col("content"), lone_cr=True), lambda r, i: let(unterminated(r, lone_cr=True), lambda x: F.when(i == 0, without_bom(x)).otherwise(x)))
+    lines = F.filter(F.transform(whole, lambda x: let(trim_start_white(x), lambda t: _line(t, x))), lambda x: trim_end_white(x["text"]) != "")
+    none = F.lit(None).cast("array<string>")
+    begin = F.array().cast("array<string>") if not options.allow_missing_format else EventFormat.ass().column()
+
+    def step(s: Column, x: Column) -> Column:
+        declares = (s["section"] == "Events") & (F.lower(x["key"]) == "format") & ~x["text"].startswith("[") & ~x["text"].startswith(";")
+        entered = F.struct(x["opened"].alias("section"), none.alias("format")).cast(STATE)
+        declared = F.struct(s["section"].alias("section"), event_format(x["value"]).alias("format")).cast(STATE)
+        return F.when(x["opened"].isNotNull(), entered).when(declares, declared).otherwise(s)
+
+    rows = docs.select("doc_id", lines.alias("_ls"))
+    rows = rows.withColumn("_ss", running(F.col("_ls"), F.struct(F.lit(None).cast("string"), none), step, STATE))
+
+    def judged(x: Column, s: Column) -> Column:
+        section = F.coalesce(x["opened"], s["section"])
+        mark = F.when(section == "Fonts", "fontname:").when(section == "Graphics", "filename:")
+        styled = section.isin("V4 Styles", "V4+ Styles") | (~section.isin(*SECTIONS) & trim_end_white(section).rlike(r"(?i)styles\z"))
+        text, key = x["text"], x["key"]
+        kind = F.when(x["opened"].isNotNull(), "section").when(text.startswith("["), "unclosed").when(mark.isNotNull() & ~text.startswith(mark), "data")
+        kind = kind.when(text.startswith(";"), "comment").when(F.coalesce(key, F.lit("")) == "", "unexpected").when(F.lower(key) == "format", "format")
+        kind = kind.when((F.lower(key) == "style") & styled, "style").when((section == "Events") & canonical(key, EVENT_KINDS).isNotNull(), "event").otherwise("property")
+        columns = F.coalesce(s["format"], begin)
+
+        def told(k: Column) -> Column:
+            cells = F.when(k == "event", split_row(x["value"], columns))
+            return let(cells, lambda c: F.struct(
+                k.alias("kind"), section.alias("section"), text.alias("text"), x["line"].alias("line"), key.alias("key"), x["value"].alias("value"), columns.alias("columns"), c.alias("cells"),
+                F.when(k == "unclosed", "UnclosedSection").when(k == "unexpected", "UnexpectedLine").when(k == "event", event_error(c, columns, options)).alias("error"),
+            ))
+
+        return let(kind, told)
+
+    found = F.zip_with("_ls", "_ss", judged)
     if options.ignore_unknown_lines:
-        rows = rows.where(~F.col("kind").isin("unclosed", "unexpected"))
-    declared = F.when((F.col("kind") == "format") & (F.col("section") == "Events"), event_format(F.col("value")))
-    by_segment = Window.partitionBy("doc_id", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("declared", declared).withColumn("format", F.last("declared", ignorenulls=True).over(by_segment))
-    if options.allow_missing_format:
-        rows = rows.withColumn("format", F.coalesce("format", EventFormat.ass().column()))
-    event, problem = parse_event(canonical(F.col("key"), EVENT_KINDS), F.col("value"), F.coalesce("format", F.array().cast("array<string>")), options)
-    is_event = F.col("kind") == "event"
-    error = F.when(F.col("kind") == "unclosed", "UnclosedSection").when(F.col("kind") == "unexpected", "UnexpectedLine").when(is_event, problem)
-    rows = rows.withColumns({"event": F.when(is_event, event), "error": error})
-    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("failed", F.coalesce(F.max(F.col("error").isNotNull()).over(before), F.lit(False))).where("not failed")
-    ok = F.col("error").isNull()
-    text = F.when(F.col("kind") == "comment", F.substring("text", 2, 1 << 30)).when(F.col("kind") == "data", F.col("line")).when(F.col("kind").isin("format", "style"), F.col("value"))
-    plain = F.col("kind") == "property"
-    return rows.select(
+        found = F.filter(found, lambda x: ~x["kind"].isin("unclosed", "unexpected"))
+    rows = rows.select("doc_id", found.alias("_bs")).withColumn("_stop", first_place(F.col("_bs"), lambda x: x["error"].isNotNull()))
+    told = F.when(F.col("_stop") > 0, F.slice("_bs", F.lit(1), F.col("_stop"))).otherwise(F.col("_bs"))
+    out = rows.select("doc_id", F.posexplode(told).alias("ordinal", "b")).select("doc_id", "ordinal", "b.*")
+    ok, kind = F.col("error").isNull(), F.col("kind")
+    text = F.when(kind == "comment", F.substring("text", 2, 1 << 30)).when(kind == "data", F.col("line")).when(kind.isin("format", "style"), F.col("value"))
+    plain = kind == "property"
+    return out.select(
         "doc_id",
-        (F.row_number().over(by_doc) - 1).alias("ordinal"),
-        F.when(ok, F.col("kind")).alias("block_type"),
+        "ordinal",
+        F.when(ok, kind).alias("block_type"),
         F.when(ok, F.col("section")).alias("section"),
         F.when(ok, text).alias("text"),
         F.when(ok & plain, F.col("key")).alias("key"),
         F.when(ok & plain, F.col("value")).alias("value"),
-        F.when(ok & (F.col("kind") == "format"), event_format(F.col("value"))).alias("format"),
-        F.when(ok, F.col("event")).alias("event"),
+        F.when(ok & (kind == "format"), event_format(F.col("value"))).alias("format"),
+        F.when(ok & (kind == "event"), event_of(canonical(F.col("key"), EVENT_KINDS), F.col("value"), F.col("cells"), F.col("columns"))).alias("event"),
         "error",
     )
 
@@ -169,9 +223,10 @@ def encode_event(event: Column, columns: Column) -> Column:
     return F.concat(event["kind"], F.lit(": "), F.array_join(F.transform(columns, cell), ","))
 
 
-def write_ass(blocks: DataFrame, default_format: EventFormat | None = None) -> DataFrame:
+def write_ass(blocks: DataFrame, default_format: EventFormat | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Blocks as ``parse_ass`` gives them -> ``(doc_id, content)``: LF only, a
-    blank line before every section but a first line."""
+    blank line before every section but a first line.  Every document of
+    ``docs(doc_id)`` has a row, empty where it has no blocks."""
     default = (default_format or EventFormat.ass()).column()
     by_doc = Window.partitionBy("doc_id").orderBy("ordinal")
     kind = F.col("block_type")
@@ -182,4 +237,4 @@ def write_ass(blocks: DataFrame, default_format: EventFormat | None = None) -> D
     line = line.when(kind == "comment", F.concat(F.lit(";"), F.col("text"))).when(kind == "format", F.concat(F.lit("Format: "), F.col("text"))).when(kind == "style", F.concat(F.lit("Style: "), F.col("text")))
     line = line.when(kind == "data", F.col("text")).when(kind == "event", encode_event(F.col("event"), F.col("_columns"))).otherwise(F.concat(F.col("key"), F.lit(": "), F.col("value")))
     each = F.sort_array(F.collect_list(F.struct("ordinal", F.concat(line, F.lit("\n")).alias("line"))))
-    return rows.withColumn("line", line).groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["line"]), "").alias("content"))
+    return with_all(rows.withColumn("line", line).groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["line"]), "").alias("content")), docs, "")

@@ -1,38 +1,62 @@
 """SubRip documents as rows, and back.
 
 After a blank line a reader is always between entries, so a document falls
-into paragraphs that yield at most one entry each.  What crosses paragraphs,
-the running index and the first error, are two windows over the document.
+into paragraphs that yield at most one entry each.  A document is read within
+its row: paragraphs by one regular expression, their lines by array functions,
+and what crosses paragraphs, the running index, by a running fold.  Nothing is
+shuffled, and rows of one id are documents of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueframe.functions import times
-from cueframe.functions.lines import body_of, document_lines, without_bom
+from cueframe.functions.arrays import first_place, let, running
+from cueframe.functions.lines import BOM, body_of, raw_lines, unterminated, with_all, without_bom
 from cueframe.plans.options import SrtOptions
 
 ARROW = r"[ \t\f]+-->[ \t\f]+"
 HEADER = rf"^{times.SRT}{ARROW}{times.SRT}"
+#: A run of lines none of which is blank; possessive, so that no long run is tried twice.
+PARAGRAPH = rf"((?:(?!{BOM}*(?:\r?\n|\z))[^\n]*+(?:\n|\z))++)"
+TOKEN = "struct<kind:string,index:decimal(20,0),problem:string,text:string>"
 
 
-def _lexed(rows: DataFrame) -> DataFrame:
-    """What the first token of each line is: H(eader), N(umber), or E(rror)."""
-    digits = F.regexp_extract("text", "^[0-9]+", 0)
-    value = F.when(F.length(digits) <= 20, digits.try_cast("decimal(38,0)"))
-    most = F.lit(times.U64).cast("decimal(38,0)")
-    bad = F.when(F.length(digits) > 20, "ParseIndex.Overflow").when(value == 0, "ParseIndex.Zero").when(value > most, "ParseIndex.ParseInt")
-    header = F.col("text").rlike(HEADER)
-    number = ~header & (digits != "")
-    return rows.withColumns(
-        {
-            "kind": F.when(header, "H").when(number & bad.isNull(), "N").otherwise("E"),
-            "index": F.when(number & bad.isNull(), value).cast("decimal(20,0)"),
-            "problem": F.when(number, bad).when(~header, "Unknown"),
-        }
-    )
+def _token(text: Column) -> Column:
+    """What the first token of a line is: H(eader), N(umber), or E(rror)."""
+
+    def number(digits: Column) -> Column:
+        value = F.when(F.length(digits) <= 20, digits.try_cast("decimal(38,0)"))
+        most = F.lit(times.U64).cast("decimal(38,0)")
+        bad = F.when(F.length(digits) > 20, "ParseIndex.Overflow").when(value == 0, "ParseIndex.Zero").when(value > most, "ParseIndex.ParseInt")
+        return F.struct(F.when(bad.isNull(), "N").otherwise("E").alias("kind"), F.when(bad.isNull(), value).alias("index"), bad.alias("problem"), text.alias("text")).cast(TOKEN)
+
+    def plain(kind: str, problem: str | None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(None).alias("index"), F.lit(problem).alias("problem"), text.alias("text")).cast(TOKEN)
+
+    digits = F.regexp_extract(text, "^[0-9]+", 0)
+    return F.when(~text.rlike("^[0-9]"), plain("E", "Unknown")).when(text.rlike(HEADER), plain("H", None)).otherwise(let(digits, number))
+
+
+def _paragraph(raws: Column, options: SrtOptions) -> Column:
+    """A paragraph's entry, as far as the paragraph tells."""
+
+    def found(ls: Column, k: Column) -> Column:
+        first, after, top = F.when(k > 0, F.get(ls, k - 1)), F.when(k > 0, F.get(ls, k)), F.get(ls, F.lit(0))
+        numbered = F.coalesce(first["kind"] == "N", F.lit(False))
+        orphaned = (k != 1) & F.lit(not options.ignore_orphan_text)
+        complete = (k > 0) & ~orphaned & (~numbered | F.coalesce(after["kind"] == "H", F.lit(False)))
+        body = body_of(F.slice(raws, k + F.when(numbered, 2).otherwise(1), F.greatest(F.size(raws), F.lit(1))), lone_cr=False)
+        return F.struct(
+            numbered.alias("numbered"), orphaned.alias("orphaned"), complete.alias("complete"), first["index"].alias("index"), F.when(orphaned, F.coalesce(top["problem"], F.lit("Unknown"))).alias("orphan"),
+            F.coalesce(after["problem"], F.lit("ExpectedHeader")).alias("headless"), F.when(numbered, after["text"]).otherwise(first["text"]).alias("head"), F.when(complete, body).alias("body"),
+        )
+
+    begins = lambda x: (x["kind"] == "N") | (F.lit(options.allow_missing_index) & (x["kind"] == "H"))
+    tokens = F.transform(raws, lambda r: let(without_bom(unterminated(r, lone_cr=False)), _token))
+    return let(tokens, lambda ls: let(first_place(ls, begins), lambda k: found(ls, k)))
 
 
 def parse_srt(docs: DataFrame, options: SrtOptions = SrtOptions()) -> DataFrame:  # noqa: B008
@@ -40,55 +64,33 @@ def parse_srt(docs: DataFrame, options: SrtOptions = SrtOptions()) -> DataFrame:
 
     ``(doc_id, ordinal, index, start, end, start_ms, end_ms, body, error, error_detail)``;
     an error row has nulls but for its last columns and ends its document.
-    ``doc_id`` is unique; a null or empty content has no rows.
+    Rows of one ``doc_id`` are read apart; a null or empty content has no rows.
     """
-    rows = document_lines(docs, lone_cr=False).withColumn("text", without_bom(F.col("line")))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("blank", F.col("text") == "").withColumn("para", F.sum(F.col("blank").cast("int")).over(order))
-    rows = _lexed(rows.where("not blank"))
-    lines = F.sort_array(F.collect_list(F.struct("pos", "kind", "index", "problem", "text", "raw")))
-    paras = rows.groupBy("doc_id", "para").agg(lines.alias("ls"))
-    begins = lambda x: (x["kind"] == "N") | (F.lit(options.allow_missing_index) & (x["kind"] == "H"))
-    paras = paras.withColumn("k", F.array_position(F.transform("ls", begins), F.lit(True)).cast("int"))
-    first, after, top = F.get("ls", F.greatest(F.col("k") - 1, F.lit(0))), F.get("ls", F.col("k")), F.get("ls", F.lit(0))
-    paras = paras.withColumns({"first": F.when(F.col("k") > 0, first), "after": F.when(F.col("k") > 0, after), "top": top})
-    numbered = F.coalesce(F.col("first.kind") == "N", F.lit(False))
-    orphaned = (F.col("k") != 1) & F.lit(not options.ignore_orphan_text)
-    complete = (F.col("k") > 0) & ~orphaned & (~numbered | F.coalesce(F.col("after.kind") == "H", F.lit(False)))
-    before = Window.partitionBy("doc_id").orderBy("para").rowsBetween(Window.unboundedPreceding, -1)
-    paras = paras.withColumns({"numbered": numbered, "orphaned": orphaned, "complete": complete})
-    paras = paras.withColumn("last", F.coalesce(F.max(F.when(F.col("complete") & F.col("numbered"), F.col("first.index"))).over(before), F.lit(0)))
-    stale = F.col("numbered") & ~F.col("orphaned") & (F.col("first.index") <= F.col("last")) & F.lit(options.monotonic_index)
-    headless = F.col("numbered") & ~F.col("orphaned") & ~F.col("complete") & F.lit(not options.ignore_broken_header)
-    error = (
-        F.when(F.col("orphaned"), F.coalesce("top.problem", F.lit("Unknown")))
-        .when(stale & F.lit(not options.tolerant), "NonMonotonicIndex")
-        .when(stale, None)
-        .when(headless, F.coalesce("after.problem", F.lit("ExpectedHeader")))
-    )
-    detail = F.when(error == "NonMonotonicIndex", F.create_map(F.lit("last"), F.col("last").cast("string"), F.lit("got"), F.col("first.index").cast("string"))).when(
-        error == "ExpectedHeader", F.create_map(F.lit("index"), F.col("first.index").cast("string"))
-    )
-    paras = paras.withColumns({"error": error, "error_detail": detail, "kept": F.col("complete") & ~stale})
-    failed = F.coalesce(F.max(F.col("error").isNotNull()).over(before), F.lit(False))
-    paras = paras.withColumn("failed", failed).where(~F.col("failed") & (F.col("error").isNotNull() | F.col("kept")))
-    head = F.when(F.col("numbered"), F.col("after.text")).otherwise(F.col("first.text"))
-    skip = F.col("k") + F.when(F.col("numbered"), 2).otherwise(1)
-    body = body_of(F.transform(F.slice("ls", skip, F.greatest(F.size("ls"), F.lit(1))), lambda x: x["raw"]), lone_cr=False)
+    paras = F.transform(F.regexp_extract_all("content", F.lit(PARAGRAPH), F.lit(1)), lambda p: _paragraph(raw_lines(p, lone_cr=False), options))
+    rows = docs.select("doc_id", paras.alias("_ps"))
+    zero = F.lit(0).cast("decimal(20,0)")
+    rows = rows.withColumn("_last", running(F.col("_ps"), zero, lambda last, p: F.when(p["complete"] & p["numbered"], F.greatest(last, p["index"])).otherwise(last), "decimal(20,0)"))
+
+    def judged(p: Column, last: Column) -> Column:
+        stale = p["numbered"] & ~p["orphaned"] & (p["index"] <= last) & F.lit(options.monotonic_index)
+        headless = p["numbered"] & ~p["orphaned"] & ~p["complete"] & F.lit(not options.ignore_broken_header)
+        error = F.when(p["orphaned"], p["orphan"]).when(stale & F.lit(not options.tolerant), "NonMonotonicIndex").when(stale, None).when(headless, p["headless"])
+        last_got = F.create_map(F.lit("last"), last.cast("string"), F.lit("got"), p["index"].cast("string"))
+        detail = F.when(error == "NonMonotonicIndex", last_got).when(error == "ExpectedHeader", F.create_map(F.lit("index"), p["index"].cast("string")))
+        return F.struct(error.alias("error"), detail.alias("error_detail"), (p["complete"] & ~stale).alias("kept"), p["index"].alias("index"), p["head"].alias("head"), p["body"].alias("body"))
+
+    rows = rows.select("doc_id", F.zip_with("_ps", "_last", judged).alias("_es"))
+    stop = first_place(F.col("_es"), lambda e: e["error"].isNotNull())
+    told = F.when(stop > 0, F.slice("_es", F.lit(1), stop)).otherwise(F.col("_es"))
+    out = rows.select("doc_id", F.posexplode(F.filter(told, lambda e: e["kept"] | e["error"].isNotNull())).alias("ordinal", "e"))
+    ok = F.col("e.error").isNull()
+    out = out.select("doc_id", "ordinal", "e.*", F.when(ok, F.regexp_extract("e.head", HEADER, 1)).alias("_a"), F.when(ok, F.regexp_extract("e.head", HEADER, 2)).alias("_b"))
+    out = out.withColumns({"start": times.srt(F.col("_a")), "end": times.srt(F.col("_b"))})
     ok = F.col("error").isNull()
-    out = paras.select(
-        "doc_id",
-        (F.row_number().over(Window.partitionBy("doc_id").orderBy("para")) - 1).alias("ordinal"),
-        F.when(ok, F.col("first.index")).alias("index"),
-        F.when(ok, times.parts(head, HEADER)).alias("start"),
-        F.when(ok, times.parts(head, HEADER, 4)).alias("end"),
-        F.when(ok, body).alias("body"),
-        "error",
-        "error_detail",
-    )
-    return out.withColumns({"start_ms": times.total(F.col("start")).cast("long"), "end_ms": times.total(F.col("end")).cast("long")}).select(
-        "doc_id", "ordinal", "index", "start", "end", "start_ms", "end_ms", "body", "error", "error_detail"
-    )
+    return out.select(
+        "doc_id", "ordinal", F.when(ok, F.col("index")).alias("index"), "start", "end", times.total(F.col("start")).cast("long").alias("start_ms"), times.total(F.col("end")).cast("long").alias("end_ms"),
+        F.when(ok, F.col("body")).alias("body"), "error", "error_detail",
+    )
 
 
 def encode_header(index: Column, start: Column, end: Column) -> Column:
@@ -96,9 +98,10 @@ def encode_header(index: Column, start: Column, end: Column) -> Column:
     return F.concat(number, times.encode_srt(start), F.lit(" --> "), times.encode_srt(end), F.lit("\n"))
 
 
-def write_srt(entries: DataFrame) -> DataFrame:
+def write_srt(entries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Entries ``(doc_id, ordinal, index, start, end, body)`` -> ``(doc_id, content)``;
-    a blank line stands between entries."""
+    a blank line stands between entries.  Every document of ``docs(doc_id)``
+    has a row, empty where it has no entries."""
     text = F.concat(encode_header(F.col("index"), F.col("start"), F.col("end")), F.col("body"), F.lit("\n"))
     each = F.sort_array(F.collect_list(F.struct("ordinal", text.alias("text"))))
-    return entries.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["text"]), "\n").alias("content"))
+    return with_all(entries.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["text"]), "\n").alias("content")), docs, "")

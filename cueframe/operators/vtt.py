@@ -1,22 +1,29 @@
 """WebVTT documents as rows, and back.
 
-Every block ends at an empty line, so a document falls into paragraphs and the
-lines of a paragraph are placed by windows: which line opens a note, a style, a
-region or a cue, and which lines then belong to it.  Only "has a cue been
-seen", which bars styles and regions, crosses paragraphs; as it cannot change
-before the first cue, the first cue's place settles it.
+Every block ends at an empty line, so a document falls into paragraphs, and
+the lines of a paragraph are placed by array functions: which line opens a
+note, a style, a region or a cue, and which lines then belong to it.  Only "has
+a cue been seen", which bars styles and regions, crosses paragraphs; as it
+cannot change before the first cue, the first cue's place settles it.  A
+document is read within its row: nothing is shuffled, and rows of one id are
+documents of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueframe.functions import times
-from cueframe.functions.lines import BOM, body_of, document_lines, trim_start_white, trim_white, without_bom
+from cueframe.functions.arrays import first_place, let
+from cueframe.functions.lines import BOM, body_of, raw_lines, trim_start_white, trim_white, unterminated, with_all, without_bom
+from cueframe.functions.vtt_text import serialize
 
 ARROW = "-->"
 TIMING = rf"^{BOM}*[ \t\f]*{times.VTT}[ \t\f]+-->[ \t\f]+{times.VTT}"
+#: A run of lines none of which is empty; possessive, so that no long run is tried twice.
+PARAGRAPH = r"((?:[^\r\n]++(?:\r\n|\r|\n|\z))++)"
+SIGNATURE = r"^WEBVTT(?:\z|[ \t])"
 #: Closed value sets (fixed values).
 VERTICAL, ALIGN = ("rl", "lr"), ("start", "center", "end", "left", "right")
 LINE_ALIGN, POSITION_ALIGN = ("start", "center", "end"), ("line-left", "center", "line-right", "auto")
@@ -95,8 +102,75 @@ def region_settings(body: Column) -> Column:
     )
 
 
-def _opener(word: str) -> Column:
-    return F.col("text").rlike(rf"^{word}(?:\z|[ \t])")
+def _opener(text: Column, word: str) -> Column:
+    return text.rlike(rf"^{word}(?:\z|[ \t])")
+
+
+def _stamps(line: Column) -> tuple[Column, Column]:
+    return times.vtt(F.regexp_extract(line, TIMING, 1)), times.vtt(F.regexp_extract(line, TIMING, 2))
+
+
+def _placed(raws: Column, header: Column) -> Column:
+    """The lines of a paragraph with what they may be, and the place of the
+    first timing that makes a cue whatever else the document holds."""
+
+    def line(raw: Column) -> Column:
+        def told(x: Column) -> Column:
+            arrow = F.instr(x, ARROW) > 0
+            start, end = _stamps(x)
+            timed = arrow & x.rlike(TIMING) & start.isNotNull() & end.isNotNull()
+            return F.struct(raw.alias("raw"), x.alias("line"), without_bom(x).alias("text"), arrow.alias("arrow"), timed.alias("timed"))
+
+        return let(unterminated(raw, lone_cr=True), told)
+
+    def marked(ls: Column) -> Column:
+        arrow = first_place(ls, lambda x: x["arrow"])
+
+        def mark(x: Column, i: Column) -> Column:
+            # A line is looked at as the start of a block unless the line before it made it a cue's timing, or it is a cue's text or header text.
+            later = (arrow > 0) & (arrow <= i)
+            fresh = F.when(x["arrow"], later | header | (i == 0) | (F.get(ls, i - 1)["text"] == "")).otherwise(~later & ~header)
+            note, style, region = (fresh & _opener(x["text"], w) for w in ("NOTE", "STYLE", "REGION"))
+            kind = F.when(note, "note").when(style, "style").when(region, "region")
+            name = F.when(x["arrow"] & ~fresh, F.get(ls, i - 1)["text"])
+            return F.struct(x["raw"].alias("raw"), x["line"].alias("line"), x["text"].alias("text"), x["arrow"].alias("arrow"), x["timed"].alias("timed"), kind.alias("kind"), name.alias("name"))
+
+        return F.transform(ls, mark)
+
+    def sealed(ls: Column) -> Column:
+        opens = first_place(ls, lambda x: x["kind"].isNotNull())
+        cue = first_place(ls, lambda x: x["timed"])
+        return F.struct(ls.alias("ls"), F.when((cue > 0) & ((opens == 0) | (cue < opens)), cue).otherwise(0).alias("cue"))
+
+    lines = F.transform(F.when(header, F.slice(raws, F.lit(2), F.greatest(F.size(raws), F.lit(1)))).otherwise(raws), line)
+    return let(let(lines, marked), sealed)
+
+
+def _blocks(ls: Column, barred: Column, cue: Column) -> Column:
+    """The blocks of a paragraph.  ``barred`` says that a cue came in an
+    earlier paragraph, ``cue`` where the first one of all stands in this (0: elsewhere)."""
+
+    def cut(opens: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: ((opens == 0) | (i <= opens)) & (F.get(ls, i - 1)["arrow"] | (i == opens)))
+
+        def block(i: Column, nth: Column, starts: Column) -> Column:
+            x = F.get(ls, i - 1)
+            opened = i == opens
+            kind = F.when(opened, x["kind"]).when(x["timed"], "cue").otherwise("none")
+            inline = trim_start_white(F.substring(x["text"], 6, 1 << 30))
+            end = F.substring(x["raw"], F.length(x["line"]) + 1, F.length(x["raw"]))
+            first = F.when((kind == "note") & (inline != ""), F.array(F.concat(inline, end))).otherwise(F.array().cast("array<string>"))
+            until = F.coalesce(F.get(starts, nth + 1) - 1, F.size(ls))
+            rest = F.transform(F.slice(ls, i + 1, until - i), lambda r: r["raw"])
+            return F.struct(kind.alias("kind"), x["name"].alias("name"), x["line"].alias("line"), body_of(F.concat(first, rest), lone_cr=True).alias("body"), F.lit(None).cast("string").alias("error"))
+
+        return let(begins, lambda starts: F.transform(starts, lambda i, nth: block(i, nth, starts)))
+
+    def opens_at(places: Column) -> Column:
+        return F.coalesce(F.get(places, F.lit(0)), F.lit(0))
+
+    may = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: F.coalesce((F.get(ls, i - 1)["kind"] == "note") | (F.get(ls, i - 1)["kind"].isNotNull() & ~barred & ((cue == 0) | (i < cue))), F.lit(False)))
+    return F.when(F.size(ls) > 0, let(let(may, opens_at), cut)).otherwise(F.array().cast("array<struct<kind:string,name:string,line:string,body:string,error:string>>"))
 
 
 def parse_vtt(docs: DataFrame) -> DataFrame:
@@ -104,63 +178,36 @@ def parse_vtt(docs: DataFrame) -> DataFrame:
 
     ``(doc_id, ordinal, block_type, identifier, start, end, start_ms, end_ms,
     settings, body, region, error)`` with ``block_type`` cue, note, style or
-    region.  ``doc_id`` is unique; null contents have no rows; an empty one
-    lacks its signature.
+    region.  Rows of one ``doc_id`` are read apart; null contents have no rows;
+    an empty one lacks its signature.
     """
-    ids = docs.where(F.col("content").isNotNull()).select("doc_id", without_bom(F.regexp_extract("content", r"^[^\r\n]*", 0)).alias("sign"))
-    wrong = F.when(~F.col("sign").startswith("WEBVTT"), "MissingSignature").when(~F.col("sign").rlike(r"^WEBVTT(?:\z|[ \t])"), "InvalidSignature")
-    errors = ids.select("doc_id", wrong.alias("error")).where("error is not null")
-    good = docs.where(without_bom(F.regexp_extract("content", r"^[^\r\n]*", 0)).rlike(r"^WEBVTT(?:\z|[ \t])"))
-    rows = document_lines(good, lone_cr=True).where("pos > 0")
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("para", F.sum((F.col("line") == "").cast("int")).over(by_doc)).where("line <> ''")
-    by_para = Window.partitionBy("doc_id", "para").orderBy("pos")
-    earlier = by_para.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"text": without_bom(F.col("line")), "arrow": F.instr("line", ARROW) > 0})
-    rows = rows.withColumns({"arrows": F.coalesce(F.sum(F.col("arrow").cast("int")).over(earlier), F.lit(0)), "ahead": F.lag("text").over(by_para), "header": F.col("para") == 0})
-    # A line is looked at as the start of a block unless the line before it made it a cue's timing, or it is a cue's text or header text.
-    fresh = F.when(F.col("arrow"), (F.col("arrows") > 0) | F.col("ahead").isNull() | (F.col("ahead") == "") | F.col("header")).otherwise((F.col("arrows") == 0) & ~F.col("header"))
-    timed = F.col("arrow") & F.col("line").rlike(TIMING) & times.parts(F.col("line"), TIMING).isNotNull() & times.parts(F.col("line"), TIMING, 4).isNotNull()
-    note, framed = F.col("fresh") & _opener("NOTE"), F.col("fresh") & (_opener("STYLE") | _opener("REGION"))
-    rows = rows.withColumn("fresh", fresh).withColumns({"timed": timed, "note": note, "framed": framed})
-    taken = lambda c: F.coalesce(F.max(c).over(earlier), F.lit(False))
-    rows = rows.withColumn("lone", F.col("timed") & ~taken(F.col("note") | F.col("framed")) & ~F.col("note") & ~F.col("framed"))
-    rows = rows.withColumn("first_cue", F.min(F.when(F.col("lone"), F.col("pos"))).over(Window.partitionBy("doc_id")))
-    rows = rows.withColumn("opens", F.col("note") | (F.col("framed") & (F.col("first_cue").isNull() | (F.col("pos") < F.col("first_cue")))))
-    rows = rows.withColumn("taken", taken(F.col("opens")))
-    begins = ~F.col("taken") & (F.col("opens") | F.col("arrow"))
-    kind = F.when(begins & F.col("opens"), F.when(F.col("note"), "note").when(_opener("STYLE"), "style").otherwise("region")).when(begins & F.col("timed"), "cue").when(begins, "none")
-    # The identifier is the line before a timing that only that line led to.
-    named = F.when(F.col("arrow") & ~F.col("fresh"), F.col("ahead"))
-    rows = rows.withColumns({"kind": kind, "name": named}).withColumn("block", F.last(F.when(F.col("kind").isNotNull(), F.col("pos")), ignorenulls=True).over(by_para))
-    inline = trim_start_white(F.substring("text", 6, 1 << 30))
-    piece = F.when(F.col("pos") > F.col("block"), F.col("raw")).when((F.col("kind") == "note") & (inline != ""), F.concat(inline, F.expr("substr(raw, length(line) + 1)")))
-    pick = lambda c: F.max(F.when(F.col("pos") == F.col("block"), F.col(c))).alias(c)
-    pieces = F.sort_array(F.collect_list(F.when(piece.isNotNull(), F.struct("pos", piece.alias("p")))))
-    blocks = rows.where("block is not null").groupBy("doc_id", "block").agg(pick("kind"), pick("name"), pick("line"), pieces.alias("ps")).where("kind <> 'none'")
-    body = body_of(F.transform("ps", lambda x: x["p"]), lone_cr=True)
-    cue = F.col("kind") == "cue"
-    rest = F.regexp_replace("line", TIMING, "")
-    out = blocks.select(
-        "doc_id",
-        (F.row_number().over(Window.partitionBy("doc_id").orderBy("block")) - 1).alias("ordinal"),
-        F.col("kind").alias("block_type"),
-        F.when(cue, F.col("name")).alias("identifier"),
-        F.when(cue, times.parts(F.col("line"), TIMING)).alias("start"),
-        F.when(cue, times.parts(F.col("line"), TIMING, 4)).alias("end"),
-        F.when(cue, cue_settings(rest)).alias("settings"),
-        F.when(F.col("kind") != "region", body).alias("body"),
-        F.when(F.col("kind") == "region", region_settings(body)).alias("region"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    out = out.unionByName(errors.withColumn("ordinal", F.lit(0)), allowMissingColumns=True)
-    out = out.withColumns({"start_ms": times.total(F.col("start")), "end_ms": times.total(F.col("end"))})
-    return out.select("doc_id", "ordinal", "block_type", "identifier", "start", "end", "start_ms", "end_ms", "settings", "body", "region", "error")
+    sign = without_bom(F.regexp_extract("content", r"^[^\r\n]*", 0))
+    wrong = F.when(~sign.startswith("WEBVTT"), "MissingSignature").when(~sign.rlike(SIGNATURE), "InvalidSignature")
+    rows = docs.where(F.col("content").isNotNull()).select("doc_id", "content", wrong.alias("error"))
+    paras = F.transform(F.regexp_extract_all("content", F.lit(PARAGRAPH), F.lit(1)), lambda p, i: _placed(raw_lines(p, lone_cr=True), i == 0))
+    rows = rows.select("doc_id", "error", F.when(F.col("error").isNull(), paras).alias("_ps"))
+    rows = rows.withColumn("_cue", first_place(F.col("_ps"), lambda p: p["cue"] > 0))
+    each = F.transform("_ps", lambda p, i: _blocks(p["ls"], (F.col("_cue") > 0) & (F.col("_cue") <= i), F.when(F.col("_cue") == i + 1, p["cue"]).otherwise(0)))
+    block = "struct<kind:string,name:string,line:string,body:string,error:string>"
+    fault = F.array(F.struct(*[F.lit(None).cast("string").alias(c) for c in ("kind", "name", "line", "body")], F.col("error").alias("error")))
+    found = F.when(F.col("error").isNotNull(), fault.cast(f"array<{block}>")).otherwise(F.filter(F.flatten(each), lambda b: b["kind"] != "none").cast(f"array<{block}>"))
+    out = rows.select("doc_id", F.posexplode(found).alias("ordinal", "b")).select("doc_id", "ordinal", "b.*")
+    cue, line = F.col("kind") == "cue", F.col("line")
+    out = out.withColumns({"_a": F.when(cue, F.regexp_extract(line, TIMING, 1)), "_b": F.when(cue, F.regexp_extract(line, TIMING, 2)), "_rest": F.when(cue, F.regexp_replace(line, TIMING, ""))})
+    out = out.withColumns({"start": times.vtt(F.col("_a")), "end": times.vtt(F.col("_b"))})
+    region = F.col("kind") == "region"
+    return out.select(
+        "doc_id", "ordinal", F.col("kind").alias("block_type"), F.when(cue, F.col("name")).alias("identifier"), "start", "end", times.total(F.col("start")).alias("start_ms"), times.total(F.col("end")).alias("end_ms"),
+        F.when(cue, cue_settings(F.col("_rest"))).alias("settings"), F.when(~region, F.col("body")).alias("body"), F.when(region, region_settings(F.col("body"))).alias("region"), "error",
+    )
 
 
 def show_number(x: Column) -> Column:
-    """A double without a point where it is whole."""
-    return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(x.cast("string"))
+    """A double without an exponent, and without a point where it is whole."""
+    text = x.cast("string")
+    digits, power = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0?$|\.", ""), F.regexp_extract(text, r"E-([0-9]+)$", 1).try_cast("int")
+    small = F.concat(F.when(x < 0, "-").otherwise(""), F.lit("0."), F.repeat(F.lit("0"), power - 1), digits)
+    return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).when(power.isNotNull(), small).otherwise(text)
 
 
 def show_percentage(x: Column) -> Column:
@@ -195,15 +242,19 @@ def format_region(r: Column) -> Column:
     )
 
 
-def write_vtt(blocks: DataFrame, header: str | None = None) -> DataFrame:
+def write_vtt(blocks: DataFrame, header: str | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Blocks as ``parse_vtt`` gives them -> ``(doc_id, content)``: the
-    signature, then each block after a blank line."""
+    signature, then each block after a blank line.  Every document of
+    ``docs(doc_id)`` has a row, with the signature alone where it has no
+    blocks.  A cue with ``nodes`` (``vtt_text.tree``) is written from these in
+    place of its body."""
     c = F.col
     settings = F.when(c("settings").isNotNull(), F.concat(F.lit(" "), format_cue_settings(c("settings")))).otherwise("")
     text = lambda t: F.when(t != "", F.concat(t, F.lit("\n"))).otherwise("")
-    cue = F.concat(F.coalesce(F.concat(c("identifier"), F.lit("\n")), F.lit("")), times.encode_vtt(c("start")), F.lit(" --> "), times.encode_vtt(c("end")), settings, F.lit("\n"), text(c("body")))
+    body = F.when(c("nodes").isNotNull(), serialize(c("nodes"))).otherwise(c("body")) if "nodes" in blocks.columns else c("body")
+    cue = F.concat(F.coalesce(F.concat(c("identifier"), F.lit("\n")), F.lit("")), times.encode_vtt(c("start")), F.lit(" --> "), times.encode_vtt(c("end")), settings, F.lit("\n"), text(body))
     shown = F.when(c("block_type") == "cue", cue).when(c("block_type") == "region", F.concat(F.lit("REGION\n"), text(format_region(c("region")))))
     shown = shown.otherwise(F.concat(F.upper("block_type"), F.lit("\n"), text(c("body"))))
     each = F.sort_array(F.collect_list(F.struct("ordinal", F.concat(F.lit("\n"), shown).alias("text"))))
     sign = "WEBVTT\n" if header is None else f"WEBVTT {header}\n"
-    return blocks.groupBy("doc_id").agg(F.concat(F.lit(sign), F.array_join(F.transform(each, lambda x: x["text"]), "")).alias("content"))
+    return with_all(blocks.groupBy("doc_id").agg(F.concat(F.lit(sign), F.array_join(F.transform(each, lambda x: x["text"]), "")).alias("content")), docs, sign)
