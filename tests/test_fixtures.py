@@ -112,7 +112,7 @@ def test_vtt_files(spark):
 def test_cue_trees(spark):
     cases = []
     for content in texts("json").values():
-        cases += [(c["text"].removesuffix("\n"), c["expectedTree"]) for c in json.loads(content) if "expectedTree" in c]
+        cases += [(c["text"].split("\n\n")[0].removesuffix("\n"), c["expectedTree"]) for c in json.loads(content) if "expectedTree" in c]
     assert len(cases) >= 77
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, body string")
     got = {r["id"]: r["d"] for r in df.select("id", vtt_text.dump(vtt_text.tree(F.col("body"))["nodes"]).alias("d")).collect()}
