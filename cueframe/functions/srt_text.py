@@ -69,3 +69,8 @@ def show_attribute(name: Column, value: Column) -> Column:
     quote = F.when(F.instr(value, '"') > 0, "'").otherwise('"')
     shown = F.when(value.rlike(r"[\s]"), F.concat(quote, value, quote)).otherwise(value)
     return F.when(value.isNull(), name).otherwise(F.concat(name, F.lit("="), shown))
+
+
+def show_code(code: Column) -> Column:
+    """An inline code stands as it was read."""
+    return code

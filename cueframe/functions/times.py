@@ -72,6 +72,33 @@ def interval(ts: Column, unit: int = 1000) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (total(ts, unit) / unit).cast("decimal(18,6)"))
 
 
+#: Units of a stamp: digits they are padded to, the least of their values beyond range, and the most that their number type holds (fixed values).
+UNITS = {"hour": (2, 1000, 65535), "minute": (2, 60, 255), "second": (2, 60, 255), "millisecond": (3, 1000, 65535), "centisecond": (2, 100, 255)}
+
+
+def unit(text: Column, kind: str) -> Column:
+    """``struct<value, error>`` of one unit's text: NotPadded for too few
+    digits, Overflow(n) for a number beyond the unit's range or with other
+    digits than it has, ParseInt for what is no number of its type."""
+    width, beyond, most = UNITS[kind]
+    digits = F.regexp_replace(F.regexp_extract(text, r"^\+?([0-9]+)\z", 1), "^0+(?=[0-9])", "")
+    number = F.when((digits != "") & (F.length(digits) <= 6), digits.try_cast("long"))
+    fine = text.rlike(rf"^(?:[0-9]{{{width}}}|[1-9][0-9]{{{width}}})\z") & (number < beyond)
+    error = F.when(text.rlike(rf"^(?:[0-9]{{1,{width - 1}}})\z"), "NotPadded").when(number.isNull() | (number > most), "ParseInt")
+    error = error.when(~fine, F.concat(F.lit("Overflow("), number.cast("string"), F.lit(")")))
+    return F.struct(F.when(error.isNull(), number).alias("value"), error.alias("error"))
+
+
+def long_hour(text: Column) -> Column:
+    """``struct<value, error>`` of an hour bounded by 64 bits alone."""
+    value = F.when(text.rlike(r"^\+?[0-9]+\z"), _u64(F.regexp_replace(text, r"^\+", "")))
+    return F.struct(value.alias("value"), F.when(value.isNull(), "ParseInt").alias("error"))
+
+
+def show_hour(hours: Column) -> Column:
+    return F.when(F.length(hours.cast("string")) < 2, _two(hours)).otherwise(hours.cast("string"))
+
+
 def _two(c: Column) -> Column:
     return F.lpad(c.cast("string"), 2, "0")
 

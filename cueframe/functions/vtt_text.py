@@ -8,6 +8,7 @@ the state before it then make a node.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import lru_cache
 from html.entities import html5
 
@@ -188,6 +189,40 @@ def try_tree(body: Column, max_depth: int = 16) -> Column:
     return F.struct(F.when(~t["exceeded"], t["nodes"]).alias("nodes"), F.when(t["exceeded"], f"MaxDepthExceeded({max_depth})").alias("error"))
 
 
+def edit(nodes: Column, where: Callable[[Column], Column], **fields: Callable[[Column], Column]) -> Column:
+    """Nodes with new ``tag``, ``classes`` or ``annotation`` where a condition
+    on the node holds; each a function of the node."""
+
+    def changed(n: Column) -> Column:
+        new = n
+        for name, value in fields.items():
+            new = new.withField(name, value(n))
+        return F.when(where(n), new.cast(NODE)).otherwise(n)
+
+    return F.transform(nodes, changed)
+
+
+def children_of(nodes: Column, at: Column | None = None) -> Column:
+    """The nodes right below node number ``at``, or at the top."""
+    return F.filter(nodes, lambda n: n["parent_id"].eqNullSafe(F.lit(None).cast("int") if at is None else at))
+
+
+def unwrapped(nodes: Column, at: Column) -> Column:
+    """Nodes without node number ``at``, its children in its place."""
+
+    def without(gone: Column) -> Column:
+        end = F.coalesce(F.array_min(F.transform(F.filter(nodes, lambda n: (n["node_id"] > at) & (n["depth"] <= gone["depth"])), lambda n: n["node_id"])), F.size(nodes))
+
+        def moved(n: Column) -> Column:
+            below = (n["node_id"] > at) & (n["node_id"] < end)
+            parent = F.when(n["parent_id"] == at, gone["parent_id"]).otherwise(F.when(n["parent_id"] > at, n["parent_id"] - 1).otherwise(n["parent_id"]))
+            return n.withField("parent_id", parent).withField("depth", n["depth"] - below.cast("int")).withField("node_id", n["node_id"] - (n["node_id"] > at).cast("int")).cast(NODE)
+
+        return F.transform(F.filter(nodes, lambda n: n["node_id"] != at), moved)
+
+    return F.when(F.size(nodes) > at, let(F.get(nodes, at), without)).otherwise(nodes)
+
+
 def _open_tag(n: Column) -> Column:
     classes = F.when(n["classes"] != "", F.concat(F.lit("."), n["classes"])).otherwise("")
     note = F.when(n["annotation"].isNotNull(), F.concat(F.lit(" "), n["annotation"])).otherwise("")
