@@ -326,28 +326,35 @@ def _offsets(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, dtype="<i4").reshape(-1, 2)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str | None = None, decoded_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col``: each whole text's ids as packed little-endian
-    unsigned 32-bit integers, four bytes a token, and on request
-    ``offsets_col``: for each piece the code point and the token it starts at,
-    packed as little-endian 32-bit integers, eight bytes a piece.
+    unsigned 32-bit integers, four bytes a token; on request ``offsets_col``:
+    for each piece the code point and the token it starts at, packed as
+    little-endian 32-bit integers, eight bytes a piece; and on request
+    ``decoded_col``: what ``decode`` makes of both, in the same pass and with
+    the same vocabulary in memory.
 
     ``path`` is a file of base64 tokens and ranks that executors can open.
     Null and empty texts have no ids; equal texts have equal ids; an empty
     table gives no rows; other columns pass through, and columns already
-    called ``ids_col`` or ``offsets_col`` are replaced.  Memory follows the
-    longest text.
+    called like one of the new ones are replaced.  Memory follows the longest
+    text.
     """
 
-    @F.pandas_udf("ids binary, offsets binary")
+    @F.pandas_udf("ids binary, offsets binary, decoded binary")
     def run(texts: pd.Series) -> pd.DataFrame:
-        found = [(ids, at.astype("<i4").tobytes()) for ids, at in vocabulary(path).encode([t if isinstance(t, str) else None for t in texts])]
-        return pd.DataFrame({"ids": [r[0] for r in found], "offsets": [r[1] for r in found]}, dtype=object)
+        words, rows = vocabulary(path), []
+        for ids, at in words.encode([t if isinstance(t, str) else None for t in texts]):
+            packed = at.astype("<i4").tobytes()
+            rows.append((ids, packed if offsets_col else None, words.decode(ids, _offsets(packed)) if decoded_col else None))
+        return pd.DataFrame(rows, columns=["ids", "offsets", "decoded"], dtype=object)
 
     (both,) = unused(docs, "_bpe")
     # Not to be written out in what reads its result, and run again there.
-    out = docs.withColumn(both, run.asNondeterministic()(F.col(text_col).cast("string"))).withColumn(ids_col, F.col(both)["ids"])
-    return (out.withColumn(offsets_col, F.col(both)["offsets"]) if offsets_col else out).drop(both)
+    out = docs.withColumn(both, run.asNondeterministic()(F.col(text_col).cast("string")))
+    for name, field in ((ids_col, "ids"), (offsets_col, "offsets"), (decoded_col, "decoded")):
+        out = out.withColumn(name, F.col(both)[field]) if name else out
+    return out.drop(both)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", offsets_col: str | None = None) -> DataFrame:
