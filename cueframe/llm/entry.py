@@ -67,6 +67,12 @@ def language_model(docs: DataFrame) -> language.TextModel:
     return language.train(language.labelled_sample(docs, "text", "lang", LANGUAGE_SAMPLE))
 
 
+def op5_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and target of every source."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 3).alias("target"), F.count("*").alias("docs"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and verdict of every document; its source is its host."""
     docs = table(spark, sf_dir, "documents")
@@ -91,6 +97,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op7_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base rules of every document."""
+    found = quality.features(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", quality.base_failed().alias("base_failed"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other vectors of every fiftieth."""
     return knn.top_k(table(spark, sf_dir, "embeddings"))
@@ -114,12 +126,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op5_source_targets": op5_source_targets,
     "op6_language_id": op6_language_id,
     "op6_page_language": op6_page_language,
     "op7_quality_rules": op7_quality_rules,
+    "op7_base_counts": op7_base_counts,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Sources in code point order, null last, weigh 3, 1, 2; the level at which the least of weight and cap sums to the share.
+    "op5_source_targets": r"""
+with d as (select source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, count(*) as docs from d group by source),
+w as (select *, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w, 2.0 * source_size as most from s),
+o as (select *, most / w as full_at, coalesce(sum(most) over (order by most / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as below,
+  sum(w) over (order by most / w, source nulls last rows between current row and unbounded following) as above, sum(source_size) over () as total from w),
+l as (select (select (1.5 * total - below) / above from o where (1.5 * total - below) / above <= full_at order by full_at, source nulls last limit 1) as level)
+select source, source_size, round(least(w * coalesce(level, 0), most), 3) as target, docs from o, l""",
+    "op7_base_counts": r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) as pos from d),
+g as (select doc_id, pos, word, case when count(*) over eight = 8 then string_agg(word, ' ') over eight end as gram from w window eight as (partition by doc_id order by pos rows between current row and 7 following)),
+r as (select doc_id, pos, word, gram is not null and count(*) over (partition by doc_id, gram) > 1 as twice from g),
+c as (select doc_id, pos, word, max(cast(twice as int)) over (partition by doc_id order by pos rows between 7 preceding and current row) as covered from r),
+n as (select doc_id, count(*) as n_words, cast(sum(length(word)) as bigint) as word_chars, cast(sum(covered) as bigint) as n_repeat_words from c group by doc_id),
+x as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+y as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from x where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_words, 0) < 20 or 100 * coalesce(n_repeat_words, 0) > 30 * coalesce(n_words, 0) as base_failed
+from d left join n using (doc_id) left join y using (doc_id)""",
+    "op8_exact_top_k": r"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as (select q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.v, d.v) as bigint) as score from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from p qualify rank <= 5""",
+    "op9_line_dedup": r"""
+with x as (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+t as (select *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as trimmed from x),
+s as (select trimmed from t where trimmed <> '' group by trimmed having count(distinct coalesce(source, chr(0))) >= 10 and count(distinct text) >= 10),
+k as (select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (s.trimmed is null), '') as text, count(s.trimmed) as n_lines_removed from t left join s using (trimmed) group by doc_id)
+select d.doc_id, case when d.text is not null then coalesce(k.text, '') end as text, coalesce(n_lines_removed, 0) as n_lines_removed, length(case when d.text is not null then coalesce(k.text, '') end) as n_chars
+from documents d left join k using (doc_id)""",
+}

@@ -153,6 +153,11 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, smoot
     return good
 
 
+def base_failed() -> Column:
+    """Too few words, or too many of them in repeated windows."""
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``(id, *FEATURES, base_failed, quality, kept)`` for every row.
 
@@ -171,6 +176,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     good = fit_votes(patterns, np.array([r["count"] for r in counted], dtype=float))
     spark = docs.sparkSession
     posterior = spark.createDataFrame([(int(c), float(g)) for c, g in zip(codes, good, strict=True)], "_votes int, quality double")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = measured.join(F.broadcast(posterior), "_votes", "left").withColumn("base_failed", failed)
-    return out.withColumn("kept", ~failed & (F.col("quality") >= threshold)).drop("_votes")
+    out = measured.join(F.broadcast(posterior), "_votes", "left").withColumn("base_failed", base_failed())
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("_votes")
