@@ -95,7 +95,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 #: Keys that hold more than this share of all rows are fewer than its inverse: small enough to broadcast, whatever the data.
 HOT_SHARE = 2.0**-16
 #: Rows of a side that are broadcast whole at most.
-BROADCAST_ROWS = 1 << 19
+BROADCAST_ROWS = 1 << 17
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
