@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cueframe.functions.arrays import let
+
 #: The most that 64 bits hold, as text: literals of the session are signed.
 U64 = "18446744073709551615"
 SRT = r"([0-9]{2,3}:[0-5][0-9]:[0-5][0-9],[0-9]{3})"
@@ -49,22 +51,32 @@ def ass(text: Column) -> Column:
 
 def total(ts: Column, unit: int = 1000) -> Column:
     """All of a timestamp in milliseconds (``unit`` 1000) or centiseconds (100)."""
-    seconds = ts["h"].cast("decimal(26,0)") * 3600 + (ts["m"] * 60 + ts["s"]).cast("decimal(26,0)")
-    large = (seconds * unit + ts["f"].cast("decimal(26,0)")).cast("decimal(30,0)")
-    small = (ts["h"].cast("long") * 3600 + ts["m"] * 60 + ts["s"]) * unit + ts["f"]
-    return F.when(ts["h"] < 10**9, small.cast("decimal(30,0)")).otherwise(large)
+
+    def added(t: Column) -> Column:
+        seconds = t["h"].cast("decimal(26,0)") * 3600 + (t["m"] * 60 + t["s"]).cast("decimal(26,0)")
+        large = (seconds * unit + t["f"].cast("decimal(26,0)")).cast("decimal(30,0)")
+        small = (t["h"].cast("long") * 3600 + t["m"] * 60 + t["s"]) * unit + t["f"]
+        return F.when(t["h"] < 10**9, small.cast("decimal(30,0)")).otherwise(large)
+
+    return let(ts, added)
 
 
 def from_total(n: Column, unit: int = 1000, most_hours: int | None = None) -> Column:
     """The inverse of ``total``; null for negative values or beyond ``most_hours``."""
-    wide = n.cast("decimal(30,0)")
-    hours = F.floor(wide / (3600 * unit)).cast("decimal(30,0)")
-    small = (wide >= 0) & (wide < 10**15)
-    low = n.try_cast("long")
-    rest = F.when(small, low % (3600 * unit)).otherwise((wide - hours * (3600 * unit)).cast("long"))
-    hours = F.when(small, F.floor(low / (3600 * unit)).cast("decimal(20,0)")).otherwise(hours.cast("decimal(20,0)"))
-    found = F.struct(hours.alias("h"), F.floor(rest / (60 * unit)).cast("int").alias("m"), (F.floor(rest / unit) % 60).cast("int").alias("s"), (rest % unit).cast("int").alias("f"))
-    return F.when((wide >= 0) & (F.lit(True) if most_hours is None else hours <= most_hours), found)
+
+    def parts(hours: Column, rest: Column) -> Column:
+        fields = F.struct(
+            hours.cast("decimal(20,0)").alias("h"), F.floor(rest / (60 * unit)).cast("int").alias("m"), (F.floor(rest / unit) % 60).cast("int").alias("s"), (rest % unit).cast("int").alias("f")
+        )
+        return F.when(F.lit(True) if most_hours is None else hours <= most_hours, fields)
+
+    def small(v: Column) -> Column:
+        return let(v % (3600 * unit), lambda rest: parts(((v - rest) / (3600 * unit)).cast("long"), rest))
+
+    def large(v: Column) -> Column:
+        return let(F.floor(v / (3600 * unit)).cast("decimal(30,0)"), lambda hours: parts(hours, (v - hours * (3600 * unit)).cast("long")))
+
+    return F.when(n.cast("double").between(0.0, 1e15), let(n.try_cast("long"), small)).when(n > 0, let(n.cast("decimal(30,0)"), large))
 
 
 def interval(ts: Column, unit: int = 1000) -> Column:
@@ -108,16 +120,19 @@ def _hours(ts: Column) -> Column:
 
 
 def encode_srt(ts: Column) -> Column:
-    return F.concat(_hours(ts), F.lit(":"), _two(ts["m"]), F.lit(":"), _two(ts["s"]), F.lit(","), F.lpad(ts["f"].cast("string"), 3, "0"))
+    return let(ts, lambda t: F.concat(_hours(t), F.lit(":"), _two(t["m"]), F.lit(":"), _two(t["s"]), F.lit(","), F.lpad(t["f"].cast("string"), 3, "0")))
 
 
 def encode_vtt(ts: Column) -> Column:
-    tail = F.concat(_two(ts["m"]), F.lit(":"), _two(ts["s"]), F.lit("."), F.lpad(ts["f"].cast("string"), 3, "0"))
-    return F.when(ts["h"] == 0, tail).otherwise(F.concat(_hours(ts), F.lit(":"), tail))
+    def shown(t: Column) -> Column:
+        tail = F.concat(_two(t["m"]), F.lit(":"), _two(t["s"]), F.lit("."), F.lpad(t["f"].cast("string"), 3, "0"))
+        return F.when(t["h"] == 0, tail).otherwise(F.concat(_hours(t), F.lit(":"), tail))
+
+    return let(ts, shown)
 
 
 def encode_ass(ts: Column) -> Column:
-    return F.concat(ts["h"].cast("string"), F.lit(":"), _two(ts["m"]), F.lit(":"), _two(ts["s"]), F.lit("."), _two(ts["f"]))
+    return let(ts, lambda t: F.concat(t["h"].cast("string"), F.lit(":"), _two(t["m"]), F.lit(":"), _two(t["s"]), F.lit("."), _two(t["f"])))
 
 
 def field_order(ts: Column) -> list[Column]:

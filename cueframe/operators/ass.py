@@ -177,7 +177,8 @@ def parse_ass(docs: DataFrame, options: AssOptions = AssOptions()) -> DataFrame:
         def told(k: Column) -> Column:
             cells = F.when(k == "event", split_row(x["value"], columns))
             return let(cells, lambda c: F.struct(
-                k.alias("kind"), section.alias("section"), text.alias("text"), x["line"].alias("line"), key.alias("key"), x["value"].alias("value"), columns.alias("columns"), c.alias("cells"),
+                k.alias("kind"), section.alias("section"), text.alias("text"), x["line"].alias("line"), key.alias("key"), x["value"].alias("value"), 
+                F.when(k == "event", event_of(canonical(key, EVENT_KINDS), x["value"], c, columns)).alias("event"),
                 F.when(k == "unclosed", "UnclosedSection").when(k == "unexpected", "UnexpectedLine").when(k == "event", event_error(c, columns, options)).alias("error"),
             ))
 
@@ -201,7 +202,7 @@ def parse_ass(docs: DataFrame, options: AssOptions = AssOptions()) -> DataFrame:
         F.when(ok & plain, F.col("key")).alias("key"),
         F.when(ok & plain, F.col("value")).alias("value"),
         F.when(ok & (kind == "format"), event_format(F.col("value"))).alias("format"),
-        F.when(ok & (kind == "event"), event_of(canonical(F.col("key"), EVENT_KINDS), F.col("value"), F.col("cells"), F.col("columns"))).alias("event"),
+        F.when(ok, F.col("event")).alias("event"),
         "error",
     )
 

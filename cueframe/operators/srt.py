@@ -77,20 +77,19 @@ def parse_srt(docs: DataFrame, options: SrtOptions = SrtOptions()) -> DataFrame:
         error = F.when(p["orphaned"], p["orphan"]).when(stale & F.lit(not options.tolerant), "NonMonotonicIndex").when(stale, None).when(headless, p["headless"])
         last_got = F.create_map(F.lit("last"), last.cast("string"), F.lit("got"), p["index"].cast("string"))
         detail = F.when(error == "NonMonotonicIndex", last_got).when(error == "ExpectedHeader", F.create_map(F.lit("index"), p["index"].cast("string")))
-        return F.struct(error.alias("error"), detail.alias("error_detail"), (p["complete"] & ~stale).alias("kept"), p["index"].alias("index"), p["head"].alias("head"), p["body"].alias("body"))
+        ok = error.isNull() & p["complete"] & ~stale
+        stamp = lambda g: F.when(ok, let(F.regexp_extract(p["head"], HEADER, g), times.srt))
+        # Made here, within the row, so that whatever reads the fields of a stamp finds it made.
+        return let(stamp(1), lambda a: let(stamp(2), lambda b: F.struct(
+            error.alias("error"), detail.alias("error_detail"), (p["complete"] & ~stale).alias("kept"), F.when(ok, p["index"]).alias("index"), a.alias("start"), b.alias("end"),
+            times.total(a).cast("long").alias("start_ms"), times.total(b).cast("long").alias("end_ms"), F.when(ok, p["body"]).alias("body"),
+        )))
 
     rows = rows.select("doc_id", F.zip_with("_ps", "_last", judged).alias("_es"))
     stop = first_place(F.col("_es"), lambda e: e["error"].isNotNull())
     told = F.when(stop > 0, F.slice("_es", F.lit(1), stop)).otherwise(F.col("_es"))
     out = rows.select("doc_id", F.posexplode(F.filter(told, lambda e: e["kept"] | e["error"].isNotNull())).alias("ordinal", "e"))
-    ok = F.col("e.error").isNull()
-    out = out.select("doc_id", "ordinal", "e.*", F.when(ok, F.regexp_extract("e.head", HEADER, 1)).alias("_a"), F.when(ok, F.regexp_extract("e.head", HEADER, 2)).alias("_b"))
-    out = out.withColumns({"start": times.srt(F.col("_a")), "end": times.srt(F.col("_b"))})
-    ok = F.col("error").isNull()
-    return out.select(
-        "doc_id", "ordinal", F.when(ok, F.col("index")).alias("index"), "start", "end", times.total(F.col("start")).cast("long").alias("start_ms"), times.total(F.col("end")).cast("long").alias("end_ms"),
-        F.when(ok, F.col("body")).alias("body"), "error", "error_detail",
-    )
+    return out.select("doc_id", "ordinal", *[f"e.{c}" for c in ("index", "start", "end", "start_ms", "end_ms", "body", "error", "error_detail")])
 
 
 def encode_header(index: Column, start: Column, end: Column) -> Column:

@@ -28,8 +28,11 @@ SIGNATURE = r"^WEBVTT(?:\z|[ \t])"
 VERTICAL, ALIGN = ("rl", "lr"), ("start", "center", "end", "left", "right")
 LINE_ALIGN, POSITION_ALIGN = ("start", "center", "end"), ("line-left", "center", "line-right", "auto")
 _FLOAT = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-SETTINGS = "vertical string, line struct<pct:double,num:int,align:string>, position struct<pct:double,align:string>, size double, align string, region string"
-REGION = "id string, width double, lines long, region_anchor struct<x:double,y:double>, viewport_anchor struct<x:double,y:double>, scroll string"
+BLOCK = (
+    "struct<block_type:string,identifier:string,start:struct<h:decimal(20,0),m:int,s:int,f:int>,end:struct<h:decimal(20,0),m:int,s:int,f:int>,start_ms:decimal(30,0),end_ms:decimal(30,0),"
+    "settings:struct<vertical:string,line:struct<pct:double,num:int,align:string>,position:struct<pct:double,align:string>,size:double,align:string,region:string>,body:string,"
+    "region:struct<id:string,width:double,lines:bigint,region_anchor:struct<x:double,y:double>,viewport_anchor:struct<x:double,y:double>,scroll:string>,error:string>"
+)
 
 
 def percentage(text: Column) -> Column:
@@ -51,11 +54,7 @@ def _last(tokens: Column, key: str, value_of) -> Column:
     return F.get(F.reverse(F.filter(own, lambda v: v.isNotNull())), F.lit(0))
 
 
-def cue_settings(text: Column) -> Column:
-    """The settings after a timing as a struct; null where none is valid."""
-    tokens = F.filter(F.split(text, r"[ \t\f]"), lambda t: F.instr(t, ":") > 0)
-    stop = F.array_position(F.transform(tokens, lambda t: F.instr(t, ":") == F.length(t)), F.lit(True)).cast("int")
-    tokens = F.when(stop > 0, F.slice(tokens, F.lit(1), stop - 1)).otherwise(tokens)
+def _settings(tokens: Column) -> Column:
     head, tail = lambda v: F.substring_index(v, ",", 1), lambda v: F.when(F.instr(v, ",") > 0, F.substring(v, F.instr(v, ",") + 1, F.length(v)))
 
     def line(v: Column) -> Column:
@@ -68,7 +67,7 @@ def cue_settings(text: Column) -> Column:
         pct = percentage(head(v))
         return F.when(pct.isNotNull() & (tail(v).isNull() | tail(v).isin(*POSITION_ALIGN)), F.struct(pct.alias("pct"), tail(v).alias("align")))
 
-    found = F.struct(
+    return F.struct(
         _last(tokens, "vertical", lambda v: F.when(v.isin(*VERTICAL), v)).alias("vertical"),
         _last(tokens, "line", line).alias("line"),
         _last(tokens, "position", position).alias("position"),
@@ -76,10 +75,22 @@ def cue_settings(text: Column) -> Column:
         _last(tokens, "align", lambda v: F.when(v.isin(*ALIGN), v)).alias("align"),
         _last(tokens, "region", lambda v: v).alias("region"),
     )
-    some = F.lit(False)
-    for name in ("vertical", "line", "position", "size", "align", "region"):
-        some = some | found[name].isNotNull()
-    return F.when(some, found)
+
+
+def cue_settings(text: Column) -> Column:
+    """The settings after a timing as a struct; null where none is valid."""
+
+    def some(found: Column) -> Column:
+        any_ = F.lit(False)
+        for name in ("vertical", "line", "position", "size", "align", "region"):
+            any_ = any_ | found[name].isNotNull()
+        return F.when(any_, found)
+
+    def upto(tokens: Column) -> Column:
+        stop = first_place(tokens, lambda t: F.instr(t, ":") == F.length(t))
+        return let(F.when(stop > 0, F.slice(tokens, F.lit(1), stop - 1)).otherwise(tokens), lambda ts: let(_settings(ts), some))
+
+    return F.when(F.instr(text, ":") > 0, let(F.filter(F.split(text, r"[ \t\f]"), lambda t: F.instr(t, ":") > 0), upto))
 
 
 def anchor(text: Column) -> Column:
@@ -91,6 +102,10 @@ def region_settings(body: Column) -> Column:
     """A region block's settings, one ``key:value`` a line, over the defaults."""
     tokens = F.transform(F.split(body, r"\r?\n"), trim_white)
     tokens = F.filter(tokens, lambda t: (F.instr(t, ":") > 0) & (F.instr(t, ":") < F.length(t)))
+    return let(tokens, _region)
+
+
+def _region(tokens: Column) -> Column:
     hundred = F.lit(100.0)
     return F.struct(
         F.coalesce(_last(tokens, "id", lambda v: F.when(F.instr(v, ARROW) == 0, v)), F.lit("")).alias("id"),
@@ -162,7 +177,15 @@ def _blocks(ls: Column, barred: Column, cue: Column) -> Column:
             first = F.when((kind == "note") & (inline != ""), F.array(F.concat(inline, end))).otherwise(F.array().cast("array<string>"))
             until = F.coalesce(F.get(starts, nth + 1) - 1, F.size(ls))
             rest = F.transform(F.slice(ls, i + 1, until - i), lambda r: r["raw"])
-            return F.struct(kind.alias("kind"), x["name"].alias("name"), x["line"].alias("line"), body_of(F.concat(first, rest), lone_cr=True).alias("body"), F.lit(None).cast("string").alias("error"))
+            cue = kind == "cue"
+            stamp = lambda g: F.when(cue, let(F.regexp_extract(x["line"], TIMING, g), times.vtt))
+            body = body_of(F.concat(first, rest), lone_cr=True)
+            # Made here, within the row, so that whatever reads the fields of a block finds them made.
+            return let(stamp(1), lambda a: let(stamp(2), lambda b: let(body, lambda text: F.struct(
+                kind.alias("block_type"), F.when(cue, x["name"]).alias("identifier"), a.alias("start"), b.alias("end"), times.total(a).alias("start_ms"), times.total(b).alias("end_ms"),
+                F.when(cue, cue_settings(F.regexp_replace(x["line"], TIMING, ""))).alias("settings"), F.when(kind != "region", text).alias("body"), F.when(kind == "region", region_settings(text)).alias("region"),
+                F.lit(None).cast("string").alias("error"),
+            ).cast(BLOCK))))
 
         return let(begins, lambda starts: F.transform(starts, lambda i, nth: block(i, nth, starts)))
 
@@ -170,7 +193,7 @@ def _blocks(ls: Column, barred: Column, cue: Column) -> Column:
         return F.coalesce(F.get(places, F.lit(0)), F.lit(0))
 
     may = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: F.coalesce((F.get(ls, i - 1)["kind"] == "note") | (F.get(ls, i - 1)["kind"].isNotNull() & ~barred & ((cue == 0) | (i < cue))), F.lit(False)))
-    return F.when(F.size(ls) > 0, let(let(may, opens_at), cut)).otherwise(F.array().cast("array<struct<kind:string,name:string,line:string,body:string,error:string>>"))
+    return F.when(F.size(ls) > 0, let(let(may, opens_at), cut)).otherwise(F.array().cast(f"array<{BLOCK}>"))
 
 
 def parse_vtt(docs: DataFrame) -> DataFrame:
@@ -188,18 +211,11 @@ def parse_vtt(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "error", F.when(F.col("error").isNull(), paras).alias("_ps"))
     rows = rows.withColumn("_cue", first_place(F.col("_ps"), lambda p: p["cue"] > 0))
     each = F.transform("_ps", lambda p, i: _blocks(p["ls"], (F.col("_cue") > 0) & (F.col("_cue") <= i), F.when(F.col("_cue") == i + 1, p["cue"]).otherwise(0)))
-    block = "struct<kind:string,name:string,line:string,body:string,error:string>"
-    fault = F.array(F.struct(*[F.lit(None).cast("string").alias(c) for c in ("kind", "name", "line", "body")], F.col("error").alias("error")))
-    found = F.when(F.col("error").isNotNull(), fault.cast(f"array<{block}>")).otherwise(F.filter(F.flatten(each), lambda b: b["kind"] != "none").cast(f"array<{block}>"))
-    out = rows.select("doc_id", F.posexplode(found).alias("ordinal", "b")).select("doc_id", "ordinal", "b.*")
-    cue, line = F.col("kind") == "cue", F.col("line")
-    out = out.withColumns({"_a": F.when(cue, F.regexp_extract(line, TIMING, 1)), "_b": F.when(cue, F.regexp_extract(line, TIMING, 2)), "_rest": F.when(cue, F.regexp_replace(line, TIMING, ""))})
-    out = out.withColumns({"start": times.vtt(F.col("_a")), "end": times.vtt(F.col("_b"))})
-    region = F.col("kind") == "region"
-    return out.select(
-        "doc_id", "ordinal", F.col("kind").alias("block_type"), F.when(cue, F.col("name")).alias("identifier"), "start", "end", times.total(F.col("start")).alias("start_ms"), times.total(F.col("end")).alias("end_ms"),
-        F.when(cue, cue_settings(F.col("_rest"))).alias("settings"), F.when(~region, F.col("body")).alias("body"), F.when(region, region_settings(F.col("body"))).alias("region"), "error",
-    )
+    fault = F.from_json(F.to_json(F.struct("error")), BLOCK)
+    found = F.when(F.col("error").isNotNull(), F.array(fault)).otherwise(F.filter(F.flatten(each), lambda b: b["block_type"] != "none"))
+    out = rows.select("doc_id", F.posexplode(found).alias("ordinal", "b"))
+    names = ("block_type", "identifier", "start", "end", "start_ms", "end_ms", "settings", "body", "region", "error")
+    return out.select("doc_id", "ordinal", *[f"b.{c}" for c in names])
 
 
 def show_number(x: Column) -> Column:
