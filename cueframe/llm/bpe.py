@@ -13,13 +13,16 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from cueframe.llm.common import unused
 
@@ -37,8 +40,9 @@ _TWO = ("re", "ve", "ll")
 #: Characters taken into one scan, and columns of a block.
 BATCH_CHARS = 1 << 19
 BLOCK = 64
-#: Pieces whose ids a worker remembers.
-CACHE = 1 << 18
+#: Pieces whose ids a worker remembers, and rows whose results it holds at once.
+CACHE = 1 << 17
+ROWS = 256
 
 
 def _transitions() -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +161,14 @@ class Vocabulary:
         # Bytes that begin a code point, by token.
         self.points = np.fromiter((sum(b & 0xC0 != 0x80 for b in t) for t in self.tokens), dtype=np.int64, count=len(self.tokens))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        splits = [
-            (left << 32 | right, rank)
-            for token, rank in self.ranks.items()
-            for i in range(1, len(token))
-            if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None
-        ]
-        self.pair_keys, self.pair_ids = np.array(sorted(splits), dtype=np.int64).T.copy()
-        self.pair_ids = self.pair_ids.astype(np.int32)
+        keys, ids = array("q"), array("i")
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None:
+                    keys.append(left << 32 | right)
+                    ids.append(rank)
+        order = np.argsort(np.frombuffer(keys, dtype=np.int64), kind="stable")
+        self.pair_keys, self.pair_ids = np.frombuffer(keys, dtype=np.int64)[order], np.frombuffer(ids, dtype=np.int32)[order]
         self.cache: dict[str, bytes] = {}
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -187,8 +191,9 @@ class Vocabulary:
             else:
                 by_width.setdefault(8 if len(piece) <= 8 else 16 if len(piece) <= 16 else 64, []).append(k)
         for width, members in by_width.items():
-            for at in range(0, len(members), 1 << 14):
-                part = members[at : at + (1 << 14)]
+            step = (1 << 18) // width
+            for at in range(0, len(members), step):
+                part = members[at : at + step]
                 for k, ids in zip(part, self._merge_rows([pieces[k] for k in part], width), strict=True):
                     out[k] = ids
         return out
@@ -326,7 +331,7 @@ def _offsets(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, dtype="<i4").reshape(-1, 2)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str | None = None, decoded_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str | None = None, decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``ids_col``: each whole text's ids as packed little-endian
     unsigned 32-bit integers, four bytes a token; on request ``offsets_col``:
     for each piece the code point and the token it starts at, packed as
@@ -336,25 +341,32 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     ``path`` is a file of base64 tokens and ranks that executors can open.
     Null and empty texts have no ids; equal texts have equal ids; an empty
-    table gives no rows; other columns pass through, and columns already
-    called like one of the new ones are replaced.  Memory follows the longest
-    text.
+    table gives no rows; other columns pass through, or those in ``keep`` only,
+    and columns already called like one of the new ones are replaced.  Memory
+    follows the longest text.
     """
 
-    @F.pandas_udf("ids binary, offsets binary, decoded binary")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        words, rows = vocabulary(path), []
-        for ids, at in words.encode([t if isinstance(t, str) else None for t in texts]):
-            packed = at.astype("<i4").tobytes()
-            rows.append((ids, packed if offsets_col else None, words.decode(ids, _offsets(packed)) if decoded_col else None))
-        return pd.DataFrame(rows, columns=["ids", "offsets", "decoded"], dtype=object)
-
-    (both,) = unused(docs, "_bpe")
-    # Not to be written out in what reads its result, and run again there.
-    out = docs.withColumn(both, run.asNondeterministic()(F.col(text_col).cast("string")))
-    for name, field in ((ids_col, "ids"), (offsets_col, "offsets"), (decoded_col, "decoded")):
-        out = out.withColumn(name, F.col(both)[field]) if name else out
-    return out.drop(both)
+    new = {ids_col: "ids", **({offsets_col: "offsets"} if offsets_col else {}), **({decoded_col: "decoded"} if decoded_col else {})}
+    (text,) = unused(docs, "_text")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for whole in batches:
+            # What is made of a few rows goes out before the next are read.
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                made: dict[str, list[bytes | None]] = {"ids": [], "offsets": [], "decoded": []}
+                for ids, starts in words.encode(b.column(0).to_pylist()):
+                    made["ids"].append(ids)
+                    if offsets_col or decoded_col:
+                        made["offsets"].append(starts.astype("<i4").tobytes())
+                    if decoded_col:
+                        made["decoded"].append(words.decode(ids, _offsets(made["offsets"][-1])))
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(made[field], pa.binary()) for field in new.values())], [*keep, *new])
+
+    picked = docs.select(F.col(text_col).cast("string").alias(text), *[F.col(f"`{c}`") for c in keep])
+    return picked.mapInArrow(run, StructType([*(StructField(c, docs.schema[c].dataType) for c in keep), *(StructField(c, BinaryType()) for c in new)]))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", offsets_col: str | None = None) -> DataFrame:

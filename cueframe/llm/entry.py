@@ -43,7 +43,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids by their offsets, and digest both."""
     path = ranks_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.encode(docs, path, offsets_col="offsets", decoded_col="decoded")
+    both = bpe.encode(docs, path, offsets_col="offsets", decoded_col="decoded", keep=["doc_id"])
     return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.octet_length("offsets") / 8).cast("long").alias("n_pieces"))
 
 

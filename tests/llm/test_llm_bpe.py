@@ -115,4 +115,4 @@ def test_encoded_once(spark):
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         op3_byte_bpe(spark, SF).explain()
-    assert out.getvalue().count("ArrowEvalPython") == 1 and out.getvalue().count("run(text") == 1
+    assert out.getvalue().count("MapInArrow") == 1 and "EvalPython" not in out.getvalue()
