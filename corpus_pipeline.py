@@ -38,7 +38,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed little-endian unsigned 32-bit) of every document, the
     offsets of its pieces, and the digest of what they decode to."""
     path = ranks_path()
-    both = bpe.encode(docs.select("doc_id", "source", "text"), path, offsets_col="offsets", decoded_col="decoded")
+    both = bpe.encode(docs, path, offsets_col="offsets", decoded_col="decoded", keep=["doc_id", "source"])
     return both.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), "ids", "offsets", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
