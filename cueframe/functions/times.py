@@ -7,6 +7,8 @@ centiseconds; hours are ``decimal(20, 0)``, as two formats bound them only by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,54 @@ def from_total(n: Column, unit: int = 1000, most_hours: int | None = None) -> Co
     return F.when(n.cast("double").between(0.0, 1e15), let(n.try_cast("long"), small)).when(n > 0, let(n.cast("decimal(30,0)"), large))
 
 
+def _of_total(n: Column, unit: int, encode: Callable[[Column], Column], hours: Callable[[Column], Column], point: str, places: int) -> Column:
+    """``encode(from_total(n))`` by plain arithmetic where ``n`` is small."""
+    v = n.try_cast("long")
+    part = lambda size, most: F.pmod((v - F.pmod(v, F.lit(size))) / size, F.lit(most)).cast("long")
+    h = ((v - F.pmod(v, F.lit(3600 * unit))) / (3600 * unit)).cast("long")
+    tail = [_two(part(60 * unit, 60)), F.lit(":"), _two(part(unit, 60)), F.lit(point), F.lpad(F.pmod(v, F.lit(unit)).cast("string"), places, "0")]
+    return F.when(n.cast("double").between(0.0, 1e15), F.concat(hours(h), *tail)).otherwise(encode(from_total(n, unit)))
+
+
+def srt_of(ms: Column) -> Column:
+    """A SubRip stamp of milliseconds."""
+    return _of_total(ms, 1000, encode_srt, lambda h: F.concat(show_hour(h), F.lit(":")), ",", 3)
+
+
+def vtt_of(ms: Column) -> Column:
+    """A WebVTT stamp of milliseconds."""
+    return _of_total(ms, 1000, encode_vtt, lambda h: F.when(h == 0, "").otherwise(F.concat(show_hour(h), F.lit(":"))), ".", 3)
+
+
+def ass_of(cs: Column) -> Column:
+    """An ASS stamp of centiseconds."""
+    return _of_total(cs, 100, encode_ass, lambda h: F.concat(h.cast("string"), F.lit(":")), ".", 2)
+
+
+def _to_total(text: Column, pattern: str, places: int, unit: int) -> Column:
+    """``total`` of a stamp by plain arithmetic where its hours are few."""
+    at = lambda k: F.substring(text, -(places + 3 * k), 2).try_cast("long")
+    size = F.length(text) - (places + 7)
+    hours = F.when(size <= 0, F.lit(0).cast("long")).otherwise(F.left(text, size).try_cast("long"))
+    fast = ((hours * 60 + at(2)) * 60 + at(1)) * unit + F.right(text, F.lit(places)).try_cast("long")
+    return F.when(~text.rlike(f"^{pattern}\\z"), None).when(size <= 9, fast.cast("decimal(30,0)")).otherwise(total(_parts(text, pattern, places), unit))
+
+
+def srt_ms(text: Column) -> Column:
+    """Milliseconds of a SubRip stamp."""
+    return _to_total(text, SRT, 3, 1000)
+
+
+def vtt_ms(text: Column) -> Column:
+    """Milliseconds of a WebVTT stamp."""
+    return _to_total(text, VTT, 3, 1000)
+
+
+def ass_cs(text: Column) -> Column:
+    """Centiseconds of an ASS stamp."""
+    return _to_total(text, ASS, 2, 100)
+
+
 def interval(ts: Column, unit: int = 1000) -> Column:
     """A day-time interval of a timestamp."""
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (total(ts, unit) / unit).cast("decimal(18,6)"))

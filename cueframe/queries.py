@@ -42,22 +42,28 @@ def _documents(rows: DataFrame, key: str, order: str, text: Column, head: str =
     return rows.groupBy(F.col(key).alias("doc_id")).agg(F.concat(F.lit(head), F.array_join(F.transform(each, lambda x: x["t"]), "")).alias("content"))
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key on all of the session's partitions: parsing takes more time
+    than its bytes tell, so they are not to be put together into few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
     from pyspark.sql import Window
 
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return _spread(rows, key).withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order)))
 
 
 def _srt_time(ms: Column) -> Column:
-    return times.encode_srt(times.from_total(ms))
+    return times.srt_of(ms)
 
 
 def _vtt_time(ms: Column) -> Column:
-    return times.encode_vtt(times.from_total(ms))
+    return times.vtt_of(ms)
 
 
 def _ass_time(cs: Column) -> Column:
-    return times.encode_ass(times.from_total(cs, 100))
+    return times.ass_of(cs)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +136,7 @@ printf('%d:%02d:%02d.%02d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms
 def timestamp_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = (F.col("l_orderkey") * 1000003 + F.col("l_linenumber") * 37) % 3600000000
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _srt_time(ms).alias("srt"), _vtt_time(ms).alias("vtt"), _ass_time(F.floor(ms / 10)).alias("ass"))
-    back = {"srt_ms": times.total(times.srt(F.col("srt"))), "vtt_ms": times.total(times.vtt(F.col("vtt"))), "ass_cs": times.total(times.ass(F.col("ass")), 100)}
+    back = {"srt_ms": times.srt_ms(F.col("srt")), "vtt_ms": times.vtt_ms(F.col("vtt")), "ass_cs": times.ass_cs(F.col("ass"))}
     return rows.withColumns({k: v.cast("long") for k, v in back.items()})
 
 
@@ -271,7 +277,7 @@ def ass_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn")
     row = F.concat_ws(",", turn.cast("string"), _ass_time(turn * 150), _ass_time(turn * 150 + 100), F.lit("Default"), F.col("role"), F.lit("0000"), F.lit("0"), F.lit(" 0 "), F.lit(""), F.regexp_replace("text", r"\n", r"\\N"))
     head = _ASS_HEAD.format("Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text")
-    found = parse_ass(_documents(_talk(spark, sf_dir), "conv_id", "turn", _ass_line(row), head)).where("event is not null")
+    found = parse_ass(_documents(_spread(_talk(spark, sf_dir), "conv_id"), "conv_id", "turn", _ass_line(row), head)).where("event is not null")
     e = F.col("event")
     return found.select(
         "doc_id", e["layer"].alias("turn"), times.total(e["start"], 100).cast("long").alias("start_cs"), times.total(e["end"], 100).cast("long").alias("end_cs"), e["name"].alias("name"), e["text"].alias("text"),
@@ -286,7 +292,7 @@ def ass_format_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns in another order, one of them unknown, one declared twice."""
     text = F.substring_index(F.regexp_replace("text", r"\n", r"\\N"), ",", 1)
     row = F.concat_ws(",", text, F.lit("odd"), F.lit("Nobody"), F.col("turn").cast("string"), F.col("role"), F.when(F.col("turn") % 2 == 0, " fx ").otherwise(" "))
-    found = parse_ass(_documents(_talk(spark, sf_dir), "conv_id", "turn", _ass_line(row), _ASS_HEAD.format("text, Unknown, name, LAYER, Actor, Effect"))).where("event is not null")
+    found = parse_ass(_documents(_spread(_talk(spark, sf_dir), "conv_id"), "conv_id", "turn", _ass_line(row), _ASS_HEAD.format("text, Unknown, name, LAYER, Actor, Effect"))).where("event is not null")
     e = F.col("event")
     return found.select("doc_id", e["layer"].alias("turn"), e["name"].alias("name"), e["effect"].alias("effect"), e["text"].alias("text"))
 
@@ -315,7 +321,7 @@ from conversations where rtrim(text, chr(10)) <> '' group by conv_id""")
 def ass_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written scripts are canonical and repeat columns of unknown name."""
     row = F.concat_ws(",", _ass_time(F.col("turn") % 100), F.concat(F.lit(" "), F.col("role")), F.lit(" kept "), F.regexp_replace("text", r"\n", r"\\N"))
-    docs = _documents(_talk(spark, sf_dir), "conv_id", "turn", F.concat(F.lit("dialogue: "), row, F.lit("\r\n")), "[events]\r\nFormat: Start, Name, Odd, Text\r\n")
+    docs = _documents(_spread(_talk(spark, sf_dir), "conv_id"), "conv_id", "turn", F.concat(F.lit("dialogue: "), row, F.lit("\r\n")), "[events]\r\nFormat: Start, Name, Odd, Text\r\n")
     return write_ass(parse_ass(docs).where("error is null"))
 
 
@@ -326,7 +332,7 @@ def ass_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other lines of a script each line overlaps in time."""
     turn = F.col("turn")
     row = F.concat_ws(",", turn.cast("string"), _ass_time(turn * 100), _ass_time(turn * 100 + 250), F.lit("x"))
-    found = parse_ass(_documents(_talk(spark, sf_dir), "conv_id", "turn", _ass_line(row), _ASS_HEAD.format("Layer, Start, End, Text"))).where("event is not null")
+    found = parse_ass(_documents(_spread(_talk(spark, sf_dir), "conv_id"), "conv_id", "turn", _ass_line(row), _ASS_HEAD.format("Layer, Start, End, Text"))).where("event is not null")
     cues = found.select("doc_id", F.col("event.layer").alias("turn"), times.total(F.col("event.start"), 100).cast("long").alias("a"), times.total(F.col("event.end"), 100).cast("long").alias("b"))
     # Every line stands in each slot of time that it touches; two meet in the first slot they share.
     slot = 500
