@@ -1,8 +1,7 @@
 """Cue bodies and documents as streams.
 
-Body functions are stateless, so they hold on a stream of packets as they do
-on a table.  Documents are whole in a row; parsing one takes windows within it,
-which a stream has per micro-batch.
+Body functions and parsers are stateless: a document is whole in a row and is
+parsed within it, so both hold on a stream as they do on a table.
 """
 
 from __future__ import annotations
@@ -39,5 +38,5 @@ def stream_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_stream(documents: DataFrame, parse: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Parse each micro-batch's documents and hand the rows to ``sink``."""
-    return documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: sink(parse(batch), n)).trigger(availableNow=True).start()
+    """Parse a stream of documents and hand the rows of each micro-batch to ``sink``."""
+    return parse(documents).writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
