@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueframe.llm import bpe, knn, language, licenses, line_dedup, mixing, quality, simhash, toxicity, wrapper
+from cueframe.llm import bpe, knn, language, licenses, line_dedup, mixing, pieces, quality, simhash, toxicity, wrapper
 from cueframe.llm.common import table
 
 #: The vocabulary that op3 and the pipeline encode with.
@@ -120,6 +120,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_text(table(spark, sf_dir, "pages"))
 
 
+#: The model that op11 encodes with.
+PIECES = "piece_bpe_32k.model"
+
+
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECES)
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document into pieces, decode the ids, and digest both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.encode(docs, pieces_path(), decoded_col="decoded", keep=["doc_id"])
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.joined(), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -134,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
