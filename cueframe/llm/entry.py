@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueframe.llm import bpe, knn, language, licenses, line_dedup, mixing, pieces, quality, simhash, toxicity, wrapper
+from cueframe.llm import bpe, knn, language, licenses, line_dedup, mixing, pieces, quality, resampling, simhash, toxicity, wrapper
 from cueframe.llm.common import table
 
 #: The vocabulary that op3 and the pipeline encode with.
@@ -137,6 +137,11 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.joined(), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, by the texts of ``benchmark`` as target."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -152,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
