@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueframe.llm import bpe, knn, language, licenses, line_dedup, mixing, pieces, quality, resampling, simhash, toxicity, wrapper
+from cueframe.llm import bpe, knn, language, licenses, line_dedup, mixing, pieces, quality, resampling, simhash, toxicity, whitening, wrapper
 from cueframe.llm.common import table
 
 #: The vocabulary that op3 and the pipeline encode with.
@@ -142,6 +142,16 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened coordinates of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every vector is from the mean, exactly."""
+    return whitening.deviations(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -158,6 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_embedding_whitening": op13_embedding_whitening,
+    "op13_deviations": op13_deviations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -194,4 +206,12 @@ s as (select trimmed from t where trimmed <> '' group by trimmed having count(di
 k as (select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (s.trimmed is null), '') as text, count(s.trimmed) as n_lines_removed from t left join s using (trimmed) group by doc_id)
 select d.doc_id, case when d.text is not null then coalesce(k.text, '') end as text, coalesce(n_lines_removed, 0) as n_lines_removed, length(case when d.text is not null then coalesce(k.text, '') end) as n_chars
 from documents d left join k using (doc_id)""",
+    "op13_deviations": r"""
+with v as (select vec_id, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),
+f as (select distinct x from v),
+n as (select count(*) as n from f),
+s as (select i, sum(c) as s from (select unnest(x) as c, generate_subscripts(x, 1) as i from f) group by i),
+t as (select list(s order by i) as s from s)
+select vec_id, n, cast(list_sum(list_transform(range(1, len(s) + 1), lambda i: (n * coalesce(x[i], 0) - s[i]) ** 2)) as bigint) as deviation from v, n, t""",
 }
