@@ -16,25 +16,31 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], state: str) -> Column:
-    """The states of a fold before each item.  ``state`` is their type.
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], state: str, made: Callable[[Column, Column], Column] | None = None, kind: str | None = None) -> Column:
+    """The states of a fold before each item, or what ``made`` makes of state
+    and item.  ``state`` and ``kind`` are their types.
 
-    Arrays are copied as they grow, so the states are gathered by chunks, and
-    time grows with the items but for a small part.
+    Arrays are copied as they grow, so what is made is gathered by chunks, and
+    time grows with the items but for a small part.  Where states may grow,
+    ``made`` keeps them from being held all at once.
     """
-    zero = zero.cast(state)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
-    pair = f"struct<now:{state},seen:array<{state}>>"
+    zero, out = zero.cast(state), kind or state
+    pair, whole = f"struct<now:{state},seen:array<{out}>>", f"struct<now:{state},seen:array<array<{out}>>>"
 
     def one(acc: Column, item: Column) -> Column:
-        return F.struct(step(acc["now"], item).cast(state).alias("now"), F.concat(acc["seen"], F.array(acc["now"])).alias("seen")).cast(pair)
+        new = acc["now"] if made is None else made(acc["now"], item).cast(out)
+        return F.struct(step(acc["now"], item).cast(state).alias("now"), F.concat(acc["seen"], F.array(new)).alias("seen")).cast(pair)
 
     def many(acc: Column, chunk: Column) -> Column:
-        start = F.struct(acc["now"].alias("now"), F.array().cast(f"array<{state}>").alias("seen")).cast(pair)
-        return let(F.aggregate(chunk, start, one), lambda got: F.struct(got["now"].alias("now"), F.concat(acc["seen"], F.array(got["seen"])).alias("seen")).cast(f"struct<now:{state},seen:array<array<{state}>>>"))
+        start = F.struct(acc["now"].alias("now"), F.array().cast(f"array<{out}>").alias("seen")).cast(pair)
+        return F.aggregate(chunk, start, one, lambda got: F.struct(got["now"].alias("now"), F.concat(acc["seen"], F.array(got["seen"])).alias("seen")).cast(whole))
 
-    begin = F.struct(zero.alias("now"), F.array().cast(f"array<array<{state}>>").alias("seen")).cast(f"struct<now:{state},seen:array<array<{state}>>>")
-    return F.when(F.size(items) > 0, F.flatten(F.aggregate(chunks, begin, many)["seen"])).otherwise(F.array().cast(f"array<{state}>"))
+    def run(xs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda i: F.slice(xs, i * CHUNK + 1, F.lit(CHUNK)))
+        begin = F.struct(zero.alias("now"), F.array().cast(f"array<array<{out}>>").alias("seen")).cast(whole)
+        return F.when(F.size(xs) > 0, F.flatten(F.aggregate(chunks, begin, many)["seen"])).otherwise(F.array().cast(f"array<{out}>"))
+
+    return let(items, run)
 
 
 def first_place(items: Column, test: Callable[[Column], Column]) -> Column:

@@ -179,7 +179,7 @@ def tree(body: Column, max_depth: int = 16) -> Column:
         adds = F.when(opens, opening(s, t) & fits(s)).otherwise(t["kind"] != "EndTag")
         return F.struct(F.when(adds, made).alias("node"), (opens & opening(s, t) & ~fits(s)).alias("exceeded"))
 
-    made = let(tokens(body), lambda ts: F.zip_with(ts, running(ts, empty, step, STATE), node))
+    made = running(tokens(body), empty, step, STATE, lambda s, t: node(t, s), f"struct<node:{NODE},exceeded:boolean>")
     return let(made, lambda ms: F.struct(F.transform(F.filter(ms, lambda m: m["node"].isNotNull()), lambda m: m["node"]).alias("nodes"), F.exists(ms, lambda m: m["exceeded"]).alias("exceeded")))
 
 
@@ -210,17 +210,19 @@ def children_of(nodes: Column, at: Column | None = None) -> Column:
 def unwrapped(nodes: Column, at: Column) -> Column:
     """Nodes without node number ``at``, its children in its place."""
 
-    def without(gone: Column) -> Column:
-        end = F.coalesce(F.array_min(F.transform(F.filter(nodes, lambda n: (n["node_id"] > at) & (n["depth"] <= gone["depth"])), lambda n: n["node_id"])), F.size(nodes))
+    def whole(ns: Column, gone: Column) -> Column:
+        def moved(end: Column) -> Callable[[Column], Column]:
+            def one(n: Column) -> Column:
+                below = (n["node_id"] > at) & (n["node_id"] < end)
+                parent = F.when(n["parent_id"] == at, gone["parent_id"]).otherwise(F.when(n["parent_id"] > at, n["parent_id"] - 1).otherwise(n["parent_id"]))
+                return n.withField("parent_id", parent).withField("depth", n["depth"] - below.cast("int")).withField("node_id", n["node_id"] - (n["node_id"] > at).cast("int")).cast(NODE)
 
-        def moved(n: Column) -> Column:
-            below = (n["node_id"] > at) & (n["node_id"] < end)
-            parent = F.when(n["parent_id"] == at, gone["parent_id"]).otherwise(F.when(n["parent_id"] > at, n["parent_id"] - 1).otherwise(n["parent_id"]))
-            return n.withField("parent_id", parent).withField("depth", n["depth"] - below.cast("int")).withField("node_id", n["node_id"] - (n["node_id"] > at).cast("int")).cast(NODE)
+            return one
 
-        return F.transform(F.filter(nodes, lambda n: n["node_id"] != at), moved)
+        end = F.coalesce(F.array_min(F.transform(F.filter(ns, lambda n: (n["node_id"] > at) & (n["depth"] <= gone["depth"])), lambda n: n["node_id"])), F.size(ns))
+        return let(end, lambda e: F.transform(F.filter(ns, lambda n: n["node_id"] != at), moved(e)))
 
-    return F.when(F.size(nodes) > at, let(F.get(nodes, at), without)).otherwise(nodes)
+    return let(nodes, lambda ns: F.when(F.size(ns) > at, let(F.get(ns, at), lambda gone: whole(ns, gone))).otherwise(ns))
 
 
 def _open_tag(n: Column) -> Column:
@@ -232,6 +234,7 @@ def _open_tag(n: Column) -> Column:
 def serialize(nodes: Column) -> Column:
     """Cue text of a node array: texts decoded, annotations raw.  A tag is
     closed before the first later node that is not deeper, innermost first."""
+
     def close(open_: Column, to: Column) -> Column:
         shut = F.reverse(F.slice(open_, to + 1, F.greatest(F.size(open_) - to, F.lit(0))))
         return F.array_join(F.transform(shut, lambda t: F.concat(F.lit("</"), t, F.lit(">"))), "")
@@ -244,11 +247,12 @@ def serialize(nodes: Column) -> Column:
         shown = F.when(n["kind"] == "Tag", _open_tag(n)).when(n["kind"] == "Timestamp", F.concat(F.lit("<"), times.encode_vtt(n["ts"]), F.lit(">"))).otherwise(decode_references(n["text"]))
         return F.concat(close(open_, n["depth"]), shown)
 
-    def whole(states: Column) -> Column:
-        end = F.when(F.size(nodes) > 0, close(step(F.get(states, F.size(nodes) - 1), F.get(nodes, F.size(nodes) - 1)), F.lit(0))).otherwise("")
-        return F.concat(F.array_join(F.zip_with(nodes, states, piece), ""), end)
+    def whole(ns: Column) -> Column:
+        # A last node at the top, without text, closes what is open.
+        end = F.struct(F.size(ns), F.lit(None), F.lit(0), F.lit("Text"), F.lit(None), F.lit(None), F.lit(None), F.lit(""), F.lit(None), F.lit(None)).cast(NODE)
+        return F.array_join(running(F.concat(ns, F.array(end)), F.array().cast("array<string>"), step, "array<string>", lambda open_, n: piece(n, open_), "string"), "")
 
-    return let(running(nodes, F.array().cast("array<string>"), step, "array<string>"), whole)
+    return let(nodes, whole)
 
 
 def dump(nodes: Column) -> Column:

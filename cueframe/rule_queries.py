@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueframe.functions import ass_text, srt_text, times, vtt_text
+from cueframe.functions import ass_text, srt_text, times, trees, vtt_text
 from cueframe.functions.lines import BOM
 from cueframe.operators.ass import parse_ass, parse_event_line, split_fields, write_ass
 from cueframe.operators.srt import parse_srt, write_srt
@@ -160,6 +160,33 @@ def vtt_tree_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+with t as (select c_custkey, c_custkey % 3 k, c_nationkey p, '<i>x</i>' i, '<lang en><u>y</u></lang>' l, '<b>' || c_name || '<i>x</i></b>' b, c_name n, c_mktsegment s, '<c.n>+</c>' c from customer)
+select c_custkey, '<b>' || case k when 0 then c || n || i when 1 then n || c || i else n || i || c end || '</b>' || s || l as inserted, '<b>' || case k when 0 then l || n || i when 1 then n || l || i else n || i || l end || '</b>' || s as moved,
+case when k = 0 then s || l else b || l end as removed, '<b>' || p || '<u>z</u></b>' || s || l as with_children, n || i as into, b || '<v.m ' || p || '>' || s || '</v>' || l as wrapped,
+'- en en en en en en en' as languages, s || '<lang en><u>y</u>' || b || '</lang>' as below, '4 2 4 4 5 8 8 8' as intervals, true as stable from t""")
+def vtt_tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children inserted, moved, removed, replaced and wrapped, from literals and from the tree itself."""
+    key, note = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    body = _text("<b>", F.col("c_name"), "<i>x</i></b>", F.col("c_mktsegment"), "<lang en><u>y</u></lang>")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", vtt_text.tree(body)["nodes"].alias("n"))
+    n, k, leave = F.col("n"), (key % 3).cast("int"), F.when(key % 3 == 0, 0).otherwise(4)
+    edits = rows.select(
+        "c_custkey",
+        trees.inserted(n, 0, k, trees.forest(trees.tag("c", trees.text("+"), classes="n"))).alias("inserted"),
+        trees.moved(n, 5, 0, k).alias("moved"),
+        trees.removed(n, leave).alias("removed"),
+        trees.with_children(n, 0, trees.forest(trees.text(note), trees.tag("u", trees.text("z")))).alias("with_children"),
+        trees.children(n, 0).alias("into"),
+        trees.wrapped(n, 4, "v", classes="m", annotation=note).alias("wrapped"),
+        trees.moved(n, 0, 5, 1).alias("below"),
+        F.array_join(trees.ends(n).cast("array<string>"), " ").alias("intervals"),
+    )
+    edits = edits.withColumn("languages", F.array_join(F.transform("below", lambda x: F.coalesce(x["lang"], F.lit("-"))), " "))
+    shown = [vtt_text.serialize(F.col(c)).alias(c) for c in ("inserted", "moved", "removed", "with_children", "into", "wrapped", "below")]
+    return edits.select("c_custkey", *shown, "languages", "intervals", (vtt_text.tree(vtt_text.serialize(F.col("moved")))["nodes"] == F.col("moved")).alias("stable"))
+
+
 @query("""
 select c_custkey doc_id, u.nth, u.layer, u.start_cs, u.name, u.t || case when u.nth <> 1 then c_name else '' end as text from customer, lateral (values
 (0, null, 100, null, ''), (1, 3, null, null, ''), (2, 4, 200, 'N', 'two, '), (3, null, 300, 'M', 'three ')) u(nth, layer, start_cs, name, t)""")
