@@ -142,27 +142,30 @@ def _line(text: Column, line: Column) -> Column:
     return F.struct(line.alias("line"), text.alias("text"), opened.alias("opened"), key.alias("key"), value.alias("value"))
 
 
-def parse_ass(docs: DataFrame, options: AssOptions = AssOptions()) -> DataFrame:  # noqa: B008
-    """``docs(doc_id, content)`` -> one row per block, and one per document in error.
+def lines_of(content: Column, head: Column) -> Column:
+    """The lines of a text that are not blank; a byte order mark goes where the text is the ``head`` of its document."""
+    whole = F.transform(raw_lines(content, lone_cr=True), lambda r, i: let(unterminated(r, lone_cr=True), lambda x: F.when((i == 0) & head, without_bom(x)).otherwise(x)))
+    return F.filter(F.transform(whole, lambda x: let(trim_start_white(x), lambda t: _line(t, x))), lambda x: trim_end_white(x["text"]) != "")
 
-    ``(doc_id, ordinal, block_type, section, text, key, value, format, event, error)``:
-    block_type section, comment, format, style, event, data or property;
-    ``text`` is the comment, payload, style row or declared format.
-    Rows of one ``doc_id`` are read apart; null and empty contents have no rows.
-    """
-    whole = F.transform(raw_lines(F.col("content"), lone_cr=True), lambda r, i: let(unterminated(r, lone_cr=True), lambda x: F.when(i == 0, without_bom(x)).otherwise(x)))
-    lines = F.filter(F.transform(whole, lambda x: let(trim_start_white(x), lambda t: _line(t, x))), lambda x: trim_end_white(x["text"]) != "")
+
+def declares(x: Column) -> Column:
+    """Does a line name the columns of events, if it stands among them?"""
+    return F.coalesce(F.lower(x["key"]) == "format", F.lit(False)) & ~x["text"].startswith("[") & ~x["text"].startswith(";")
+
+
+def told(rows: DataFrame, lines: str, out: str, before: Column, options: AssOptions) -> DataFrame:
+    """``rows`` with ``out`` in place of ``lines``: blocks and the error, if
+    any, that ends them.  ``before`` is the section and the columns that the lines come in."""
     none = F.lit(None).cast("array<string>")
     begin = F.array().cast("array<string>") if not options.allow_missing_format else EventFormat.ass().column()
 
     def step(s: Column, x: Column) -> Column:
-        declares = (s["section"] == "Events") & (F.lower(x["key"]) == "format") & ~x["text"].startswith("[") & ~x["text"].startswith(";")
         entered = F.struct(x["opened"].alias("section"), none.alias("format")).cast(STATE)
         declared = F.struct(s["section"].alias("section"), event_format(x["value"]).alias("format")).cast(STATE)
-        return F.when(x["opened"].isNotNull(), entered).when(declares, declared).otherwise(s)
+        return F.when(x["opened"].isNotNull(), entered).when((s["section"] == "Events") & declares(x), declared).otherwise(s)
 
-    rows = docs.select("doc_id", lines.alias("_ls"))
-    rows = rows.withColumn("_ss", running(F.col("_ls"), F.struct(F.lit(None).cast("string"), none), step, STATE))
+    others = [c for c in rows.columns if c != lines]
+    rows = rows.withColumn("_ss", running(F.col(lines), before, step, STATE))
 
     def judged(x: Column, s: Column) -> Column:
         section = F.coalesce(x["opened"], s["section"])
@@ -174,28 +177,33 @@ def parse_ass(docs: DataFrame, options: AssOptions = AssOptions()) -> DataFrame:
         kind = kind.when((F.lower(key) == "style") & styled, "style").when((section == "Events") & canonical(key, EVENT_KINDS).isNotNull(), "event").otherwise("property")
         columns = F.coalesce(s["format"], begin)
 
-        def told(k: Column) -> Column:
+        def known(k: Column) -> Column:
             cells = F.when(k == "event", split_row(x["value"], columns))
             return let(cells, lambda c: F.struct(
-                k.alias("kind"), section.alias("section"), text.alias("text"), x["line"].alias("line"), key.alias("key"), x["value"].alias("value"), 
+                k.alias("kind"), section.alias("section"), text.alias("text"), x["line"].alias("line"), key.alias("key"), x["value"].alias("value"),
                 F.when(k == "event", event_of(canonical(key, EVENT_KINDS), x["value"], c, columns)).alias("event"),
                 F.when(k == "unclosed", "UnclosedSection").when(k == "unexpected", "UnexpectedLine").when(k == "event", event_error(c, columns, options)).alias("error"),
             ))
 
-        return let(kind, told)
+        return let(kind, known)
 
-    found = F.zip_with("_ls", "_ss", judged)
+    found = F.zip_with(lines, "_ss", judged)
     if options.ignore_unknown_lines:
         found = F.filter(found, lambda x: ~x["kind"].isin("unclosed", "unexpected"))
-    rows = rows.select("doc_id", found.alias("_bs")).withColumn("_stop", first_place(F.col("_bs"), lambda x: x["error"].isNotNull()))
-    told = F.when(F.col("_stop") > 0, F.slice("_bs", F.lit(1), F.col("_stop"))).otherwise(F.col("_bs"))
-    out = rows.select("doc_id", F.posexplode(told).alias("ordinal", "b")).select("doc_id", "ordinal", "b.*")
+    rows = rows.select(*others, found.alias("_bs")).withColumn("_stop", first_place(F.col("_bs"), lambda x: x["error"].isNotNull()))
+    return rows.select(*others, F.when(F.col("_stop") > 0, F.slice("_bs", F.lit(1), F.col("_stop"))).otherwise(F.col("_bs")).alias(out))
+
+
+def start_state() -> Column:
+    return F.struct(F.lit(None).cast("string").alias("section"), F.lit(None).cast("array<string>").alias("format"))
+
+
+def block_fields() -> list[Column]:
+    """The columns of a block, from those of ``told``."""
     ok, kind = F.col("error").isNull(), F.col("kind")
     text = F.when(kind == "comment", F.substring("text", 2, 1 << 30)).when(kind == "data", F.col("line")).when(kind.isin("format", "style"), F.col("value"))
     plain = kind == "property"
-    return out.select(
-        "doc_id",
-        "ordinal",
+    return [
         F.when(ok, kind).alias("block_type"),
         F.when(ok, F.col("section")).alias("section"),
         F.when(ok, text).alias("text"),
@@ -203,8 +211,21 @@ def parse_ass(docs: DataFrame, options: AssOptions = AssOptions()) -> DataFrame:
         F.when(ok & plain, F.col("value")).alias("value"),
         F.when(ok & (kind == "format"), event_format(F.col("value"))).alias("format"),
         F.when(ok, F.col("event")).alias("event"),
-        "error",
-    )
+        F.col("error"),
+    ]
+
+
+def parse_ass(docs: DataFrame, options: AssOptions = AssOptions()) -> DataFrame:  # noqa: B008
+    """``docs(doc_id, content)`` -> one row per block, and one per document in error.
+
+    ``(doc_id, ordinal, block_type, section, text, key, value, format, event, error)``:
+    block_type section, comment, format, style, event, data or property;
+    ``text`` is the comment, payload, style row or declared format.
+    Rows of one ``doc_id`` are read apart; null and empty contents have no rows.
+    """
+    rows = docs.select("doc_id", lines_of(F.col("content"), F.lit(True)).alias("_ls"))
+    out = told(rows, "_ls", "_bs", start_state(), options).select("doc_id", F.posexplode("_bs").alias("ordinal", "b"))
+    return out.select("doc_id", "ordinal", "b.*").select("doc_id", "ordinal", *block_fields())
 
 
 def encode_event(event: Column, columns: Column) -> Column:
@@ -224,10 +245,8 @@ def encode_event(event: Column, columns: Column) -> Column:
     return F.concat(event["kind"], F.lit(": "), F.array_join(F.transform(columns, cell), ","))
 
 
-def write_ass(blocks: DataFrame, default_format: EventFormat | None = None, docs: DataFrame | None = None) -> DataFrame:
-    """Blocks as ``parse_ass`` gives them -> ``(doc_id, content)``: LF only, a
-    blank line before every section but a first line.  Every document of
-    ``docs(doc_id)`` has a row, empty where it has no blocks."""
+def block_lines(blocks: DataFrame, default_format: EventFormat | None = None) -> DataFrame:
+    """Blocks with ``line``, as it stands in a file under the columns in effect."""
     default = (default_format or EventFormat.ass()).column()
     by_doc = Window.partitionBy("doc_id").orderBy("ordinal")
     kind = F.col("block_type")
@@ -237,5 +256,12 @@ def write_ass(blocks: DataFrame, default_format: EventFormat | None = None, docs
     line = F.when(kind == "section", F.concat(F.when(F.col("ordinal") > 0, "\n").otherwise(""), F.lit("["), F.col("section"), F.lit("]")))
     line = line.when(kind == "comment", F.concat(F.lit(";"), F.col("text"))).when(kind == "format", F.concat(F.lit("Format: "), F.col("text"))).when(kind == "style", F.concat(F.lit("Style: "), F.col("text")))
     line = line.when(kind == "data", F.col("text")).when(kind == "event", encode_event(F.col("event"), F.col("_columns"))).otherwise(F.concat(F.col("key"), F.lit(": "), F.col("value")))
-    each = F.sort_array(F.collect_list(F.struct("ordinal", F.concat(line, F.lit("\n")).alias("line"))))
-    return with_all(rows.withColumn("line", line).groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["line"]), "").alias("content")), docs, "")
+    return rows.withColumn("line", F.concat(line, F.lit("\n"))).drop("_segment", "_columns")
+
+
+def write_ass(blocks: DataFrame, default_format: EventFormat | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """Blocks as ``parse_ass`` gives them -> ``(doc_id, content)``: LF only, a
+    blank line before every section but a first line.  Every document of
+    ``docs(doc_id)`` has a row, empty where it has no blocks."""
+    each = F.sort_array(F.collect_list(F.struct("ordinal", "line")))
+    return with_all(block_lines(blocks, default_format).groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["line"]), "").alias("content")), docs, "")

@@ -59,17 +59,16 @@ def _paragraph(raws: Column, options: SrtOptions) -> Column:
     return let(tokens, lambda ls: let(first_place(ls, begins), lambda k: found(ls, k)))
 
 
-def parse_srt(docs: DataFrame, options: SrtOptions = SrtOptions()) -> DataFrame:  # noqa: B008
-    """``docs(doc_id, content)`` -> one row per entry, and one per document in error.
+def paragraphs(content: Column, options: SrtOptions) -> Column:
+    """The entries of a document's paragraphs, as far as each tells by itself."""
+    return F.transform(F.regexp_extract_all(content, F.lit(PARAGRAPH), F.lit(1)), lambda p: _paragraph(raw_lines(p, lone_cr=False), options))
 
-    ``(doc_id, ordinal, index, start, end, start_ms, end_ms, body, error, error_detail)``;
-    an error row has nulls but for its last columns and ends its document.
-    Rows of one ``doc_id`` are read apart; a null or empty content has no rows.
-    """
-    paras = F.transform(F.regexp_extract_all("content", F.lit(PARAGRAPH), F.lit(1)), lambda p: _paragraph(raw_lines(p, lone_cr=False), options))
-    rows = docs.select("doc_id", paras.alias("_ps"))
-    zero = F.lit(0).cast("decimal(20,0)")
-    rows = rows.withColumn("_last", running(F.col("_ps"), zero, lambda last, p: F.when(p["complete"] & p["numbered"], F.greatest(last, p["index"])).otherwise(last), "decimal(20,0)"))
+
+def told(rows: DataFrame, paras: str, out: str, last: Column, options: SrtOptions) -> DataFrame:
+    """``rows`` with ``out`` in place of ``paras``: entries and the error, if
+    any, that ends them.  ``last`` is the greatest index before the paragraphs."""
+    zero = last.cast("decimal(20,0)")
+    rows = rows.withColumn("_last", running(F.col(paras), zero, lambda last, p: F.when(p["complete"] & p["numbered"], F.greatest(last, p["index"])).otherwise(last), "decimal(20,0)"))
 
     def judged(p: Column, last: Column) -> Column:
         stale = p["numbered"] & ~p["orphaned"] & (p["index"] <= last) & F.lit(options.monotonic_index)
@@ -85,11 +84,26 @@ def parse_srt(docs: DataFrame, options: SrtOptions = SrtOptions()) -> DataFrame:
             times.total(a).cast("long").alias("start_ms"), times.total(b).cast("long").alias("end_ms"), F.when(ok, p["body"]).alias("body"),
         )))
 
-    rows = rows.select("doc_id", F.zip_with("_ps", "_last", judged).alias("_es"))
+    others = [c for c in rows.columns if c not in (paras, "_last")]
+    rows = rows.select(*others, F.zip_with(paras, "_last", judged).alias("_es"))
     stop = first_place(F.col("_es"), lambda e: e["error"].isNotNull())
-    told = F.when(stop > 0, F.slice("_es", F.lit(1), stop)).otherwise(F.col("_es"))
-    out = rows.select("doc_id", F.posexplode(F.filter(told, lambda e: e["kept"] | e["error"].isNotNull())).alias("ordinal", "e"))
-    return out.select("doc_id", "ordinal", *[f"e.{c}" for c in ("index", "start", "end", "start_ms", "end_ms", "body", "error", "error_detail")])
+    upto = F.when(stop > 0, F.slice("_es", F.lit(1), stop)).otherwise(F.col("_es"))
+    return rows.select(*others, F.filter(upto, lambda e: e["kept"] | e["error"].isNotNull()).alias(out))
+
+
+FIELDS = ("index", "start", "end", "start_ms", "end_ms", "body", "error", "error_detail")
+
+
+def parse_srt(docs: DataFrame, options: SrtOptions = SrtOptions()) -> DataFrame:  # noqa: B008
+    """``docs(doc_id, content)`` -> one row per entry, and one per document in error.
+
+    ``(doc_id, ordinal, index, start, end, start_ms, end_ms, body, error, error_detail)``;
+    an error row has nulls but for its last columns and ends its document.
+    Rows of one ``doc_id`` are read apart; a null or empty content has no rows.
+    """
+    rows = docs.select("doc_id", paragraphs(F.col("content"), options).alias("_ps"))
+    out = told(rows, "_ps", "_es", F.lit(0), options).select("doc_id", F.posexplode("_es").alias("ordinal", "e"))
+    return out.select("doc_id", "ordinal", *[f"e.{c}" for c in FIELDS])
 
 
 def encode_header(index: Column, start: Column, end: Column) -> Column:
@@ -97,10 +111,13 @@ def encode_header(index: Column, start: Column, end: Column) -> Column:
     return F.concat(number, times.encode_srt(start), F.lit(" --> "), times.encode_srt(end), F.lit("\n"))
 
 
+def entry_text() -> Column:
+    return F.concat(encode_header(F.col("index"), F.col("start"), F.col("end")), F.col("body"), F.lit("\n"))
+
+
 def write_srt(entries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Entries ``(doc_id, ordinal, index, start, end, body)`` -> ``(doc_id, content)``;
     a blank line stands between entries.  Every document of ``docs(doc_id)``
     has a row, empty where it has no entries."""
-    text = F.concat(encode_header(F.col("index"), F.col("start"), F.col("end")), F.col("body"), F.lit("\n"))
-    each = F.sort_array(F.collect_list(F.struct("ordinal", text.alias("text"))))
+    each = F.sort_array(F.collect_list(F.struct("ordinal", entry_text().alias("text"))))
     return with_all(entries.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["text"]), "\n").alias("content")), docs, "")

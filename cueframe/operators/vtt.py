@@ -196,6 +196,30 @@ def _blocks(ls: Column, barred: Column, cue: Column) -> Column:
     return F.when(F.size(ls) > 0, let(let(may, opens_at), cut)).otherwise(F.array().cast(f"array<{BLOCK}>"))
 
 
+def signature_error(content: Column) -> Column:
+    sign = without_bom(F.regexp_extract(content, r"^[^\r\n]*", 0))
+    return F.when(~sign.startswith("WEBVTT"), "MissingSignature").when(~sign.rlike(SIGNATURE), "InvalidSignature")
+
+
+def paragraphs(content: Column, head: Column) -> Column:
+    """The paragraphs of a text, the first of which is the header where ``head`` says so."""
+    return F.transform(F.regexp_extract_all(content, F.lit(PARAGRAPH), F.lit(1)), lambda p, i: _placed(raw_lines(p, lone_cr=True), (i == 0) & head))
+
+
+def told(rows: DataFrame, paras: str, out: str, error: Column, barred: Column) -> DataFrame:
+    """``rows`` with ``out`` in place of ``paras``: blocks, or the error alone.
+    ``barred`` says that a cue came before the paragraphs."""
+    others = [c for c in rows.columns if c != paras]
+    rows = rows.withColumn("_cue", first_place(F.col(paras), lambda p: p["cue"] > 0))
+    each = F.transform(paras, lambda p, i: _blocks(p["ls"], barred | ((F.col("_cue") > 0) & (F.col("_cue") <= i)), F.when(F.col("_cue") == i + 1, p["cue"]).otherwise(0)))
+    fault = F.from_json(F.to_json(F.struct(error.alias("error"))), BLOCK)
+    found = F.when(error.isNotNull(), F.array(fault)).otherwise(F.filter(F.flatten(each), lambda b: b["block_type"] != "none"))
+    return rows.select(*others, found.alias(out))
+
+
+FIELDS = ("block_type", "identifier", "start", "end", "start_ms", "end_ms", "settings", "body", "region", "error")
+
+
 def parse_vtt(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, content)`` -> one row per block, and one per document in error.
 
@@ -204,18 +228,10 @@ def parse_vtt(docs: DataFrame) -> DataFrame:
     region.  Rows of one ``doc_id`` are read apart; null contents have no rows;
     an empty one lacks its signature.
     """
-    sign = without_bom(F.regexp_extract("content", r"^[^\r\n]*", 0))
-    wrong = F.when(~sign.startswith("WEBVTT"), "MissingSignature").when(~sign.rlike(SIGNATURE), "InvalidSignature")
-    rows = docs.where(F.col("content").isNotNull()).select("doc_id", "content", wrong.alias("error"))
-    paras = F.transform(F.regexp_extract_all("content", F.lit(PARAGRAPH), F.lit(1)), lambda p, i: _placed(raw_lines(p, lone_cr=True), i == 0))
-    rows = rows.select("doc_id", "error", F.when(F.col("error").isNull(), paras).alias("_ps"))
-    rows = rows.withColumn("_cue", first_place(F.col("_ps"), lambda p: p["cue"] > 0))
-    each = F.transform("_ps", lambda p, i: _blocks(p["ls"], (F.col("_cue") > 0) & (F.col("_cue") <= i), F.when(F.col("_cue") == i + 1, p["cue"]).otherwise(0)))
-    fault = F.from_json(F.to_json(F.struct("error")), BLOCK)
-    found = F.when(F.col("error").isNotNull(), F.array(fault)).otherwise(F.filter(F.flatten(each), lambda b: b["block_type"] != "none"))
-    out = rows.select("doc_id", F.posexplode(found).alias("ordinal", "b"))
-    names = ("block_type", "identifier", "start", "end", "start_ms", "end_ms", "settings", "body", "region", "error")
-    return out.select("doc_id", "ordinal", *[f"b.{c}" for c in names])
+    rows = docs.where(F.col("content").isNotNull()).select("doc_id", "content", signature_error(F.col("content")).alias("error"))
+    rows = rows.select("doc_id", "error", F.when(F.col("error").isNull(), paragraphs(F.col("content"), F.lit(True))).alias("_ps"))
+    out = told(rows, "_ps", "_bs", F.col("error"), F.lit(False)).select("doc_id", F.posexplode("_bs").alias("ordinal", "b"))
+    return out.select("doc_id", "ordinal", *[f"b.{c}" for c in FIELDS])
 
 
 def show_number(x: Column) -> Column:
@@ -258,19 +274,27 @@ def format_region(r: Column) -> Column:
     )
 
 
+def signature(header: str | None) -> str:
+    return "WEBVTT\n" if header is None else f"WEBVTT {header}\n"
+
+
+def block_text(with_nodes: bool) -> Column:
+    """A block as it stands in a file."""
+    c = F.col
+    settings = F.when(c("settings").isNotNull(), F.concat(F.lit(" "), format_cue_settings(c("settings")))).otherwise("")
+    text = lambda t: F.when(t != "", F.concat(t, F.lit("\n"))).otherwise("")
+    body = F.when(c("nodes").isNotNull(), serialize(c("nodes"))).otherwise(c("body")) if with_nodes else c("body")
+    cue = F.concat(F.coalesce(F.concat(c("identifier"), F.lit("\n")), F.lit("")), times.encode_vtt(c("start")), F.lit(" --> "), times.encode_vtt(c("end")), settings, F.lit("\n"), text(body))
+    shown = F.when(c("block_type") == "cue", cue).when(c("block_type") == "region", F.concat(F.lit("REGION\n"), text(format_region(c("region")))))
+    return shown.otherwise(F.concat(F.upper("block_type"), F.lit("\n"), text(c("body"))))
+
+
 def write_vtt(blocks: DataFrame, header: str | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Blocks as ``parse_vtt`` gives them -> ``(doc_id, content)``: the
     signature, then each block after a blank line.  Every document of
     ``docs(doc_id)`` has a row, with the signature alone where it has no
     blocks.  A cue with ``nodes`` (``vtt_text.tree``) is written from these in
     place of its body."""
-    c = F.col
-    settings = F.when(c("settings").isNotNull(), F.concat(F.lit(" "), format_cue_settings(c("settings")))).otherwise("")
-    text = lambda t: F.when(t != "", F.concat(t, F.lit("\n"))).otherwise("")
-    body = F.when(c("nodes").isNotNull(), serialize(c("nodes"))).otherwise(c("body")) if "nodes" in blocks.columns else c("body")
-    cue = F.concat(F.coalesce(F.concat(c("identifier"), F.lit("\n")), F.lit("")), times.encode_vtt(c("start")), F.lit(" --> "), times.encode_vtt(c("end")), settings, F.lit("\n"), text(body))
-    shown = F.when(c("block_type") == "cue", cue).when(c("block_type") == "region", F.concat(F.lit("REGION\n"), text(format_region(c("region")))))
-    shown = shown.otherwise(F.concat(F.upper("block_type"), F.lit("\n"), text(c("body"))))
-    each = F.sort_array(F.collect_list(F.struct("ordinal", F.concat(F.lit("\n"), shown).alias("text"))))
-    sign = "WEBVTT\n" if header is None else f"WEBVTT {header}\n"
+    each = F.sort_array(F.collect_list(F.struct("ordinal", F.concat(F.lit("\n"), block_text("nodes" in blocks.columns)).alias("text"))))
+    sign = signature(header)
     return with_all(blocks.groupBy("doc_id").agg(F.concat(F.lit(sign), F.array_join(F.transform(each, lambda x: x["text"]), "")).alias("content")), docs, sign)

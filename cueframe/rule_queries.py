@@ -3,6 +3,8 @@ statement of its rows; they are listed with those of ``queries``."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from cueframe.operators.srt import parse_srt, write_srt
 from cueframe.operators.vtt import parse_vtt, write_vtt
 from cueframe.plans.options import AssOptions, EventFormat, SrtOptions
 from cueframe.queries import _table, query
+from cueframe.sources.large import read_large_srt, scratch, write_srt_files
 from cueframe.streaming.packets import clean_packets, event_packets
 
 
@@ -187,6 +190,22 @@ def vtt_tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.select("c_custkey", *shown, "languages", "intervals", (vtt_text.tree(vtt_text.serialize(F.col("moved")))["nodes"] == F.col("moved")).alias("stable"))
 
 
+@query("""
+select cast(event_id % 5 as varchar) doc_id, row_number() over (partition by event_id % 5 order by event_id) - 1 as ordinal, event_id + 1 as index_shown,
+event_id * 10 as start_ms, event_id * 10 + 900 as end_ms, event_type || chr(10) || user_id as body, cast(null as varchar) as error from events""")
+def large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few large documents, written in ranges of their entries and read in parts."""
+    key = F.col("event_id")
+    entries = _table(spark, sf_dir, "events").select(
+        (key % 5).cast("string").alias("doc_id"), key.alias("ordinal"), (key + 1).alias("index"), times.from_total(key * 10).alias("start"), times.from_total(key * 10 + 900).alias("end"),
+        _text(F.col("event_type"), "\n", F.col("user_id")).alias("body"),
+    )
+    path = f"{scratch(spark)}/large-{uuid.uuid4().hex}"
+    write_srt_files(entries, path)
+    rows = read_large_srt(spark, path, part_bytes=1 << 16)
+    return rows.select("doc_id", "ordinal", F.col("index").cast("long").alias("index_shown"), "start_ms", "end_ms", "body", "error")
+
+
 @query("""
 select c_custkey doc_id, u.nth, u.layer, u.start_cs, u.name, u.t || case when u.nth <> 1 then c_name else '' end as text from customer, lateral (values
 (0, null, 100, null, ''), (1, 3, null, null, ''), (2, 4, 200, 'N', 'two, '), (3, null, 300, 'M', 'three ')) u(nth, layer, start_cs, name, t)""")
