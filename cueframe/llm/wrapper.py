@@ -19,6 +19,7 @@ from collections.abc import Generator, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from html.parser import HTMLParser
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -62,6 +63,9 @@ class Hints(NamedTuple):
 
 NO_HINTS = Hints(frozenset(), frozenset(), frozenset(), frozenset())
 
+#: Unlike neighbours among the blocks below one element, beyond which all of one key are folded.
+WIDE = 64
+
 #: Reference pages of all hosts together, in bytes, that are broadcast at most.
 REFERENCE_BYTES = 16 << 20
 
@@ -72,13 +76,14 @@ _NO_COMMENT, _SUBSET, _OPEN_TAG = re.compile("<!---?>"), re.compile(r"(?i)<!doct
 
 
 class Node:
-    __slots__ = ("children", "key", "own", "role", "tag")
+    __slots__ = ("children", "folds", "key", "own", "role", "tag")
 
     def __init__(self, tag: str, role: bool):
         self.tag, self.role = tag, role
         self.children: list[Node | str] = []
         self.key = tag
         self.own: list[str] = []
+        self.folds: list[int] | None = None
 
 
 class _Builder(HTMLParser):
@@ -192,15 +197,30 @@ def _unrolled(walk: Generator) -> object:
     return value
 
 
+def folds(node: Node) -> list[int]:
+    """For each block below a node the number of the folded sibling that it
+    belongs to: runs of one key are one.  Where more than ``WIDE`` are left, as
+    in striped tables and lists of terms, all of one key are."""
+    if node.folds is None:
+        keys = [c.key for c in node.children if isinstance(c, Node) and c.tag in BLOCKS]
+        runs = [int(k > 0 and key != keys[k - 1]) for k, key in enumerate(keys)]
+        found = list(accumulate(runs))
+        if found and found[-1] >= WIDE:
+            number: dict[str, int] = {}
+            found = [number.setdefault(key, len(number)) for key in keys]
+        node.folds = found
+    return node.folds
+
+
 def folded(root: Node) -> tuple:
     """The tree of element keys as nested tuples, inline elements and texts left
-    out and runs of siblings with one key folded into the first."""
+    out and siblings folded (``folds``) into the first."""
 
     def walk(node: Node) -> Generator:
         children: list[tuple] = []
-        for child in node.children if node.tag not in DROPPED else ():
-            if isinstance(child, Node) and child.tag in BLOCKS:
-                if not children or children[-1][0] != child.key:
+        if node.tag not in DROPPED:
+            for child, at in zip((c for c in node.children if isinstance(c, Node) and c.tag in BLOCKS), folds(node), strict=True):
+                if at == len(children):
                     children.append((yield walk(child)))
         return (node.key, tuple(children))
 
@@ -222,41 +242,108 @@ def _numbered(tree: tuple) -> tuple[list[str], list[list[int]]]:
     return keys, kids
 
 
+class _Shapes:
+    """Subtrees known by number: equal ones have one, whatever tree they are of."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.key: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+
+    def of(self, keys: list[str], kids: list[list[int]]) -> list[int]:
+        shape = [0] * len(keys)
+        for i in range(len(keys) - 1, -1, -1):
+            below = tuple(shape[k] for k in kids[i])
+            known = self.number.setdefault((keys[i], below), len(self.key))
+            if known == len(self.key):
+                self.key.append(keys[i])
+                self.below.append(below)
+                self.size.append(1 + sum(self.size[c] for c in below))
+            shape[i] = known
+        return shape
+
+
+def _heaviest(pairs: list[tuple[int, int, int]], n: int) -> tuple[int, list[tuple[int, int]]]:
+    """Of ``(i, j, weight)``, by rising ``i`` and falling ``j`` below ``n``, the
+    heaviest that rise in both: a prefix maximum by a binary indexed tree, and a link back for each."""
+    best: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+    back = []
+    for at, (_, j, weight) in enumerate(pairs):
+        most, k = (0, -1), j
+        while k > 0:
+            most = max(most, best[k])
+            k -= k & -k
+        back.append(most[1])
+        now, k = (most[0] + weight, at), j + 1
+        while k <= n:
+            if best[k][0] < now[0]:
+                best[k] = now
+            k += k & -k
+    total, at, k = 0, -1, n
+    while k > 0:
+        if best[k][0] > total:
+            total, at = best[k]
+        k -= k & -k
+    met = []
+    while at >= 0:
+        met.append(pairs[at][:2])
+        at = back[at]
+    return total, met[::-1]
+
+
 def tree_match(a: tuple, b: tuple) -> tuple[int, list[int]]:
     """Simple tree matching: the most nodes that two ordered trees share with
     equal roots, and for each node of ``a`` in document order its partner's
-    number in ``b`` (or -1)."""
+    number in ``b`` (or -1).
+
+    Pairs of equal subtrees are matched once, however often they come; equal
+    siblings at either end meet each other; between these only siblings of one
+    key are looked at, so no table of all pairs is made."""
     (x, below), (y, beneath) = _numbered(a), _numbered(b)
     partner = [-1] * len(x)
     if x[0] != y[0]:
         return 0, partner
-    # Pairs of nodes whose ancestors have equal keys, parents before children.
-    pairs = [(0, 0)]
-    for p, q in pairs:
-        pairs += [(i, j) for i in below[p] for j in beneath[q] if x[i] == y[j]]
-    scores: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-    for p, q in reversed(pairs):
-        left, right = below[p], beneath[q]
-        table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for i, c in enumerate(left):
-            row, up = table[i + 1], table[i]
-            for j, d in enumerate(right):
-                row[j + 1] = max(row[j], up[j + 1], up[j] + scores.get((c, d), 0))
-        scores[p, q], tables[p, q] = table[-1][-1] + 1, table
+    shapes = _Shapes()
+    left, right = shapes.of(x, below), shapes.of(y, beneath)
+    known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def match(p: int, q: int) -> Generator:
+        """Score, and which children meet, of two unequal subtrees."""
+        c, d = shapes.below[p], shapes.below[q]
+        least = min(len(c), len(d))
+        start = next((k for k in range(least) if c[k] != d[k]), least)
+        end = next((k for k in range(least - start) if c[-1 - k] != d[-1 - k]), least - start)
+        met = [(k, k) for k in range(start)]
+        places: dict[str, list[int]] = {}
+        for j in range(len(d) - end - 1, start - 1, -1):
+            places.setdefault(shapes.key[d[j]], []).append(j)
+        pairs = []
+        for i in range(start, len(c) - end):
+            for j in places.get(shapes.key[c[i]], ()):
+                if c[i] == d[j]:
+                    weight = shapes.size[c[i]]
+                else:
+                    if (c[i], d[j]) not in known:
+                        known[c[i], d[j]] = yield match(c[i], d[j])
+                    weight = known[c[i], d[j]][0]
+                pairs.append((i, j - start, weight))
+        total, inner = _heaviest(pairs, len(d) - end - start)
+        met += [(i, j + start) for i, j in inner]
+        met += [(len(c) - k, len(d) - k) for k in range(end, 0, -1)]
+        return 1 + total + sum(shapes.size[c[k]] for k in (*range(start), *range(len(c) - end, len(c)))), met
+
+    if left[0] != right[0]:
+        known[left[0], right[0]] = _unrolled(match(left[0], right[0]))
+    score = shapes.size[left[0]] if left[0] == right[0] else known[left[0], right[0]][0]
     met = [(0, 0)]
     for p, q in met:
         partner[p] = q
-        table, i, j = tables[p, q], len(below[p]), len(beneath[q])
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                met.append((below[p][i], beneath[q][j]))
-    return scores[0, 0], partner
+        if left[p] == right[q]:
+            met += zip(below[p], beneath[q], strict=True)
+        else:
+            met += [(below[p][i], beneath[q][j]) for i, j in known[left[p], right[q]][1]]
+    return score, partner
 
 
 def _count(t: tuple) -> int:
@@ -283,26 +370,29 @@ def blocks(root: Node, slots: list[int], mains: frozenset[str] = Hints().mains)
 
     def skip(node: Node) -> Generator:
         """Numbers what a walk over the folded tree would have numbered."""
-        last = None
-        for child in node.children:
-            if isinstance(child, Node) and child.tag in BLOCKS and node.tag not in DROPPED:
-                if child.key != last:
+        if node.tag not in DROPPED:
+            seen = 0
+            for child, at in zip((c for c in node.children if isinstance(c, Node) and c.tag in BLOCKS), folds(node), strict=True):
+                if at == seen:
+                    seen += 1
                     count[0] += 1
                     yield skip(child)
-                last = child.key
 
     def walk(node: Node, slot: int, parts: list[str], inside: bool, fresh: bool) -> Generator:
-        last, last_slot = None, slot
+        # The slots of the folded siblings so far.
+        seen: list[int] = []
+        numbers = iter(folds(node))
         for child in node.children:
             if isinstance(child, str):
                 if inside:
                     parts.append(child)
             elif child.tag in BLOCKS:
-                new = child.key != last
-                if new and fresh:
-                    count[0] += 1
-                    last_slot = count[0]
-                last = child.key
+                at = next(numbers)
+                new = at == len(seen)
+                if new:
+                    count[0] += fresh
+                    seen.append(count[0] if fresh else slot)
+                last_slot = seen[at]
                 if inside:
                     flush(slot, parts)
                 if child.role:
@@ -418,7 +508,9 @@ def main_text(
     is unknown or new keeps every block that no role rules out; a comment,
     declaration or tag that never ends takes the rest of its page; repeated rows
     come back repeated; an empty table gives no rows; other columns are not
-    read.  Bytes of one page bound a task's memory.
+    read.  Memory follows the
+    longest page: siblings are folded, equal subtrees are matched once, and no
+    table of pairs is made.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
     rows = rows.withColumn("_host", F.coalesce(host_of(F.col("_url")), F.lit(""))).withColumn("_h", F.xxhash64("_html", F.lit(10)))

@@ -1,7 +1,10 @@
 """Main text of pages whose parts are known."""
 
 import random
+import time
+import tracemalloc
 
+import pytest
 from pyspark.sql import functions as F
 
 from cueframe.llm import wrapper
@@ -181,3 +184,59 @@ def test_template_of_whole_table(spark):
     right = {i for i in want if got[i] == want[i]}
     assert len(right) > 0.95 * host and not any(off[i] == want[i] for i in want)
     assert all(got[i] in (off[i], want[i]) for i in want)
+
+
+def plain_match(a, b):
+    """Simple tree matching as it is defined, by a table for every pair of nodes."""
+    if a[0] != b[0]:
+        return 0
+    table = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, c in enumerate(a[1]):
+        for j, d in enumerate(b[1]):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + plain_match(c, d))
+    return table[-1][-1] + 1
+
+
+def random_tree(rnd, depth):
+    return (rnd.choice("pqr"), tuple(random_tree(rnd, depth - 1) for _ in range(rnd.randint(0, 4 if depth else 0))))
+
+
+def test_tree_match_against_tables():
+    rnd = random.Random(8)
+    for _ in range(600):
+        a, b = random_tree(rnd, 3), random_tree(rnd, 3)
+        b = ("p", a[1][: rnd.randint(0, 4)] + b[1]) if rnd.random() < 0.5 else b
+        score, partner = wrapper.tree_match(a, b)
+        assert score == plain_match(a, b)
+        (x, below), (y, beneath) = wrapper._numbered(a), wrapper._numbered(b)
+        up = {c: p for p, kids in enumerate(below) for c in kids}
+        over = {c: p for p, kids in enumerate(beneath) for c in kids}
+        met = [(i, j) for i, j in enumerate(partner) if j >= 0]
+        assert len(met) == score and len({j for _, j in met}) == score
+        for i, j in met:
+            assert x[i] == y[j] and (i == 0 or partner[up[i]] == over[j])
+        for kids in below:
+            found = [partner[k] for k in kids if partner[k] >= 0]
+            assert found == sorted(found)
+
+
+@pytest.mark.parametrize("unit", ["<dt>t{0}</dt><dd>d{0}</dd>", '<tr class="odd"><td>{0}</td><th>x</th><td>y</td></tr><tr class="even"><td>{0}</td></tr>', "<div>a{0}</div><p>b</p><h2>c</h2>", '<div id="n{0}"><p>x</p></div>', '<div class="c{1}"><p>x</p><ul><li>y</ul></div><p>z</p>'])
+def test_pages_of_many_unlike_siblings(unit):
+    """Long lists of terms, striped tables and numbered parts take linear memory and time."""
+    pages = [f"<html><body><div>{''.join(unit.format(i, i % 70) for i in range(n))}</div><footer>f</footer></body></html>" for n in (4000, 3900)]
+    tracemalloc.start()
+    started = time.monotonic()
+    rows = wrapper.align(pages[0], pages[1], wrapper.NO_HINTS)
+    spent, (_, peak) = time.monotonic() - started, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(rows) >= 4000 and peak < 100 << 20 and spent < 60
+
+
+def test_folds_number_blocks_as_trees():
+    """Slots of blocks are numbers of the folded tree, also where many unlike siblings are folded by key."""
+    html = "<body>" + "".join(f"<div>a{i}</div><p>b{i}</p>" for i in range(100)) + "<section><p>x</p></section><p>y</p><ul><li>z</ul></body>"
+    root = wrapper.parse(html, wrapper.NO_HINTS)
+    keys, _ = wrapper._numbered(wrapper.folded(root))
+    found = wrapper.blocks(root, list(range(len(keys))), frozenset())
+    assert {t: keys[s] for s, t in found if not t[1:]} == {"x": "p", "y": "p", "z": "li"} and all(keys[s] == ("div" if t[0] == "a" else "p") for s, t in found if t[1:])
+    assert keys.count("div") == 1 and keys.count("p") == 2
