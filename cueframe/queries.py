@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cueframe.functions import ass_text, srt_text, times, vtt_text
 from cueframe.operators.ass import parse_ass, write_ass
+from cueframe.operators.overlaps import overlaps
 from cueframe.operators.srt import parse_srt, write_srt
 from cueframe.operators.vtt import parse_vtt, write_vtt
 from cueframe.plans.options import SrtOptions
@@ -334,14 +335,26 @@ def ass_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat_ws(",", turn.cast("string"), _ass_time(turn * 100), _ass_time(turn * 100 + 250), F.lit("x"))
     found = parse_ass(_documents(_spread(_talk(spark, sf_dir), "conv_id"), "conv_id", "turn", _ass_line(row), _ASS_HEAD.format("Layer, Start, End, Text"))).where("event is not null")
     cues = found.select("doc_id", F.col("event.layer").alias("turn"), times.total(F.col("event.start"), 100).cast("long").alias("a"), times.total(F.col("event.end"), 100).cast("long").alias("b"))
-    # Every line stands in each slot of time that it touches; two meet in the first slot they share.
-    slot = 500
-    spread = cues.withColumn("slot", F.explode(F.sequence(F.floor(F.col("a") / slot), F.floor((F.col("b") - 1) / slot))))
-    other = spread.select("doc_id", "slot", F.col("a").alias("c"), F.col("b").alias("d"))
-    met = spread.join(other, ["doc_id", "slot"]).where("a < d and c < b").where(F.col("slot") == F.floor(F.greatest("a", "c") / slot))
+    met = overlaps(cues, cues, ["doc_id"], "a", "b")
     return met.groupBy("doc_id", "turn").agg((F.count("*") - 1).alias("others"))
 
 
+@query("""
+with c as (select event_id % 20 doc_id, event_id, cast(event_id * 7919 % 3600000 as bigint) a from events), d as (select *, a + case event_id % 9 when 0 then 3155760000 + event_id when 1 then 360000 else 1 + event_id % 997 end b from c)
+select c.doc_id, c.event_id, count(*) - 1 as others, cast(sum(d.event_id) as bigint) - c.event_id as their_ids from d c join d on c.doc_id = d.doc_id and c.a < d.b and d.a < c.b group by 1, 2""")
+def cue_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of scripts that overlap, some of seconds, some of hours, some of a year."""
+    key = F.col("event_id")
+    start = key * 7919 % 3600000
+    end = start + F.when(key % 9 == 0, 3155760000 + key).when(key % 9 == 1, 360000).otherwise(1 + key % 997)
+    row = F.concat_ws(",", _ass_time(start), _ass_time(end), key.cast("string"))
+    docs = _documents(_table(spark, sf_dir, "events").withColumn("doc", key % 20), "doc", "event_id", _ass_line(row), _ASS_HEAD.format("Start, End, Text"))
+    found = parse_ass(docs).where("event is not null")
+    cues = found.select("doc_id", F.col("event.text").cast("long").alias("event_id"), times.total(F.col("event.start"), 100).alias("start"), times.total(F.col("event.end"), 100).alias("end"))
+    met = overlaps(cues, cues, ["doc_id"])
+    return met.groupBy("doc_id", "event_id").agg((F.count("*") - 1).alias("others"), (F.sum("other_event_id") - F.col("event_id")).alias("their_ids"))
+
+
 @query()
 def longest_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean text and duration of the ten longest cues."""
