@@ -16,6 +16,7 @@ from cueframe.operators.vtt import parse_vtt, write_vtt
 from cueframe.plans.options import AssOptions, EventFormat, SrtOptions
 from cueframe.queries import _table, query
 from cueframe.sources.large import read_large_srt, scratch, write_srt_files
+from cueframe.streaming.ordered import order_packets
 from cueframe.streaming.packets import clean_packets, event_packets
 
 
@@ -56,6 +57,17 @@ def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_packets(found, "ass").drop("body")
 
 
+@query("""
+with t as (select cast(user_id % 50 as varchar) track, ts, event_id * 7919 % 10007 read_order, event_type || ',' || event_id as row from events),
+o as (select *, row_number() over w - 1 as ordinal, max(read_order) over (w rows between unbounded preceding and 1 preceding) as before from t window w as (partition by track order by ts, read_order, row))
+select track, ordinal, read_order, row as shown, before is null or read_order > before as rising from o""")
+def packet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of tracks in the order of their time, and whether their read orders rise."""
+    key = F.col("event_id")
+    rows = _table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("track"), "ts", (key * 7919 % 10007).alias("read_order"), _text(F.col("event_type"), ",", key).alias("row"))
+    return order_packets(rows).select("track", "ordinal", "read_order", F.col("row").alias("shown"), "rising")
+
+
 @query("""
 with t as (select p_partkey, p_partkey % 1300 h, p_size * 2 s, p_partkey % 1100 ms, p_partkey * 4611686018427388 as big from part)
 select p_partkey, case when h >= 10 and h < 1000 then h end hour_value, case when h < 10 then 'NotPadded' when h >= 1000 then 'Overflow(' || h || ')' end hour_error,
