@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import BROADCAST_ROWS, cut, hot_join, unused
+from cueframe.llm.common import cut, hot_join, unused
 from cueframe.llm.components import connected_components
 
 BITS = 64
@@ -116,11 +116,12 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     if distance < 1:
         raise ValueError("equal fingerprints are linked by grouping")
     # Small tasks: each counts the many variants of few fingerprints.
-    keyed = variants(fps.repartition(max(1, fps.count() // TASK), "fp"), distance)
+    total = fps.count()
+    parts = max(fps.sparkSession.sparkContext.defaultParallelism, total // TASK)
+    keyed = variants(fps.repartition(parts, "fp"), distance)
     # Buckets beyond a block: counted by partial aggregates, and split before the exchange that gathers them.
-    large = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keyed = keyed.join(F.broadcast(large) if few else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    keyed = hot_join(keyed, large, ["key"], "n", total * BITS, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     blocks = keyed.groupBy("key", "block").agg(F.collect_list("fp").alias("fps"), F.first("blocks").alias("blocks"))
     blocks = cut(blocks.where("blocks > 1 or size(fps) > 1"))
