@@ -61,15 +61,27 @@ def tokens(body: Column) -> Column:
     return F.filter(F.transform(found, token), lambda t: t["kind"].isNotNull())
 
 
+def _prefixes(names: list[str]) -> str:
+    """A regex of the longest of ``names`` that a text begins with: branches
+    share their beginnings, so that few are tried."""
+    if names == [""]:
+        return ""
+    rest: dict[str, list[str]] = {}
+    for name in names:
+        if name:
+            rest.setdefault(name[0], []).append(name[1:])
+    branches = "|".join(letter + _prefixes(tails) for letter, tails in sorted(rest.items()))
+    return f"(?:{branches})" + ("?" if "" in names else "")
+
+
 @lru_cache(maxsize=1)
 def _entities() -> tuple[str, str]:
-    """The named references by first letter as JSON, and a regex of those that
-    need no semicolon, the longest first."""
-    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-    by_letter: dict[str, dict[str, str]] = {}
+    """The named references by their first letter, and by their second, as
+    JSON, and a regex of those that need no semicolon."""
+    by_letters: dict[str, dict[str, dict[str, str]]] = {}
     for name, text in html5.items():
-        by_letter.setdefault(name[0], {})[name] = text
-    return json.dumps(by_letter), "|".join(bare)
+        by_letters.setdefault(name[0], {}).setdefault(name[1], {})[name] = text
+    return json.dumps(by_letters), _prefixes([n for n in html5 if not n.endswith(";")])
 
 
 def _character(point: Column) -> Column:
@@ -82,26 +94,22 @@ def _character(point: Column) -> Column:
 def decode_references(text: Column) -> Column:
     """Character references decoded, and NUL as U+FFFD."""
     table, bare = _entities()
-    named = F.from_json(F.lit(table), "map<string,map<string,string>>")
+    named = F.from_json(F.lit(table), "map<string,map<string,map<string,string>>>")
 
     def known(name: Column) -> Column:
-        # Maps are searched one by one, so the letter goes first.
-        return F.try_element_at(F.try_element_at(named, F.left(name, F.lit(1))), name)
+        # Maps are searched one by one, so the letters go first.
+        return F.try_element_at(F.try_element_at(F.try_element_at(named, F.substring(name, 1, 1)), F.substring(name, 2, 1)), name)
 
     def piece(p: Column) -> Column:
         digits = F.regexp_replace(F.regexp_extract(p, r"^&#([0-9]+)", 1), "^0+(?=.)", "")
         hexes = F.regexp_replace(F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]+)", 1), "^0+(?=.)", "")
         number = F.when(hexes != "", F.when(F.length(hexes) <= 8, F.conv(hexes, 16, 10).try_cast("long"))).otherwise(F.when(F.length(digits) <= 10, digits.try_cast("long")))
         name = F.substring(p, 2, 1 << 30)
-        whole = F.when(name.rlike(r"^[^;]{1,31};\z"), known(name))
-        prefix = F.regexp_extract(name, f"^(?:{bare})", 0)
-        short = F.when(prefix != "", F.concat(known(prefix), F.substring(name, F.length(prefix) + 1, 1 << 30)))
-        return (
-            F.when(~p.startswith("&") | (p == "&"), p)
-            .when(p.rlike(r"^&#[xX]?\z"), F.lower(p))
-            .when(p.startswith("&#"), _character(number))
-            .otherwise(F.coalesce(whole, short, p))
-        )
+        # A piece that ends a name has its only semicolon at its end; names take 31 characters before it at most.
+        whole = F.when(name.endswith(";") & (F.length(name) <= 32), known(name))
+        short = let(F.regexp_extract(name, f"^{bare}", 0), lambda prefix: F.when(prefix != "", F.concat(known(prefix), F.substring(name, F.length(prefix) + 1, 1 << 30))))
+        numbered = F.when(p.rlike(r"^&#[xX]?\z"), F.lower(p)).otherwise(_character(number))
+        return F.when(~p.startswith("&") | (p == "&"), p).when(p.startswith("&#"), numbered).otherwise(F.coalesce(whole, short, p))
 
     pieces = F.regexp_extract_all(text, F.lit(r"(&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&#[xX]?|&[A-Za-z0-9]+;?|[^&]+|&)"), F.lit(1))
     decoded = F.array_join(F.transform(pieces, piece), "")
