@@ -98,12 +98,10 @@ def test_files_have_the_writers_bytes(spark, tmp_path):
     blocks = parse_vtt(vtt)
     large.write_vtt_files(blocks, str(tmp_path / "vtt"), "made here", docs=vtt, parts=4)
     assert {k: v[0] for k, v in written_text(spark, str(tmp_path / "vtt")).items()} == {r["doc_id"]: r["content"] for r in write_vtt(blocks, "made here", vtt).collect()}
-    assert rows_of(large.read_large_vtt(spark, str(tmp_path / "vtt"))) == rows_of(parse_vtt(write_vtt(blocks, docs=vtt)))
     script = spark.createDataFrame([("a", "[Events]\nFormat: Layer, Start, Text\n" + ASS[3] * 100 + "[Fonts]\nfontname: a\nxx\n")], "doc_id string, content string")
     found = parse_ass(script)
     large.write_ass_files(found, str(tmp_path / "ass"), parts=3)
     assert {k: v[0] for k, v in written_text(spark, str(tmp_path / "ass")).items()} == {r["doc_id"]: r["content"] for r in write_ass(found).collect()}
-    assert rows_of(large.read_large_ass(spark, str(tmp_path / "ass"))) == rows_of(parse_ass(write_ass(found)))
 
 
 def test_a_failed_write_leaves_no_file(spark, tmp_path):
