@@ -257,10 +257,12 @@ def scan(
     """``(id, paragraph, n_lines, family, probability, template_match, confirmed)``:
     a row per paragraph whose family is at least ``threshold`` likely.
 
-    ``paragraph`` is the number of its first line.  A line is a paragraph, and
-    so are neighbouring lines that all hold an anchor word of the model, joined
-    by spaces: together they are reported, in place of each, where none of them
-    is found, or none confirmed but the whole is.
+    ``paragraph`` is the number of its first line.  A line with an anchor word
+    of the model is a paragraph, and so are such lines with no blank line and
+    two others at most between each, joined by spaces: together they are
+    reported, in place of each, where none of them is found, or none confirmed
+    but the whole is, or the whole holds more of a template of its family than
+    any and none is confirmed as another family.
     ``template_match`` is the share of the n-grams of the family's closest
     template that the paragraph holds; ``confirmed`` says that it reaches
     ``least_match`` and that no other family, nor any licence outside the
@@ -275,15 +277,21 @@ def scan(
     held = F.array(*[F.lit(a) for a in anchors]) if anchors else F.array().cast("array<string>")
     # Rows are numbered before their lines are laid out, and before the checkpoint that all later steps read.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    lines = rows.select("_id", "_row", F.posexplode(F.split("_text", "\n")).alias("_at", "_line"))
-    lines = cut(lines.where(F.arrays_overlap(tokens(F.col("_line")), held)))
+    told = F.transform(F.split("_text", "\n"), lambda line, i: F.struct(i.alias("_at"), line.alias("_line"), F.arrays_overlap(tokens(line), held).alias("_held")))
+    near = lambda x: F.exists(F.slice("_ls", F.greatest(x["_at"], F.lit(1)), F.when(x["_at"] > 0, 3).otherwise(2)), lambda y: y["_held"])
+    lines = rows.select("_id", "_row", told.alias("_ls")).select("_id", "_row", F.inline(F.filter("_ls", lambda x: near(x) & x["_line"].rlike(r"\S"))))
+    lines = cut(lines)
     island = F.col("_at") - F.row_number().over(Window.partitionBy("_row").orderBy("_at"))
     placed = lines.withColumn("_run", island)
-    ordered = F.sort_array(F.collect_list(F.struct("_at", "_line")))
-    runs = placed.groupBy("_row", "_run").agg(F.first("_id").alias("_id"), ordered.alias("ls")).where("size(ls) > 1")
+    ordered = F.sort_array(F.collect_list(F.struct("_at", "_line", "_held")))
+    runs = placed.groupBy("_row", "_run").agg(F.first("_id").alias("_id"), ordered.alias("ls"))
+    # From the first line with an anchor word to the last.
+    places = F.filter(F.transform("ls", lambda x, i: F.when(x["_held"], i)), lambda i: i.isNotNull())
+    runs = runs.withColumn("first", F.array_min(places)).withColumn("last", F.array_max(places)).where("last > first")
+    runs = runs.withColumn("ls", F.slice("ls", F.col("first") + 1, F.col("last") - F.col("first") + 1))
     runs = runs.select("_id", "_row", "_run", F.col("ls")[0]["_at"].alias("_at"), F.size("ls").alias("_n"), F.array_join(F.transform("ls", lambda x: x["_line"]), " ").alias("_line"))
     # What stands alone; then lines of a run, and the run itself.
-    parts = cut(placed.select("_id", "_row", "_run", "_at", F.lit(1).alias("_n"), "_line").unionByName(runs))
+    parts = cut(placed.where("_held").select("_id", "_row", "_run", "_at", F.lit(1).alias("_n"), "_line").unionByName(runs))
     each = parts.select("_line").distinct().select("_line", F.explode(grams(tokens(F.col("_line")))).alias("gram"))
     # Vocabulary and templates are fixed in number, whatever the corpus: broadcast.
     names = [f"s{k}" for k in range(len(model.families))]
@@ -301,16 +309,22 @@ def scan(
     hits = named.join(F.broadcast(shapes), "gram").groupBy("_line", "family", "of", "notice").agg((F.count("*") / F.max("n")).alias("match"), F.count("*").alias("held"))
     # Of equal shares the template that holds more is closer.
     close = lambda which: F.max(F.when(which, F.struct("match", "held")))
-    best = hits.groupBy("_line", "family").agg(close(F.col("of") == F.col("family")).alias("own"), close(F.col("of") != F.col("family")).alias("other"))
+    own = F.col("of") == F.col("family")
+    reach = F.max(F.when(own & (F.col("match") >= least_match), F.col("held")))
+    best = hits.groupBy("_line", "family").agg(close(own).alias("own"), close(~own).alias("other"), reach.alias("reach"))
     found = scored.join(best, ["_line", "family"], "left")
     match = F.coalesce("own.match", F.lit(0.0))
     closest = F.col("other").isNull() | (F.col("own") >= F.col("other"))
-    found = found.select("_line", "family", "probability", match.alias("template_match"), F.coalesce((match >= least_match) & closest, F.lit(False)).alias("confirmed"))
+    found = found.select("_line", "family", "probability", match.alias("template_match"), F.coalesce((match >= least_match) & closest, F.lit(False)).alias("confirmed"), F.coalesce("reach", F.lit(0)).alias("reach"))
     out = parts.join(found, "_line")
     run = Window.partitionBy("_row", "_run")
     single = F.col("_n") == 1
-    # 0 if no line of the run is found, 1 if one is, 2 if one is confirmed; the run has to do better.
-    rank = F.col("confirmed").cast("int") + 1
-    out = out.withColumn("_lines", F.coalesce(F.max(F.when(single, rank)).over(run), F.lit(0))).withColumn("_whole", F.coalesce(F.max(F.when(~single, rank)).over(run), F.lit(0)))
-    out = out.where(single == (F.col("_whole") <= F.col("_lines")))
+    # Found, or confirmed, and then by how much of a template: the run has to
+    # do better than each line, and not to hide that lines are of several families.
+    rank = F.struct((F.col("confirmed").cast("int") + 1).alias("rank"), F.when(F.col("confirmed"), F.col("reach")).otherwise(0).alias("reach"))
+    none = F.struct(F.lit(0).alias("rank"), F.lit(0).cast("long").alias("reach"))
+    out = out.withColumn("_lines", F.coalesce(F.max(F.when(single, rank)).over(run), none)).withColumn("_whole", F.coalesce(F.max(F.when(~single, rank)).over(run), none))
+    out = out.withColumn("_families", F.collect_set(F.when(single & F.col("confirmed"), F.col("family"))).over(run)).withColumn("_family", F.max(F.when(~single, F.col("family"))).over(run))
+    better = (F.col("_whole") > F.col("_lines")) & ~F.exists("_families", lambda f: f != F.col("_family"))
+    out = out.where(single != better)
     return out.select(F.col("_id").alias(id_col), F.col("_at").alias("paragraph"), F.col("_n").alias("n_lines"), "family", "probability", "template_match", "confirmed")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -218,24 +219,28 @@ def plain_scan(texts, model, threshold=0.5, least=0.7):
             return None
         family = model.families[z.index(max(z))]
         match = {f: max(((len(held & g) / len(g), len(held & g)) for o, g in shapes if (o == family) == f and held & g), default=(0.0, 0)) for f in (True, False)}
-        return family, round(float(p), 6), round(match[True][0], 6), match[True][0] >= least and match[True] >= match[False]
+        reach = max((len(held & g) for o, g in shapes if o == family and len(held & g) / len(g) >= least), default=0)
+        return family, round(float(p), 6), round(match[True][0], 6), match[True][0] >= least and match[True] >= match[False], reach
 
     out = []
     for doc, text in texts:
         lines = (text or "").split("\n") if text is not None else []
         hit = [bool(anchors & set(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", x.lower()))) for x in lines]
+        kept = [any(hit[max(i - 1, 0) : i + 2]) and bool(re.search(r"\S", x, re.ASCII)) for i, x in enumerate(lines)]
         at = 0
         while at < len(lines):
             end = at
-            while end < len(lines) and hit[end]:
+            while end < len(lines) and kept[end]:
                 end += 1
-            alone = [(i, judge(lines[i])) for i in range(at, end)]
-            whole = judge(" ".join(lines[at:end])) if end - at > 1 else None
-            score = lambda r: 0 if r is None else 1 + r[3]
-            if score(whole) > max((score(r) for _, r in alone), default=0):
-                out.append((doc, at, end - at, *whole))
+            held = [i for i in range(at, end) if hit[i]]
+            alone = [(i, judge(lines[i])) for i in held]
+            whole = judge(" ".join(lines[held[0] : held[-1] + 1])) if len(held) > 1 else None
+            score = lambda r: (0, 0) if r is None else (1 + r[3], r[4] if r[3] else 0)
+            others = {r[0] for _, r in alone if r and r[3]} - {whole[0] if whole else None}
+            if score(whole) > max((score(r) for _, r in alone), default=(0, 0)) and not others:
+                out.append((doc, held[0], held[-1] - held[0] + 1, *whole[:4]))
             else:
-                out += [(doc, i, 1, *r) for i, r in alone if r]
+                out += [(doc, i, 1, *r[:4]) for i, r in alone if r]
             at = max(end, at + 1)
     return sorted(out)
 
@@ -281,6 +286,27 @@ def test_licences_wrapped(spark, licences):
     assert got == {i: (f, True) for i, f in enumerate(cases)}
 
 
+#: The usual notices, to be wrapped.
+NOTICES = {
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+}
+
+
+def test_licences_at_any_width(spark, licences):
+    """A notice is one row of its family, however it is wrapped; neighbouring lines of two licences are two."""
+    rows = [(f, "intro\n\n" + "\n".join(textwrap.wrap(text, width)) + "\n\nend") for f, text in NOTICES.items() for width in (60, 70, 80)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string"), licences).collect()
+    assert sorted((r["doc_id"], r["family"], r["paragraph"], r["confirmed"]) for r in got) == sorted((f, f, 2, True) for f, _ in rows)
+    two = [("Licensed under MIT.\nLicensed under Apache-2.0.", [0, 1]), ("Licensed under MIT.\nsome talk\nabout things\nReleased under the Apache License, Version 2.0", [0, 3])]
+    for text, places in two:
+        found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), licences).collect()
+        assert sorted((r["paragraph"], r["family"]) for r in found) == list(zip(places, ("mit", "apache"), strict=True))
+
+
 def test_licences_whole_table(spark, docs):
     """Lines that name a licence in so many words are found, with few others."""
     got = {(r["doc_id"], r["paragraph"]) for r in op1_license_scan(spark, SF).where("confirmed").collect()}
