@@ -206,6 +206,22 @@ s as (select trimmed from t where trimmed <> '' group by trimmed having count(di
 k as (select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (s.trimmed is null), '') as text, count(s.trimmed) as n_lines_removed from t left join s using (trimmed) group by doc_id)
 select d.doc_id, case when d.text is not null then coalesce(k.text, '') end as text, coalesce(n_lines_removed, 0) as n_lines_removed, length(case when d.text is not null then coalesce(k.text, '') end) as n_chars
 from documents d left join k using (doc_id)""",
+    # crc32 byte by byte, over a table that SQL makes; each distinct feature once.
+    "op12_importance_resampling": r"""
+with tab as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) order by i) as tab from (select unnest(range(256)) as i)),
+x as (select 'd' as side, doc_id, text from documents union all select 'b', null, text from benchmark),
+w as (select side, row_number() over () as nth, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from x),
+f as (select side, nth, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as f from w),
+g as (select f, hex(encode(f)) as h from (select distinct f from f)),
+b as (select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: 16 * (instr('123456789ABCDEF', h[i])) + instr('123456789ABCDEF', h[i + 1]))), lambda c, y: xor(tab[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % 10000 as bucket from g, tab),
+n as (select side, nth, bucket, count(*) as n from f join b using (f) group by all),
+s as (select bucket, coalesce(sum(n) filter (side = 'd'), 0) as s, coalesce(sum(n) filter (side = 'b'), 0) as t from n group by bucket),
+k as (select bucket, cast(floor(1000 * ln((t + 1.0::double) * ((select sum(s) from s) + 10000) / ((s + 1.0::double) * ((select sum(t) from s) + 10000)))) as bigint) as gain from s),
+v as (select nth, cast(sum(n) as bigint) as n_features, cast(sum(n * gain) as bigint) as weight from n join k using (bucket) where side = 'd' group by nth),
+o as (select doc_id, len(w) >= 20 as fits, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+  coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score from w left join v using (nth) where side = 'd'),
+r as (select *, row_number() over (partition by fits order by score desc, doc_id) as nr, count(*) over (partition by fits) as fitting from o)
+select doc_id, n_features, weight, score, case when fits and nr <= fitting * 5 // 100 then nr end as rank from r""",
     "op13_deviations": r"""
 with v as (select vec_id, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x from embeddings
   where embedding is not null and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),

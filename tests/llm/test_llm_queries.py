@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
