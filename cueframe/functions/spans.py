@@ -30,7 +30,7 @@ def members(text: str) -> np.ndarray:
     return table
 
 
-BLANK, DIGIT = members(" \t\f"), members("0123456789")
+BLANK, DIGIT, WHITE = members(" \t\f"), members("0123456789"), members("\t\n\v\f\r ")
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,18 +59,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa
         at = upto
 
 
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines that LF ends, and what stands behind the last LF of a document:
-    their document, start, the end of their text (without LF or CRLF), and end."""
+def lines(data: np.ndarray, offsets: np.ndarray, lone_cr: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines that LF ends (or CR alone, if ``lone_cr``), and what stands behind
+    the last one of a document: their document, start, the end of their text
+    (without its terminator), and end."""
     docs = np.flatnonzero(np.diff(offsets))
     tails = offsets[docs + 1]
-    open_tails = tails[data[tails - 1] != LF]
-    breaks = np.flatnonzero(data[: offsets[-1]] == LF) + 1
-    ends = breaks if not len(open_tails) else np.sort(np.concatenate([breaks, open_tails]), kind="stable")
+    open_tails = tails[(data[tails - 1] != LF) & ~(lone_cr & (data[tails - 1] == CR))]
+    ends = [np.flatnonzero(data[: offsets[-1]] == LF) + 1, open_tails]
+    if lone_cr:
+        alone = np.flatnonzero(data[: offsets[-1]] == CR) + 1
+        if len(alone):
+            ends.append(alone[(data[alone] != LF) | np.isin(alone, tails)])
+    ends = np.sort(np.concatenate(ends), kind="stable") if any(map(len, ends[1:])) else ends[0]
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
     doc = np.searchsorted(offsets, starts, "right") - 1
     text = ends - (data[ends - 1] == LF)
-    text -= (text < ends) & (text > starts) & (data[text - 1] == CR)
+    text -= ((text < ends) | lone_cr) & (text > starts) & (data[text - 1] == CR)
     return doc, starts, text, ends
 
 
@@ -101,6 +106,29 @@ def past_boms(data: np.ndarray, at: np.ndarray, until: np.ndarray) -> np.ndarray
     return at
 
 
+def past_white(data: np.ndarray, at: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """Where the white space of any script that begins at each place ends."""
+    at = at.copy()
+    live = np.flatnonzero(at < until)
+    while len(live):
+        a, b, c = (data[at[live] + k] for k in range(3))
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        general = (a == 0xE2) & (((b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+        three = general | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+        width = np.select([WHITE[a], two, three], [1, 2, 3], 0)
+        at[live] += width
+        live = live[(width > 0) & (at[live] < until[live])]
+    return at
+
+
+def begins_with(data: np.ndarray, at: np.ndarray, word: str) -> np.ndarray:
+    """Whether an ASCII word stands at each place."""
+    ok = np.ones(len(at), bool)
+    for k, want in enumerate(word.encode()):
+        ok &= data[at + k] == want
+    return ok
+
+
 def number(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number that the first 20 digits of a span make, and whether it is beyond 64 bits."""
     value, beyond, width = np.zeros(len(at), np.uint64), np.zeros(len(at), bool), end - at
@@ -133,6 +161,15 @@ def highest_before(group: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.where(before > 0, known[np.maximum(before, 1) - 1], np.uint64(0))
 
 
+def first_of(group: np.ndarray, places: np.ndarray, groups: int) -> np.ndarray:
+    """The first of some places, which ascend, in each group of places that
+    stand together; -1 where it has none."""
+    out = np.full(groups, -1, np.int64)
+    lead = places[firsts(group[places])]
+    out[group[lead]] = lead
+    return out
+
+
 def firsts(group: np.ndarray) -> np.ndarray:
     """The places where a new group begins, of groups that stand together."""
     if not len(group):
@@ -157,11 +194,11 @@ def texts(data: np.ndarray, start: np.ndarray, end: np.ndarray, valid: np.ndarra
     return pa.Array.from_buffers(pa.string(), len(start), [_valid(valid), pa.py_buffer(offsets), pa.py_buffer(data[: len(taken)][taken])])
 
 
-def decimals(value: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
-    """Unsigned numbers as ``decimal(20,0)``."""
+def decimals(value: np.ndarray, valid: np.ndarray | None = None, high: np.ndarray | int = 0, digits: int = 20) -> pa.Array:
+    """Unsigned numbers as decimals without places; ``high`` are their bits above 64."""
     raw = np.zeros((len(value), 2), np.uint64)
-    raw[:, 0] = value
-    return pa.Array.from_buffers(pa.decimal128(20, 0), len(value), [None if valid is None else _valid(valid), pa.py_buffer(raw)])
+    raw[:, 0], raw[:, 1] = value, high
+    return pa.Array.from_buffers(pa.decimal128(digits, 0), len(value), [None if valid is None else _valid(valid), pa.py_buffer(raw)])
 
 
 def stamps(h: np.ndarray, m: np.ndarray, s: np.ndarray, f: np.ndarray, valid: np.ndarray) -> pa.Array:

@@ -51,8 +51,7 @@ def _header(data: np.ndarray, at: np.ndarray, until: np.ndarray) -> tuple[np.nda
     gap = colon[live] + 10
     arrow = spans.past(data, gap, until[live], spans.BLANK)
     fine = (arrow > gap) & (arrow + 3 <= until[live])
-    for k, want in enumerate("-->"):
-        fine &= data[arrow + k] == ord(want)
+    fine &= spans.begins_with(data, arrow, "-->")
     ok[live[~fine]] = False
     live, arrow = live[fine], arrow[fine]
     second[live] = spans.past(data, arrow + 3, until[live], spans.BLANK)
@@ -108,9 +107,7 @@ def rows(ids: pa.Array, contents: pa.Array, options: SrtOptions) -> pa.RecordBat
     kind[digit] = np.where(problem[digit] == 0, NUMBER, BAD)
     # Each paragraph's first line that may begin an entry, and the line after it.
     begins = np.flatnonzero((kind == NUMBER) | ((kind == HEADER) & options.allow_missing_index))
-    first = np.full(len(top), -1)
-    lead = spans.firsts(para[begins])
-    first[para[begins[lead]]] = begins[lead]
+    first = spans.first_of(para, begins, len(top))
     found, at = first >= 0, np.maximum(first, 0)
     has_after = found & (first + 1 < end)
     after = np.where(has_after, at + 1, 0)
