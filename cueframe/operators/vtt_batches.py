@@ -3,11 +3,13 @@
 The rows of ``vtt.parse_vtt``, made in another way: lines, paragraphs, openers,
 arrows and timings of a batch are found together in numpy arrays, and
 identifiers, settings and bodies are slices of the documents' bytes.  Settings
-are then read from their texts by the expressions of ``vtt``.
+are read once for each text of them that a slice of a batch holds; regions, of
+which there are few, by the expressions of ``vtt``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,11 +22,52 @@ from cueframe.functions import spans
 from cueframe.operators import vtt
 
 STAMP = "struct<h:decimal(20,0),m:int,s:int,f:int>"
-SCHEMA = f"ordinal int, block_type string, identifier string, start {STAMP}, end {STAMP}, start_ms decimal(30,0), end_ms decimal(30,0), _settings string, body string, error string"
+SETTINGS = "struct<vertical:string,line:struct<pct:double,num:int,align:string>,position:struct<pct:double,align:string>,size:double,align:string,region:string>"
+SCHEMA = f"ordinal int, block_type string, identifier string, start {STAMP}, end {STAMP}, start_ms decimal(30,0), end_ms decimal(30,0), settings {SETTINGS}, body string, error string"
 OPENERS = ("NOTE", "STYLE", "REGION")
 CUE = len(OPENERS) + 1
 TYPES = pa.array(["none", *(w.lower() for w in OPENERS), "cue"])
 ERRORS = pa.array(["MissingSignature", "InvalidSignature"])
+_LINE = pa.struct([("pct", pa.float64()), ("num", pa.int32()), ("align", pa.string())])
+_POSITION = pa.struct([("pct", pa.float64()), ("align", pa.string())])
+SETTINGS_TYPE = pa.struct([("vertical", pa.string()), ("line", _LINE), ("position", _POSITION), ("size", pa.float64()), ("align", pa.string()), ("region", pa.string())])
+_PERCENT, _WHOLE = re.compile(rf"({vtt._FLOAT})%"), re.compile(r"[+-]?0*[0-9]{1,18}")
+
+
+def _percentage(text: str) -> float | None:
+    found = _PERCENT.fullmatch(text)
+    value = float(found[1]) if found else -1.0
+    return value if 0 <= value <= 100 else None
+
+
+def cue_settings(text: str) -> dict | None:
+    """The settings after a timing, the last valid one of each key; None where none is valid."""
+    found: dict = {}
+    for token in re.split("[ \t\f]", text):
+        key, colon, value = token.partition(":")
+        if colon and not value:
+            break
+        head, comma, tail = value.partition(",")
+        if key == "vertical" and value in vtt.VERTICAL or key == "align" and value in vtt.ALIGN or key == "region" and colon:
+            found[key] = value
+        elif key == "size":
+            size = _percentage(value)
+            found |= {} if size is None else {"size": size}
+        elif key == "line" and (not comma or tail in vtt.LINE_ALIGN):
+            pct, num = _percentage(head), int(head) if _WHOLE.fullmatch(head) else None
+            if pct is not None or num is not None and -(2**31) <= num < 2**31:
+                found[key] = {"pct": pct, "num": num, "align": tail if comma else None}
+        elif key == "position" and (not comma or tail in vtt.POSITION_ALIGN):
+            pct = _percentage(head)
+            if pct is not None:
+                found[key] = {"pct": pct, "align": tail if comma else None}
+    return found or None
+
+
+def _settings(texts: pa.Array) -> pa.Array:
+    coded = texts.dictionary_encode()
+    each = [cue_settings(t.decode("utf-8", "replace")) for t in coded.dictionary.cast(pa.binary()).to_pylist()]
+    return pa.array(each, SETTINGS_TYPE).take(coded.indices)
 
 
 def _stamp(data: np.ndarray, at: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,10 +211,10 @@ def rows(ids: pa.Array, contents: pa.Array) -> pa.RecordBatch:
     stamp = [_times(data, more(a), more(b), is_cue) for a, b in ((h, first), (g, second))]
     columns = [
         ids.take(pa.array(out)), pa.array(ordinal, pa.int32()), TYPES.take(pa.array(more(sort), pa.int32(), mask=~real)), spans.texts(data, more(text[before]), more(text_end[before]), named),
-        stamp[0][0], stamp[1][0], stamp[0][1], stamp[1][1], spans.texts(data, more(rest), more(text_end[starts]), is_cue), spans.texts(data, more(body), more(final), real),
+        stamp[0][0], stamp[1][0], stamp[0][1], stamp[1][1], _settings(spans.texts(data, more(rest), more(text_end[starts]), is_cue)), spans.texts(data, more(body), more(final), real),
         ERRORS.take(pa.array(np.concatenate([np.zeros(n, np.int32), fault[faults]]), pa.int32(), mask=real)),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "ordinal", "block_type", "identifier", "start", "end", "start_ms", "end_ms", "_settings", "body", "error"])
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "ordinal", "block_type", "identifier", "start", "end", "start_ms", "end_ms", "settings", "body", "error"])
 
 
 def reader(most: int = spans.SLICE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -194,11 +237,6 @@ def parse_vtt(docs: DataFrame, most: int = spans.SLICE) -> DataFrame:
     """
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string(SCHEMA).fields]
     found = docs.where(F.col("content").isNotNull()).select("doc_id", "content").mapInArrow(reader(most), T.StructType(fields))
-    kinds = T._parse_datatype_string(vtt.BLOCK)
-    region, cue, body = F.col("block_type") == "region", F.col("block_type") == "cue", F.col("body")
-    made = {
-        "settings": F.when(cue, vtt.cue_settings(F.col("_settings"))).cast(kinds["settings"].dataType),
-        "region": F.when(region, vtt.region_settings(body)).cast(kinds["region"].dataType),
-        "body": F.when(~region, body),
-    }
+    region = F.col("block_type") == "region"
+    made = {"region": F.when(region, vtt.region_settings(F.col("body"))).cast(T._parse_datatype_string(vtt.BLOCK)["region"].dataType), "body": F.when(~region, F.col("body"))}
     return found.select("doc_id", "ordinal", *[made.get(c, F.col(c)).alias(c) for c in vtt.FIELDS])

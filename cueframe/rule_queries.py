@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from cueframe.functions import ass_text, srt_text, times, trees, vtt_text
 from cueframe.functions.lines import BOM
 from cueframe.operators.ass import parse_ass, parse_event_line, split_fields, write_ass
+from cueframe.operators import srt_batches, vtt_batches
 from cueframe.operators.srt import parse_srt, write_srt
 from cueframe.operators.vtt import parse_vtt, write_vtt
 from cueframe.plans.options import AssOptions, EventFormat, SrtOptions
-from cueframe.queries import _table, query
+from cueframe.queries import _documents, _events, _numbered, _srt_time, _table, _timing, _vtt_time, query
 from cueframe.sources.large import read_large_srt, scratch, write_srt_files
 from cueframe.streaming.ordered import order_packets
 from cueframe.streaming.packets import clean_packets, event_packets
@@ -311,3 +312,40 @@ def srt_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "customer").select(key.alias("doc_id"), content.alias("content"))
     options = SrtOptions.from_json('{"ignore_orphan_text": true, "ignore_broken_header": true}')
     return write_srt(parse_srt(docs, options).where("error is null"), docs)
+
+
+@query("""
+with e as (select *, row_number() over (partition by user_id order by event_id) rn, count(*) over (partition by user_id) n from events)
+select user_id doc_id, rn - 1 as ordinal, case when rn % 40 > 0 then rn end idx, case when rn % 40 > 0 then rn * 2000 end start_ms, case when rn % 40 > 0 then event_type || chr(10) || event_id end body,
+case when rn % 40 = 0 then 'NonMonotonicIndex' end error, case when rn % 40 = 0 then (rn - 1) || ' ' || (rn - 1) end detail from e where rn <= 40""")
+def srt_batch_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries read by batches; the fortieth of a user repeats an index, which ends a document."""
+    rn = F.col("rn")
+    index = F.when(rn % 40 == 0, rn - 1).otherwise(rn)
+    text = _text(index, "\r\n", _timing(rn, _srt_time), F.col("event_type"), "\n", F.col("event_id"), "\r\n\n")
+    found = srt_batches.parse_srt(_documents(_events(spark, sf_dir), "user_id", "rn", text))
+    detail = F.concat_ws(" ", F.col("error_detail")["last"], F.col("error_detail")["got"])
+    return found.select(
+        "doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("index").cast("long").alias("idx"), "start_ms", "body", "error", F.when(F.col("error").isNotNull(), detail).alias("detail")
+    )
+
+
+@query("""
+with o as (select *, row_number() over (partition by o_custkey order by o_orderkey) rn from orders)
+select o_custkey doc_id, 2 * (rn - 1) + b as ordinal, case when b = 1 then 'cue' when rn = 1 then 'region' else 'note' end block_type, case when b = 1 then 'order ' || o_orderkey end identifier,
+case when b = 1 then rn * 2000 end start_ms, case when b = 1 then rn * 2000 + 1500 end end_ms, case when b = 1 and rn % 2 = 1 then rn % 40 + 0.25::double end pos_pct, case when b = 1 and rn % 2 = 1 then 'line-right' end pos_align,
+case when b = 1 and rn % 2 = 0 then -rn end line_num, case when b = 1 then o_orderpriority when rn > 1 then o_orderstatus || chr(10) || 'more' end body, case when b = 0 and rn = 1 then o_orderkey % 1000 end lines
+from o, (values (0), (1)) t(b)""")
+def vtt_batch_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks read by batches: a region before the first cue, a note before each other one."""
+    rn, key = F.col("rn"), F.col("o_orderkey")
+    opener = F.when(rn == 1, _text("REGION\nid:a\nlines:", key % 1000, "\n\n")).otherwise(_text("NOTE  ", F.col("o_orderstatus"), "\rmore\n\n"))
+    settings = F.when(rn % 2 == 1, _text(" position:", rn % 100, ".25%,line-right position:x")).otherwise(_text(" line:", -rn))
+    text = _text(opener, "order ", key, "\n", F.regexp_replace(_timing(rn, _vtt_time), r"\n", ""), settings, "\r\n", F.col("o_orderpriority"), "\r\n\r\n")
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    found = vtt_batches.parse_vtt(_documents(_numbered(orders, "o_custkey", "o_orderkey"), "o_custkey", "rn", text, "WEBVTT\n\n"))
+    s = F.col("settings")
+    return found.select(
+        "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "block_type", "identifier", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), s["position"]["pct"].alias("pos_pct"),
+        s["position"]["align"].alias("pos_align"), s["line"]["num"].cast("long").alias("line_num"), F.regexp_replace("body", "\r", "\n").alias("body"), F.col("region")["lines"].alias("lines"),
+    )

@@ -78,6 +78,10 @@ def test_public_files(spark):
 
 
 V = "00:01.000 --> 00:02.000"
+SETTINGS = ["vertical:rl", "vertical:up", "line:5", "line:-3,end", "line:2147483648", "line:50%,center", "line:5,up", "line:+007", "line:1e1%", "position:5%", "position:+.5e1%,line-left", "position:5", "position:101%,auto", "size:100%", "size:1.%", "size:-0%",
+            "align:left", "align:middle", "region:é", "region:a:b", "region:", ":x", "x", "line:", "size:1%é", "size:１%", ""]
+
+
 BLOCKS = [
     V, f"{V} align:start line:5,end size:10%", f"  \t{V}", f"﻿{V}", "1:00:01.000 --> 18446744073709551615:00:02.000", "18446744073709551616:00:01.000 --> 20:00:02.000", f"{'0' * 30}7:00:01.000\t-->\f00:02.000 position:5%",
     "100:01.000 --> 00:02.000", "0:1.000 --> 00:02.000", "00:61.000 --> 00:02.000", "00:01.000-->00:02.000", "00:01.000 --> 00:02.00", "00:01.0000 --> 00:02.000", "-->", "a --> b", "--", ">", "NOTE", "NOTE about", "NOTE\tx --> y",
@@ -88,7 +92,8 @@ BLOCKS = [
 def made_vtt(rng):
     ends = rng.choice([["\n"], ["\r\n"], ["\r"], ["\n", "\r\n", "\r"]])
     head = rng.choice(["WEBVTT", "WEBVTT", "WEBVTT", "WEBVTT about", "﻿WEBVTT\tx", "WEBVTTX", "WEB", ""])
-    lines = "".join(rng.choice(BLOCKS) + rng.choice(ends) for _ in range(rng.randint(0, 16)))
+    timed = lambda: V + "".join(rng.choice(" \t\f") + rng.choice(SETTINGS) for _ in range(rng.randint(0, 4)))
+    lines = "".join((timed() if rng.random() < 0.2 else rng.choice(BLOCKS)) + rng.choice(ends) for _ in range(rng.randint(0, 16)))
     return (head + rng.choice(ends) * rng.randint(0, 2) + lines)[: rng.choice([-1, None, None])]
 
 
