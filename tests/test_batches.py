@@ -1,11 +1,14 @@
 """Parsing by batches gives the rows of parsing by expressions."""
 
+import contextlib
 import glob
+import io
 import itertools
 import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cueframe.operators import srt, srt_batches, vtt, vtt_batches
 from cueframe.plans.options import SrtOptions
@@ -121,3 +124,17 @@ def test_webvtt_public_files(spark):
     texts = [open(p, "rb").read().decode("utf-8", "replace") for p in paths]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string").repartition(8)
     assert by_text(vtt_batches.parse_vtt(docs)) == by_text(vtt.parse_vtt(docs))
+
+
+def test_streams_and_plans_without_shuffles(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"1\n{T}\n{i}\n", f"WEBVTT\n\n{V}\n{i}") for i in range(20)], "doc_id int, srt string, vtt string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/docs")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/docs")
+    for name, read in (("srt", srt_batches.parse_srt), ("vtt", vtt_batches.parse_vtt)):
+        run = read(stream.withColumn("content", stream[name])).writeStream.format("memory").queryName(f"batches_{name}").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        run.awaitTermination(60)
+        assert sorted((r["doc_id"], r["body"]) for r in spark.table(f"batches_{name}").collect()) == [(i, str(i)) for i in range(20)]
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            read(spark.read.parquet(f"{tmp_path}/docs").withColumn("content", F.col(name))).explain()
+        assert "Exchange" not in out.getvalue() and f"ReadSchema: struct<doc_id:int,{name}:string>" in out.getvalue()
