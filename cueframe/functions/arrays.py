@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that a running fold takes in one go.
@@ -43,6 +43,15 @@ def running(items: Column, zero: Column, step: Callable[[Column, Column], Column
     return let(items, run)
 
 
+def exploded(rows: DataFrame, items: str, at: str, item: str) -> DataFrame:
+    """Other columns, ``at`` and ``item`` for each of ``items``.  Spark puts a
+    filter on the size of what an inner explode takes below whatever lies under
+    it, where the items are then made as often as their expression is inlined;
+    an outer one has none, and its rows without an item are left out."""
+    others = [c for c in rows.columns if c != items]
+    return rows.select(*others, F.posexplode_outer(items).alias(at, item)).where(F.col(at).isNotNull())
+
+
 def first_place(items: Column, test: Callable[[Column], Column]) -> Column:
     """The place, from 1, of the first item that passes; 0 if none does."""
     return F.array_position(F.transform(items, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(True)).cast("int")

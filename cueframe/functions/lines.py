@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as a regex class (fixed values).
 WHITE = r"\t\n\x0B\f\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters.
+WHITE_CHARACTERS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BOM = "\ufeff"
 
 
@@ -29,15 +31,15 @@ def without_bom(line: Column) -> Column:
 
 
 def trim_white(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.btrim(c, F.lit(WHITE_CHARACTERS))
 
 
 def trim_start_white(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WHITE}]+", "")
+    return F.ltrim(c, F.lit(WHITE_CHARACTERS))
 
 
 def trim_end_white(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{WHITE}]+\z", "")
+    return F.rtrim(c, F.lit(WHITE_CHARACTERS))
 
 
 def body_of(lines: Column, lone_cr: bool) -> Column:

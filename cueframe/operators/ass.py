@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueframe.functions import times
-from cueframe.functions.arrays import first_place, let, running
+from cueframe.functions.arrays import exploded, first_place, let, running
 from cueframe.functions.lines import raw_lines, trim_end_white, trim_start_white, trim_white, unterminated, with_all, without_bom
 from cueframe.plans.options import EVENT_FIELDS, AssOptions, EventFormat, event_format
 
@@ -26,10 +26,14 @@ WORDS = {"Marked": "marked", "Style": "style", "Name": "name", "Effect": "effect
 
 def canonical(name: Column, names: tuple[str, ...]) -> Column:
     """The known name that equals this one but for ASCII case, or null."""
-    found = F.lit(None).cast("string")
-    for n in names:
-        found = F.when(F.lower(name) == n.lower(), n).otherwise(found)
-    return found
+
+    def known(low: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for n in names:
+            found = F.when(low == n.lower(), n).otherwise(found)
+        return found
+
+    return let(F.lower(name), known)
 
 
 def split_fields(value: Column) -> Column:
@@ -40,8 +44,11 @@ def split_fields(value: Column) -> Column:
 def _number(text: Column, field: str) -> Column:
     sign = "[+-]?" if field == "Layer" else r"\+?"
     low, high = (-(2**31), 2**31 - 1) if field == "Layer" else (0, 2**32 - 1)
-    value = F.when(text.rlike(rf"^{sign}0*[0-9]{{1,18}}\z"), F.regexp_replace(text, r"^\+", "").try_cast("long"))
-    return F.when(value.between(low, high), value)
+
+    def number(t: Column) -> Column:
+        return F.when(t.rlike(rf"^{sign}0*[0-9]{{1,18}}\z"), F.ltrim(t, F.lit("+")).try_cast("long"))
+
+    return let(let(text, number), lambda v: F.when(v.between(low, high), v))
 
 
 def _time_problem(t: Column) -> Column:
@@ -65,7 +72,7 @@ def split_row(row: Column, columns: Column) -> Column:
 
 
 def _value(cell: Column) -> Column:
-    return F.nullif(trim_white(cell), F.lit(""))
+    return let(trim_white(cell), lambda t: F.when(t != "", t))
 
 
 def event_error(cells: Column, columns: Column, options: AssOptions = AssOptions()) -> Column:  # noqa: B008
@@ -92,35 +99,43 @@ def event_error(cells: Column, columns: Column, options: AssOptions = AssOptions
 def event_of(kind: Column, row: Column, cells: Column, columns: Column) -> Column:
     """The event struct of a row's cells: ``Text`` is verbatim, other fields
     are trimmed, and empty ones null."""
-    at = {f: (F.array_position(columns, f) - 1).cast("int") for f in EVENT_FIELDS}
-    value = {f: _value(F.get(cells, at[f])) for f in EVENT_FIELDS}
-    return F.struct(
-        kind.alias("kind"),
-        *[_number(value[f], f).alias(c) for f, c in NUMBERS.items()],
-        *[times.ass(value[f]).alias(c) for f, c in TIMES.items()],
-        *[value[f].alias(c) for f, c in WORDS.items()],
-        F.coalesce(F.get(cells, at["Text"]), F.lit("")).alias("text"),
-        row.alias("row"),
-        F.size(columns).alias("columns"),
-    )
+
+    def made(cells: Column) -> Column:
+        cell = {f: F.get(cells, (F.array_position(columns, f) - 1).cast("int")) for f in EVENT_FIELDS}
+        return F.struct(
+            kind.alias("kind"),
+            *[_number(_value(cell[f]), f).alias(c) for f, c in NUMBERS.items()],
+            *[let(_value(cell[f]), lambda v: F.when(v.isNotNull(), times.ass(v))).alias(c) for f, c in TIMES.items()],
+            *[_value(cell[f]).alias(c) for f, c in WORDS.items()],
+            F.coalesce(cell["Text"], F.lit("")).alias("text"),
+            row.alias("row"),
+            F.size(columns).alias("columns"),
+        )
+
+    return let(cells, made)
 
 
 def parse_event(kind: Column, row: Column, columns: Column, options: AssOptions = AssOptions()) -> tuple[Column, Column]:  # noqa: B008
     """``(event struct, error)`` of a row under an array of column names."""
     cells = split_row(row, columns)
-    return event_of(kind, row, cells, columns), event_error(cells, columns, options)
+    return event_of(kind, row, cells, columns), let(cells, lambda c: event_error(c, columns, options))
 
 
 def parse_event_line(line: Column, columns: Column, options: AssOptions = AssOptions()) -> tuple[Column, Column]:  # noqa: B008
     """The same of a line with its keyword, as ``Dialogue: 0,...``; a line
     without a known one is ``UnexpectedLine``."""
-    text = trim_start_white(line)
-    kind = canonical(trim_end_white(F.substring_index(text, ":", 1)), EVENT_KINDS)
-    kind = F.when(F.instr(text, ":") > 0, kind)
-    row = F.regexp_replace(F.substring(text, F.instr(text, ":") + 1, F.length(text)), r"^[ \t]+", "")
-    event, error = parse_event(kind, row, columns, options)
-    error = F.when(kind.isNull(), "UnexpectedLine").otherwise(error)
-    return F.when(error.isNull(), event), error
+    def read(text: Column) -> Column:
+        colon = F.instr(text, ":")
+        kind = F.when(colon > 0, canonical(trim_end_white(F.substring_index(text, ":", 1)), EVENT_KINDS))
+        row = F.ltrim(F.substring(text, colon + 1, F.length(text)), F.lit(" \t"))
+        return let(F.struct(kind.alias("kind"), row.alias("row")), lambda x: let(split_row(x["row"], columns), lambda cells: told(x, cells)))
+
+    def told(x: Column, cells: Column) -> Column:
+        error = F.when(x["kind"].isNull(), "UnexpectedLine").otherwise(event_error(cells, columns, options))
+        return let(error, lambda e: F.struct(F.when(e.isNull(), event_of(x["kind"], x["row"], cells, columns)).alias("event"), e.alias("error")))
+
+    both = let(trim_start_white(line), read)
+    return both["event"], both["error"]
 
 
 def event_field(event: Column, index: Column) -> Column:
@@ -133,12 +148,14 @@ STATE = "struct<section:string,format:array<string>>"
 
 def _line(text: Column, line: Column) -> Column:
     """What a line tells without its section."""
-    bare = trim_end_white(text)
-    closed = F.regexp_extract(bare, r"(?s)^\[(.*)\]\z", 1)
-    opened = F.when(text.startswith("[") & bare.rlike(r"(?s)^\[.*\]\z"), F.coalesce(canonical(closed, SECTIONS), closed))
+
+    def closed(bare: Column) -> Column:
+        return F.when(bare.endswith("]"), F.substring(bare, F.lit(2), F.length(bare) - 2))
+
+    opened = F.when(text.startswith("["), let(let(trim_end_white(text), closed), lambda name: F.coalesce(canonical(name, SECTIONS), name)))
     colon = F.instr(text, ":")
     key = F.when(colon > 0, trim_end_white(F.substring(text, F.lit(1), colon - 1)))
-    value = F.when(colon > 0, F.regexp_replace(F.substring(text, colon + 1, F.length(text)), r"^[ \t]+", ""))
+    value = F.when(colon > 0, F.ltrim(F.substring(text, colon + 1, F.length(text)), F.lit(" \t")))
     return F.struct(line.alias("line"), text.alias("text"), opened.alias("opened"), key.alias("key"), value.alias("value"))
 
 
@@ -168,24 +185,26 @@ def told(rows: DataFrame, lines: str, out: str, before: Column, options: AssOpti
     rows = rows.withColumn("_ss", running(F.col(lines), before, step, STATE))
 
     def judged(x: Column, s: Column) -> Column:
-        section = F.coalesce(x["opened"], s["section"])
+        return let(F.coalesce(x["opened"], s["section"]), lambda section: let(kind_of(x, section), lambda k: known(x, s, section, k)))
+
+    def kind_of(x: Column, section: Column) -> Column:
         mark = F.when(section == "Fonts", "fontname:").when(section == "Graphics", "filename:")
-        styled = section.isin("V4 Styles", "V4+ Styles") | (~section.isin(*SECTIONS) & trim_end_white(section).rlike(r"(?i)styles\z"))
+        styled = section.isin("V4 Styles", "V4+ Styles") | (~section.isin(*SECTIONS) & F.lower(trim_end_white(section)).endswith("styles"))
         text, key = x["text"], x["key"]
         kind = F.when(x["opened"].isNotNull(), "section").when(text.startswith("["), "unclosed").when(mark.isNotNull() & ~text.startswith(mark), "data")
         kind = kind.when(text.startswith(";"), "comment").when(F.coalesce(key, F.lit("")) == "", "unexpected").when(F.lower(key) == "format", "format")
-        kind = kind.when((F.lower(key) == "style") & styled, "style").when((section == "Events") & canonical(key, EVENT_KINDS).isNotNull(), "event").otherwise("property")
-        columns = F.coalesce(s["format"], begin)
+        kind = kind.when((F.lower(key) == "style") & styled, "style").when((section == "Events") & F.lower(key).isin(*map(str.lower, EVENT_KINDS)), "event")
+        return kind.otherwise("property")
 
-        def known(k: Column) -> Column:
-            cells = F.when(k == "event", split_row(x["value"], columns))
-            return let(cells, lambda c: F.struct(
-                k.alias("kind"), section.alias("section"), text.alias("text"), x["line"].alias("line"), key.alias("key"), x["value"].alias("value"),
-                F.when(k == "event", event_of(canonical(key, EVENT_KINDS), x["value"], c, columns)).alias("event"),
-                F.when(k == "unclosed", "UnclosedSection").when(k == "unexpected", "UnexpectedLine").when(k == "event", event_error(c, columns, options)).alias("error"),
-            ))
+    def known(x: Column, s: Column, section: Column, k: Column) -> Column:
+        def of_event(columns: Column) -> Column:
+            return let(split_row(x["value"], columns), lambda c: F.struct(event_of(canonical(x["key"], EVENT_KINDS), x["value"], c, columns).alias("event"), event_error(c, columns, options).alias("error")))
 
-        return let(kind, known)
+        read = F.when(k == "event", let(F.coalesce(s["format"], begin), of_event))
+        return let(read, lambda e: F.struct(
+            k.alias("kind"), section.alias("section"), x["text"].alias("text"), x["line"].alias("line"), x["key"].alias("key"), x["value"].alias("value"), e["event"].alias("event"),
+            F.when(k == "unclosed", "UnclosedSection").when(k == "unexpected", "UnexpectedLine").otherwise(e["error"]).alias("error"),
+        ))
 
     found = F.zip_with(lines, "_ss", judged)
     if options.ignore_unknown_lines:
@@ -224,7 +243,7 @@ def parse_ass(docs: DataFrame, options: AssOptions = AssOptions()) -> DataFrame:
     Rows of one ``doc_id`` are read apart; null and empty contents have no rows.
     """
     rows = docs.select("doc_id", lines_of(F.col("content"), F.lit(True)).alias("_ls"))
-    out = told(rows, "_ls", "_bs", start_state(), options).select("doc_id", F.posexplode("_bs").alias("ordinal", "b"))
+    out = exploded(told(rows, "_ls", "_bs", start_state(), options), "_bs", "ordinal", "b")
     return out.select("doc_id", "ordinal", "b.*").select("doc_id", "ordinal", *block_fields())
 
 

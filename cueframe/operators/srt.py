@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueframe.functions import times
-from cueframe.functions.arrays import first_place, let, running
+from cueframe.functions.arrays import exploded, first_place, let, running
 from cueframe.functions.lines import BOM, body_of, raw_lines, unterminated, with_all, without_bom
 from cueframe.plans.options import SrtOptions
 
@@ -102,7 +102,7 @@ def parse_srt(docs: DataFrame, options: SrtOptions = SrtOptions()) -> DataFrame:
     Rows of one ``doc_id`` are read apart; a null or empty content has no rows.
     """
     rows = docs.select("doc_id", paragraphs(F.col("content"), options).alias("_ps"))
-    out = told(rows, "_ps", "_es", F.lit(0), options).select("doc_id", F.posexplode("_es").alias("ordinal", "e"))
+    out = exploded(told(rows, "_ps", "_es", F.lit(0), options), "_es", "ordinal", "e")
     return out.select("doc_id", "ordinal", *[f"e.{c}" for c in FIELDS])
 
 

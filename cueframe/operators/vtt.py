@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueframe.functions import times
-from cueframe.functions.arrays import first_place, let
+from cueframe.functions.arrays import exploded, first_place, let
 from cueframe.functions.lines import BOM, body_of, raw_lines, trim_start_white, trim_white, unterminated, with_all, without_bom
 from cueframe.functions.vtt_text import serialize
 
@@ -230,7 +230,7 @@ def parse_vtt(docs: DataFrame) -> DataFrame:
     """
     rows = docs.where(F.col("content").isNotNull()).select("doc_id", "content", signature_error(F.col("content")).alias("error"))
     rows = rows.select("doc_id", "error", F.when(F.col("error").isNull(), paragraphs(F.col("content"), F.lit(True))).alias("_ps"))
-    out = told(rows, "_ps", "_bs", F.col("error"), F.lit(False)).select("doc_id", F.posexplode("_bs").alias("ordinal", "b"))
+    out = exploded(told(rows, "_ps", "_bs", F.col("error"), F.lit(False)).select("doc_id", "_bs"), "_bs", "ordinal", "b")
     return out.select("doc_id", "ordinal", *[f"b.{c}" for c in FIELDS])
 
 

@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, fields
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cueframe.functions.arrays import let
+
 
 class _Json:
     """Snake-case keys; a missing key takes its default; an unknown one is ignored."""
@@ -136,9 +138,12 @@ class EventFormat:
 def event_format(declared: Column) -> Column:
     """``EventFormat.declared`` of a column: an array of names, null where none counts."""
     names = F.transform(F.split(declared, ",", 256), lambda p: F.lower(F.regexp_replace(p, r"^[\s\xA0]+|[\s\xA0]+\z", "")))
-    names = F.slice(names, 1, 255)
     known = F.create_map(*[F.lit(x) for f in EVENT_FIELDS for x in (f.lower(), f)], F.lit("actor"), F.lit("Name"))
-    named = F.transform(names, lambda n: F.try_element_at(known, n))
-    # Of equal names the last one counts: an earlier one finds itself again in what follows.
-    later = lambda n, i: F.array_contains(F.slice(named, i + 2, 255), n)
-    return F.when(F.trim(declared) == "", F.array().cast("array<string>")).otherwise(F.transform(named, lambda n, i: F.when(n.isNotNull() & ~F.coalesce(later(n, i), F.lit(False)), n)))
+    named = F.transform(F.slice(names, 1, 255), lambda n: F.try_element_at(known, n))
+
+    def once(ns: Column) -> Column:
+        # Of equal names the last one counts: an earlier one finds itself again in what follows.
+        later = lambda n, i: F.array_contains(F.slice(ns, i + 2, 255), n)
+        return F.transform(ns, lambda n, i: F.when(n.isNotNull() & ~F.coalesce(later(n, i), F.lit(False)), n))
+
+    return F.when(F.trim(declared) == "", F.array().cast("array<string>")).otherwise(let(named, once))
