@@ -43,22 +43,29 @@ def tokens(body: Column) -> Column:
     Text, StartTag, EndTag or Timestamp; other tags are left out.  Texts,
     classes and annotations are raw."""
 
+    def made(kind: str, tag: Column | None = None, classes: Column | None = None, annotation: Column | None = None, text: Column | None = None, ts: Column | None = None) -> Column:
+        fields = {"kind": F.lit(kind), "tag": tag, "classes": classes, "annotation": annotation, "text": text, "ts": ts}
+        return F.struct(*((F.lit(None) if value is None else value).alias(name) for name, value in fields.items())).cast(TOKEN)
+
+    def opened(t: Column) -> Column:
+        tag = F.regexp_extract(t, rf"^<({TAGS})", 1)
+
+        def noted(inner: Column) -> Column:
+            classes = F.regexp_replace(F.regexp_extract(inner, r"^[^\t\n\f ]*", 0), r"^\.", "")
+            note = F.regexp_replace(F.regexp_extract(inner, r"(?s)^[^\t\n\f ]*[\t\n\f ](.*)\z", 1), r"^[\t\n\f\r ]+|[\t\n\f\r ]+\z", "")
+            return made("StartTag", tag, classes, let(note, lambda n: F.when(n != "", n)))
+
+        bare = made("StartTag", tag, F.lit(""))
+        return let(F.regexp_replace(F.regexp_replace(t, rf"^<{TAGS}", ""), r">\z", ""), lambda inner: F.when(inner == "", bare).otherwise(noted(inner)))
+
     def token(t: Column) -> Column:
-        ended = t.rlike(r">\z")
-        start, end = t.rlike(rf"^(?:{START}>|{START})\z"), t.rlike(rf"^{END}\z")
-        stamp = t.rlike(rf"^(?:{STAMP}|{LOOSE_STAMP})\z")
-        inner = F.regexp_replace(F.regexp_replace(t, rf"^<{TAGS}", ""), r">\z", "")
-        classes = F.regexp_replace(F.regexp_extract(inner, r"^[^\t\n\f ]*", 0), r"^\.", "")
-        note = F.regexp_replace(F.regexp_extract(inner, r"(?s)^[^\t\n\f ]*[\t\n\f ](.*)\z", 1), r"^[\t\n\f\r ]+|[\t\n\f\r ]+\z", "")
-        ts = F.when(stamp, times.vtt(F.regexp_replace(t, "[<>]", "")))
-        kind = F.when(~t.startswith("<"), "Text").when(start, "StartTag").when(end & ended, "EndTag").when(ts.isNotNull(), "Timestamp")
-        tag = F.when(start | end, F.regexp_extract(t, rf"^</?({TAGS})", 1))
-        return F.struct(
-            kind.alias("kind"), tag.alias("tag"), F.when(start, classes).alias("classes"), F.when(start & (note != ""), note).alias("annotation"), F.when(kind == "Text", t).alias("text"), ts.alias("ts")
-        ).cast(TOKEN)
+        stamp = F.when(t.rlike(rf"^(?:{STAMP}|{LOOSE_STAMP})\z"), times.vtt(F.regexp_replace(t, "[<>]", "")))
+        stamped = let(stamp, lambda ts: F.when(ts.isNotNull(), made("Timestamp", ts=ts)))
+        ended = made("EndTag", F.regexp_extract(t, rf"^</({TAGS})", 1))
+        return F.when(~t.startswith("<"), made("Text", text=t)).when(t.rlike(rf"^{START}>?\z"), opened(t)).when(t.rlike(rf"^{END}\z"), ended).otherwise(stamped)
 
     found = F.regexp_extract_all(body, F.lit(r"([^<]+|<[^>]*>?)"), F.lit(1))
-    return F.filter(F.transform(found, token), lambda t: t["kind"].isNotNull())
+    return F.filter(F.transform(found, token), lambda t: t.isNotNull())
 
 
 def _prefixes(names: list[str]) -> str:

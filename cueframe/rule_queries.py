@@ -15,7 +15,7 @@ from cueframe.operators import srt_batches, vtt_batches
 from cueframe.operators.srt import parse_srt, write_srt
 from cueframe.operators.vtt import parse_vtt, write_vtt
 from cueframe.plans.options import AssOptions, EventFormat, SrtOptions
-from cueframe.queries import _documents, _events, _numbered, _srt_time, _table, _timing, _vtt_time, query
+from cueframe.queries import _documents, _events, _numbered, _spread, _srt_time, _table, _timing, _vtt_time, query
 from cueframe.sources.large import read_large_srt, scratch, write_srt_files
 from cueframe.streaming.ordered import order_packets
 from cueframe.streaming.packets import clean_packets, event_packets
@@ -52,7 +52,7 @@ def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of container packets, which carry a read order and no times."""
     key = F.col("o_orderkey")
     row = F.when(key % 3 == 0, _text(key, ",", key % 9)).otherwise(_text(key, ", ", key % 9 - 4, " ,Default,A,0,0,0,,{\\i1}", F.col("o_orderpriority"), ", yes"))
-    found = event_packets(_table(spark, sf_dir, "orders").select("o_orderkey", row.alias("row")))
+    found = event_packets(_spread(_table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", row.alias("row")))
     fine = F.col("error").isNull()
     found = found.select("o_orderkey", F.when(fine, F.col("event.read_order")).alias("read_order"), F.when(fine, F.col("event.layer")).alias("layer"), F.when(fine, F.col("event.text")).alias("body"), "error")
     return clean_packets(found, "ass").drop("body")
@@ -79,8 +79,8 @@ case when cast(big as hugeint) * 5 <= 18446744073709551615 then cast(cast(big as
 def unit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours, seconds, milliseconds and centiseconds by themselves."""
     key = F.col("p_partkey")
-    big = (key * 4611686018427388).cast("decimal(38,0)") * 5
-    rows = _table(spark, sf_dir, "part").select(
+    big = key.cast("decimal(20,0)") * F.lit(4611686018427388 * 5).cast("decimal(17,0)")
+    rows = _spread(_table(spark, sf_dir, "part"), "p_partkey").select(
         "p_partkey", times.unit((key % 1300).cast("string"), "hour").alias("h"), times.unit((F.col("p_size") * 2).cast("string"), "second").alias("s"), times.unit((key % 1100).cast("string"), "millisecond").alias("m"),
         times.unit(_text("x", key), "minute").alias("w"), times.unit(F.lpad((key % 100).cast("string"), 2, "0"), "centisecond").alias("c"), times.show_hour(key).alias("hour_shown"), times.long_hour(big.cast("string")).alias("l"),
     )
@@ -115,7 +115,7 @@ def srt_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes of start tags, known ones among them, and how tags, attributes and codes are shown."""
     key = F.col("c_custkey")
     body = _text('<FONT \tcolor="', F.col("c_mktsegment"), '" Size=', key % 7, ' bold x="a b" >', F.col("c_name"), "</font\t>{\\an", key % 9 + 1, "}")
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", srt_text.tokens(body).alias("ts"))
+    rows = _spread(_table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", srt_text.tokens(body).alias("ts"))
     rows = rows.select("c_custkey", "ts", srt_text.attributes(F.col("ts")[0]["attributes"]).alias("attrs"))
     ts, attrs = F.col("ts"), F.col("attrs")
     return rows.select(
@@ -131,7 +131,7 @@ def vtt_bad_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timing lines out of range are passed over with their text; timestamp tags out of range and tags without an end in cue text."""
     body = _text("<00:01.500>x<00:99.000>y<18446744073709551615:00:02.000>", F.col("c_name"), "<18446744073709551616:00:02.000><b")
     content = _text("WEBVTT\n\n00:61.000 --> 00:62.000\nlost\n\n00:0a.000 --> 00:01.000\nlost\n\n18446744073709551616:00:00.000 --> 00:01.000\nlost\n\n00:01.000 -> 00:02.000\nlost\n\n00:01.000 --> 00:02.000\n", body, "\n")
-    cues = parse_vtt(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name"), content.alias("content"))).where("block_type = 'cue'")
+    cues = vtt_batches.parse_vtt(_spread(_table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.col("c_name"), content.alias("content"))).where("block_type = 'cue'")
     rows = cues.select("doc_id", vtt_text.tokens(F.col("body")).alias("ts"))
     shown = lambda t: F.when(t["ts"]["h"] == 0, F.concat(F.lit("00:"), times.encode_vtt(t["ts"]))).otherwise(times.encode_vtt(t["ts"]))
     rows = rows.select(
@@ -167,7 +167,7 @@ role || '<rt>' || turn || '</rt>plain<b><i>x</i>y</b>' as unwrapped, 3 as top_no
 def vtt_tree_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of ruby and of end tags, the depth error, dumps, and edits of trees."""
     body = _text("<ruby>", F.col("role"), "<rt>", F.col("turn"), "</ruby><rt>plain</rt><b><i>x</b></i>y")
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", vtt_text.tree(body)["nodes"].alias("n"), vtt_text.try_tree(body, 1)["error"].alias("depth_error"))
+    rows = _spread(_table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", vtt_text.tree(body)["nodes"].alias("n"), vtt_text.try_tree(body, 1)["error"].alias("depth_error"))
     n = F.col("n")
     changed = vtt_text.edit(n, lambda x: x["tag"] == "b", tag=lambda x: F.lit("u"), classes=lambda x: F.lit("loud"))
     return rows.select(
@@ -185,7 +185,7 @@ def vtt_tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children inserted, moved, removed, replaced and wrapped, from literals and from the tree itself."""
     key, note = F.col("c_custkey"), F.col("c_nationkey").cast("string")
     body = _text("<b>", F.col("c_name"), "<i>x</i></b>", F.col("c_mktsegment"), "<lang en><u>y</u></lang>")
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", vtt_text.tree(body)["nodes"].alias("n"))
+    rows = _spread(_table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_nationkey", vtt_text.tree(body)["nodes"].alias("n"))
     n, k, leave = F.col("n"), (key % 3).cast("int"), F.when(key % 3 == 0, 0).otherwise(4)
     edits = rows.select(
         "c_custkey",
@@ -215,7 +215,7 @@ def large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = f"{scratch(spark)}/large-{uuid.uuid4().hex}"
     write_srt_files(entries, path)
-    rows = read_large_srt(spark, path, part_bytes=1 << 16)
+    rows = read_large_srt(spark, path, part_bytes=1 << 16, staging=f"{path}-parts")
     return rows.select("doc_id", "ordinal", F.col("index").cast("long").alias("index_shown"), "start_ms", "end_ms", "body", "error")
 
 
@@ -231,7 +231,7 @@ def ass_lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\n[Open\nComment: -99999999999,0:00:03.00,bad,D,M,0,x,0,,three ", name, "\n",
     )
     options = AssOptions.from_json(AssOptions.lossy().to_json())
-    found = parse_ass(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), content.alias("content")), options).where("event is not null")
+    found = parse_ass(_spread(_table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), content.alias("content")), options).where("event is not null")
     e = F.col("event")
     nth = F.when(F.col("ordinal") > 4, F.col("ordinal") - 3).otherwise(F.col("ordinal") - 2)
     return found.select("doc_id", nth.alias("nth"), e["layer"].alias("layer"), times.total(e["start"], 100).cast("long").alias("start_cs"), e["name"].alias("name"), e["text"].alias("text"))
@@ -250,7 +250,7 @@ def ass_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _text(
         "[script info]\n; hello ", name, "\nTitle :  ", name, ": x \n\n[V4+ styles]\nFormat: Name, Fontname\nstyle: ", name, " , Arial\n[Fonts]\nfontname: a\n;M`:x\n[My STYLES]\nStyle: a,b\n[Other]\nStyle: c\nDialogue: d\n"
     )
-    found = parse_ass(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), content.alias("content")))
+    found = parse_ass(_spread(_table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), content.alias("content")))
     fields = F.when(F.col("block_type").isin("format", "style"), F.array_join(split_fields(F.col("text")), "|"))
     return found.select("doc_id", "ordinal", "block_type", "section", "text", "key", "value", fields.alias("fields"))
 
@@ -267,7 +267,7 @@ def ass_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     line = _text(_chosen(key, ["  dialogue: ", "Comment :", "Speech: "]), "Marked=0,0:00:01.00,0:00:02.00,,,0,0,0,,", F.col("o_orderpriority"), ",x ")
     event, error = parse_event_line(line, columns.column())
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", event.alias("e"), error.alias("error"))
+    rows = _spread(_table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", event.alias("e"), error.alias("error"))
     e = F.col("e")
     return rows.select(
         "o_orderkey", e["kind"].alias("kind"), e["marked"].alias("marked"), e["text"].alias("text"), "error", F.lit(columns.index_of("Text")).alias("text_at"), F.lit(columns.field_at(0)).alias("first_field"),
@@ -280,7 +280,7 @@ select c_custkey doc_id, '[Events]' || chr(10) || 'Dialogue: Marked=1,0:00:01.00
 def ass_default_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns that a section without a Format line is written under, and those of a later one."""
     content = _text("[Events]\nFormat: Marked, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\nDialogue: Marked=1,0:00:01.00,0:00:02.00,,", F.col("c_name"), ",0,0,0,,x\n[Events]\nFormat: Text\nDialogue: y\n")
-    blocks = parse_ass(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), content.alias("content")))
+    blocks = parse_ass(_spread(_table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), content.alias("content")))
     return write_ass(blocks.where("ordinal <> 1"), EventFormat.ssa())
 
 
@@ -292,7 +292,7 @@ def ass_override_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     inside = _text("note\\b1\\t(0,\\fs2\\b0)\\ iclip(", size, ",2)\\p", size % 3, "\\foobar\\1c&H", size, "&")
     tags = ass_text.override_tags(inside)
-    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_name", tags.alias("ts"), inside.alias("inside"))
+    rows = _spread(_table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "p_name", tags.alias("ts"), inside.alias("inside"))
     ts = F.col("ts")
     name = lambda t: F.when(t["known"], t["name"]).otherwise("foo")
     args = lambda t: F.when(t["known"], t["args"]).otherwise(F.concat(F.substring(t["name"], 4, 99), t["args"]))
@@ -309,9 +309,9 @@ def srt_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options in their stored form; documents without entries are written empty."""
     key = F.col("c_custkey")
     content = F.when(key % 4 == 0, "no entry here\n").otherwise(_text("stray\n1\n00:00:01,000 --> 00:00:02,000\n", F.col("c_name"), "\n\n9\nno header\n"))
-    docs = _table(spark, sf_dir, "customer").select(key.alias("doc_id"), content.alias("content"))
+    docs = _spread(_table(spark, sf_dir, "customer"), "c_custkey").select(key.alias("doc_id"), content.alias("content"))
     options = SrtOptions.from_json('{"ignore_orphan_text": true, "ignore_broken_header": true}')
-    return write_srt(parse_srt(docs, options).where("error is null"), docs)
+    return write_srt(srt_batches.parse_srt(docs, options).where("error is null"), docs)
 
 
 @query("""

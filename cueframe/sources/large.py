@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueframe.functions.arrays import first_place
+from cueframe.functions.arrays import exploded, first_place
 from cueframe.operators import ass, srt, vtt
 from cueframe.plans.options import AssOptions, EventFormat, SrtOptions
 
@@ -160,7 +160,7 @@ def _rows(parsed: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFra
     sizes = parsed.select(*KEYS, F.size("es").cast("long").alias("n"), F.exists("es", lambda e: e["error"].isNotNull()).cast("int").alias("failed"))
     offsets = _before(sizes, n="sum", failed="max")
     kept = parsed.join(small(offsets), KEYS).where(F.coalesce(F.col("failed"), F.lit(0)) == 0)
-    return kept.select("doc_id", "n", F.posexplode("es").alias("at", "e")).select("doc_id", (F.col("n") + F.col("at")).alias("ordinal"), "e")
+    return exploded(kept.select("doc_id", "n", "es"), "es", "at", "e").select("doc_id", (F.col("n") + F.col("at")).alias("ordinal"), "e")
 
 
 def parse_srt_parts(parts: DataFrame, options: SrtOptions = SrtOptions()) -> DataFrame:  # noqa: B008
